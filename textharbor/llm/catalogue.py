@@ -5,15 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textharbor.llm import spam
+from textharbor.llm import distinctive, leakage, lookalike, sitelines, spam
 from textharbor.llm.common import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sitelines.found_lines(table(spark, d, "docs")).select("doc_id", "line_no")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = lookalike.same_looking(table(spark, d, "docs"), "doc_id", "title")
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body", min_tf=3, max_df=4)
+    return found.where(F.col("term").rlike(r"\p{L}")).select("doc_id", "term")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "docs"), table(spark, d, "extracted"), table(spark, d, "lang_samples")).select("tab", "rec_id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "prompt")
+    return found.select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
