@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textharbor.llm import distinctive, leakage, lookalike, sitelines, spam
-from textharbor.llm.common import table
+from textharbor.llm import distinctive, language, leakage, lookalike, sitelines, spam
+from textharbor.llm.common import cut, sized, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +20,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, samples = table(spark, d, "docs"), table(spark, d, "lang_samples")
+    found = language.wrong_labels(docs, "doc_id", "body", "language", language.model_of(samples, docs))
+    spam_docs = spam.spam_pages(docs, None, samples).select(F.col("rec_id").alias("doc_id"))
+    return found.join(sized(cut(spam_docs)), "doc_id", "left_anti").select("doc_id", "line_no", "language")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body", min_tf=3, max_df=4)
     return found.where(F.col("term").rlike(r"\p{L}")).select("doc_id", "term")
