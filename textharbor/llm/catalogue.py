@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textharbor.llm import distinctive, language, leakage, lookalike, sitelines, spam
+from textharbor.llm import boilerplate, distinctive, language, leakage, lookalike, sitelines, spam
 from textharbor.llm.common import cut, sized, table
 
 
@@ -27,6 +27,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.join(sized(cut(spam_docs)), "doc_id", "left_anti").select("doc_id", "line_no", "language")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "extracted")
+    spam_ids = spam.spam_pages(None, pages, table(spark, d, "lang_samples")).select(F.col("rec_id").alias("page_id"))
+    found = boilerplate.furniture_lines(pages.select("page_id", "url", "title", "body", "links"), "page_id")
+    return found.join(sized(cut(spam_ids)), "page_id", "left_anti")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body", min_tf=3, max_df=4)
     return found.where(F.col("term").rlike(r"\p{L}")).select("doc_id", "term")
