@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,14 @@ PROSE_SHARE = 0.01
 #: A path is furniture from this share of lines outside the running text on, within its host or over all hosts.
 OUTSIDE = 0.15
 LEAST_VOTES = 8
+#: Pages, and share of its pages, on which a host repeats a sentence of its frame.
+REPEATS, REPEAT_SHARE = 3, 0.01
+#: Words of a sentence that count as its opening.
+OPENING = 10
 TOKEN = re.compile(r"\d+|[^\W\d_]+")
 BLANKS = re.compile(r"[\s​﻿]+")
 SPLIT = re.compile(r"\s+[|·•>/»-]\s+|\s*[|·•>/»]\s*")
+TRAIL = re.compile(r"\s+[|·•>/»]\s+")
 BULLET = re.compile(r"^\s*(?:[*•–-]|\d+[.)])\s+")
 
 
@@ -46,29 +52,35 @@ def _site(host: str | None) -> set[str]:
     return {p for p in re.split(r"[.-]", host or "") if len(p) > 2}
 
 
-def lexicon(pages: DataFrame, lexicon_share: float = LEXICON_SHARE) -> dict[str, tuple[float, int]]:
-    """word -> (share of pages, distinct hosts) of every word that lexicon_share of the pages or more hold."""
+def lexicon(pages: DataFrame, lexicon_share: float = LEXICON_SHARE) -> dict[str, tuple[float, int, int]]:
+    """word -> (share of pages, distinct hosts, occurrences) of every word that lexicon_share of the pages or more hold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             hosts = b.column("host").to_pylist()
             code: dict[str, int] = {}
             host_code: dict[str, int] = {}
-            flat, of = [], []
-            for h, body in zip(hosts, b.column("body").to_pylist()):
-                words = {w for w in TOKEN.findall(body.lower()) if not w.isdigit()}
+            flat, of, at = [], [], []
+            for page, (h, body) in enumerate(zip(hosts, b.column("body").to_pylist())):
+                words = TOKEN.findall(body.lower())
                 flat += [code.setdefault(w, len(code)) for w in words]
                 of += [host_code.setdefault(h, len(host_code))] * len(words)
+                at += [page] * len(words)
             if not flat:
                 continue
-            pair, n = np.unique(np.array(flat, dtype=np.int64) * len(host_code) + np.array(of, dtype=np.int64), return_counts=True)
+            word, of, at = (np.array(x, dtype=np.int64) for x in (flat, of, at))
+            held, times = np.unique(np.stack([word * len(host_code) + of, at], 1), axis=0, return_counts=True)
+            pair, first = np.unique(held[:, 0], return_index=True)
             words, names = list(code), list(host_code)
-            yield {"w": [words[i] for i in pair // len(host_code)], "h": [names[i] for i in pair % len(host_code)], "n": n}
+            keep = np.array([not words[i].isdigit() for i in pair // len(host_code)])
+            n, times = np.diff(np.append(first, len(held))), np.add.reduceat(times, first)
+            pair = pair[keep]
+            yield {"w": [words[i] for i in pair // len(host_code)], "h": [names[i] for i in pair % len(host_code)], "n": n[keep], "times": times[keep]}
 
     total = pages.count()
-    held = map_batches(pages.select("host", "body"), work, "w string, h string, n long")
-    found = held.groupBy("w").agg(F.sum("n").alias("n"), F.approx_count_distinct("h").alias("hosts")).where(F.col("n") >= max(2.0, total * lexicon_share))
-    return {r.w: (r.n / total, r.hosts) for r in found.collect()}
+    held = map_batches(pages.select("host", "body"), work, "w string, h string, n long, times long")
+    found = held.groupBy("w").agg(F.sum("n").alias("n"), F.sum("times").alias("times"), F.approx_count_distinct("h").alias("hosts")).where(F.col("n") >= max(2.0, total * lexicon_share))
+    return {r.w: (r.n / total, r.hosts, r.times) for r in found.collect()}
 
 
 def _form(text: str) -> str:
@@ -90,14 +102,14 @@ def _tiled(line: str, anchors: set[str], title: str) -> bool:
     return reach[-1]
 
 
-def line_paths(pages: DataFrame, words: dict[str, tuple[float, int]]) -> DataFrame:
+def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> DataFrame:
     """(key, line_no, host, path, outside, sure): every line that is neither prose nor empty.
 
     sure: 1 furniture, 0 content, null undecided. path: what is left of the line's words after generalisation.
     """
-    hosts = max((h for _, h in words.values()), default=1)
-    prose = {w for w, (share, n) in words.items() if share >= PROSE_SHARE / 4 and n >= min(4, max(2, hosts // 10))}
-    local = {w for w, (_, n) in words.items() if n < min(3, hosts)}
+    hosts = max((h for _, h, _ in words.values()), default=1)
+    prose = {w for w, (share, n, _) in words.items() if share >= PROSE_SHARE / 4 and n >= min(4, max(2, hosts // 10))}
+    local = {w for w, (_, n, _) in words.items() if n < min(3, hosts)}
     shared = pages.sparkSession.sparkContext.broadcast((set(words), prose, local))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -126,11 +138,19 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int]]) -> DataFra
                 present = [i for i, *_ in found]
                 for at, (i, line, tokens, is_prose) in enumerate(found):
                     if is_prose:
+                        start = ["#" if w.isdigit() else "@" if w in site or w not in known or w in local else w for w in tokens[:OPENING]]
+                        path = f"={xxhash.xxh3_64_hexdigest(' '.join(start))}"
+                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", path), ("outside", False), ("sure", None)):
+                            out[k].append(v)
                         continue
                     sure = 1 if i in links else 0 if line == own else None
                     path = ("- " if BULLET.match(line) else "") + " ".join(
                         "#" if w.isdigit() else "@" if w in site else "*" if w not in known or w in local else w for w in tokens
                     )
+                    parts = [x for x in TRAIL.split(line) if x]
+                    if sure is None and len(parts) > 1:
+                        front = {w for x in parts[:-1] for w in TOKEN.findall(x)}
+                        path = "> " + " ".join(w for w in path.split(" ") if w in front or w in "#@*")
                     run = [j in links for j in present[at + 1 : at + 3]]
                     if sure is None and len(run) == 2 and all(run) and len(tokens) <= 8 and line[-1] not in ".!?":
                         path = "^ " + path
@@ -142,15 +162,17 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int]]) -> DataFra
     return map_batches(rows, work, "key long, line_no int, host string, path string, outside boolean, sure int")
 
 
-def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least: int = LEAST_VOTES) -> DataFrame:
+def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least: int = LEAST_VOTES, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
     """(key, line_no) of every furniture line of ``pages(key, url, title, body[, links])``."""
     anchors = F.transform("links", lambda x: x["anchor"]) if "links" in pages.columns else F.lit(None).cast("array<string>")
     host = F.coalesce(host_of(F.col("url")), F.concat(F.lit("#"), F.col(key).cast("string")))
     rows = one_per_key(pages, key).where(F.col(key).isNotNull() & F.col("body").isNotNull() & (F.col("body") != ""))
     rows = rows.select(F.col(key).cast("long").alias("key"), host.alias("host"), "title", anchors.alias("anchors"), "body")
-    words = lexicon(rows)
+    total = rows.count()
+    words = lexicon(rows, lexicon_share)
     lines = cut(line_paths(rows, words))
-    open_ = lines.where("sure IS NULL")
+    prose = lines.where(F.col("path").startswith("="))
+    open_ = lines.where(F.col("sure").isNull() & ~F.col("path").startswith("="))
 
     out = F.sum(F.col("outside").cast("int")).alias("out")
     by_host = open_.groupBy("host", "path").agg(F.count("*").alias("n_host"), out)
@@ -158,9 +180,8 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     # words: how often lines outside hold them, of all their lines (those of running text counted by their page share)
     each = open_.select(F.explode(F.array_distinct(F.split("path", " "))).alias("w"), "outside")
     vote = each.groupBy("w").agg(F.count("*").alias("n"), out).where(F.col("n") >= least).collect()
-    total = rows.count()
-    score = {r.w: r.out / max(r.n, words.get(r.w, (0, 0))[0] * total) for r in vote if r.w in words}
-    shared = pages.sparkSession.sparkContext.broadcast((score, {w for w, (s, _) in words.items()}))
+    score = {r.w: r.out / max(r.n, words[r.w][2]) for r in vote if r.w in words}
+    shared = pages.sparkSession.sparkContext.broadcast((score, set(words)))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         score, known = shared.value
@@ -178,8 +199,17 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     rare = (F.col("n") < least) & (F.col("rate") >= 0.35)
     announced = F.col("path").startswith("^ ") & ((F.col("rate") >= 0.2) | (F.col("n") >= least))
     gone = by_path.where(voted | rare | announced).select("path")
-    found = open_.join(sized(cut(gone)), "path", "left_semi").select("key", "line_no").unionByName(lines.where("sure = 1").select("key", "line_no"))
-    return found.withColumnRenamed("key", key)
+    # sentences whose opening a host, or many hosts, repeat word for word belong to the frame
+    on = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    again = prose.groupBy("host", "path").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= REPEATS)
+    again = again.join(on, "host").where(F.col("n") >= F.col("pages") * REPEAT_SHARE).select("host", "path")
+    wide = prose.groupBy("path").agg(F.countDistinct("key").alias("n"), F.approx_count_distinct("host").alias("hosts"))
+    wide = wide.where((F.col("n") >= max(REPEATS, total * lexicon_share)) & (F.col("hosts") >= 5)).select("path")
+    found = open_.join(sized(cut(gone)), "path", "left_semi").select("key", "line_no")
+    found = found.unionByName(prose.join(sized(cut(again)), ["host", "path"], "left_semi").select("key", "line_no"))
+    found = found.unionByName(prose.join(sized(cut(wide)), "path", "left_semi").select("key", "line_no"))
+    found = found.unionByName(lines.where("sure = 1").select("key", "line_no"))
+    return found.distinct().withColumnRenamed("key", key)
 
 
 def main_content(pages: DataFrame, key: str, **how) -> DataFrame:
