@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textharbor.llm import boilerplate, distinctive, language, leakage, lookalike, sitelines, spam
+from textharbor.llm import boilerplate, distinctive, encoding, language, leakage, lookalike, sitelines, spam
 from textharbor.llm.common import cut, sized, table
 
 
@@ -48,6 +48,21 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id")
 
 
+def _garbled(spark: SparkSession, d: str, repair: bool) -> DataFrame:
+    documents = table(spark, d, "documents")
+    tables = encoding.train(documents, "text")
+    margin = encoding.validated_margin(documents, "doc_id", "text", tables)
+    return encoding.garbled(documents, "doc_id", "text", tables, line_margin=margin, repair=repair)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d, False).select("doc_id").distinct()
+
+
+def p10_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d, True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
