@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textharbor.llm import boilerplate, distinctive, encoding, language, leakage, lookalike, sitelines, spam
+from textharbor.llm import boilerplate, distinctive, encoding, history, language, leakage, lookalike, mixing, sitelines, spam
 from textharbor.llm.common import cut, sized, table
 
 
@@ -43,11 +43,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "docs"), table(spark, d, "extracted"), table(spark, d, "lang_samples")).select("tab", "rec_id")
 
 
+def p7_method(spark: SparkSession, d: str) -> DataFrame:
+    found = history.pivot_pairs(table(spark, d, "docs"), "doc_id", "body", "seg")
+    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "distance")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "docs")
+    spam_docs = cut(spam.spam_pages(docs, None, table(spark, d, "lang_samples")).select(F.col("rec_id").alias("doc_id")))
+    found = history.repeats(docs, "doc_id", "body", "seg", without=spam_docs)
+    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "prompt")
     return found.select("doc_id", "item_id")
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[1]
+
+
 def _garbled(spark: SparkSession, d: str, repair: bool) -> DataFrame:
     documents = table(spark, d, "documents")
     tables = encoding.train(documents, "text")
