@@ -40,14 +40,13 @@ def _batch(keys: np.ndarray, texts: list[str], window: int, min_tf: int) -> tupl
     degree = np.zeros(len(wanted), np.int64)
     if len(wanted):
         is_wanted = np.isin(of * n + flat, wanted) if min_tf > 1 else np.ones(len(flat), bool)
-        left, right = [], []
+        found = []
         for k in range(1, window):
             same = of[k:] == of[:-k]
             for a, b in ((slice(None, -k), slice(k, None)), (slice(k, None), slice(None, -k))):
                 use = same & is_wanted[a] & (flat[a] != flat[b])
-                left.append((of[a] * n + flat[a])[use])
-                right.append(flat[b][use])
-        pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)[:, 0] if left else np.zeros(0, np.int64)
+                found.append(((of[a] * n + flat[a]) * n + flat[b])[use])
+        pair = np.unique(np.concatenate(found)) // n if found else np.zeros(0, np.int64)
         node, count = np.unique(pair, return_counts=True)
         at = np.searchsorted(wanted, node)
         degree[at] = count
