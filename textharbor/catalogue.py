@@ -1,0 +1,577 @@
+"""Queries of the search engine, each over its whole tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textharbor.config import UNSTEMMED, Analysis, FieldAnalysis, Ranking
+from textharbor.functions.analysis import STOP_WORDS, analyzed, normalize_text
+from textharbor.functions.hashing import encode_deltas, fnv1a_hex, hamming, shard_of, simhash, varint_len
+from textharbor.functions.text import escape_html, snippet
+from textharbor.functions.urls import canonical_url, host_of
+from textharbor.operators import authority, cluster, crawl, dedup, evaluate, rank, spell
+from textharbor.operators.index import IndexView, live, newest
+from textharbor.plans import search
+from textharbor.plans.query import MatchAll, parse
+from textharbor.sources.pages import documents_from_pages
+from textharbor.streaming.ingest import arrivals
+
+DEFAULT = Analysis()
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return newest(_table(spark, d, "docs"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """documents as rows of the document schema: body, and the first line as title."""
+    t = _table(spark, d, "documents")
+    none = F.array().cast("array<string>")
+    return t.select("doc_id", F.split("text", "\n")[0].alias("title"), none.alias("headings"), F.col("text").alias("body"), none.alias("anchor_text"), "url")
+
+
+def _view(spark: SparkSession, d: str, analysis: Analysis = UNSTEMMED) -> IndexView:
+    return IndexView.of(_docs(spark, d), analysis)
+
+
+# --- the skeleton that the SQL shares: live documents, their fields' tokens, postings, lengths, statistics
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_LIVE = "d AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seg DESC) = 1)"
+_TOKENS = f"""{_LIVE},
+f AS (SELECT doc_id, 0 AS field, coalesce(title, '') AS t FROM d UNION ALL SELECT doc_id, 1, coalesce(array_to_string(headings, chr(10)), '') FROM d
+      UNION ALL SELECT doc_id, 2, coalesce(body, '') FROM d UNION ALL SELECT doc_id, 3, coalesce(array_to_string(anchor_text, chr(10)), '') FROM d),
+w AS (SELECT doc_id, field, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+') AS ws FROM f),
+raw AS (SELECT doc_id, field, lower(x) AS term, i - 1 AS position FROM (SELECT doc_id, field, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+tok AS (SELECT * FROM raw WHERE term NOT IN ({_STOP})),
+post AS (SELECT field, term, doc_id, count(*) AS tf, list(position ORDER BY position) AS positions FROM tok GROUP BY field, term, doc_id),
+dl AS (SELECT w.doc_id, w.field, coalesce(c.n, 0) AS len FROM w LEFT JOIN (SELECT doc_id, field, count(*) AS n FROM tok GROUP BY ALL) c USING (doc_id, field)),
+st AS (SELECT field, sum(len) AS total, count(*) AS n, sum(len)::DOUBLE / count(*) AS av FROM dl GROUP BY field)"""
+_WEIGHT = "CASE field WHEN 0 THEN 4.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.0 ELSE 1.5 END"
+_IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+_BM25 = f"{_WEIGHT} * {_IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / greatest(av, 1e-9)))"
+_TFIDF = f"{_WEIGHT} * {_IDF} * (1 + ln(tf))"
+
+
+def _scored(terms: str, contrib: str = _BM25) -> str:
+    """CTEs up to c: the contributions of the postings that a condition picks."""
+    return f"""WITH {_TOKENS},
+df AS (SELECT field, term, count(*) AS df FROM post WHERE {terms} GROUP BY ALL),
+c AS (SELECT doc_id, field, term, tf, df, len, n, av, {contrib} AS contrib FROM post JOIN df USING (field, term) JOIN dl USING (doc_id, field) JOIN st USING (field))"""
+
+
+def _matching(condition: str) -> str:
+    """CTE m: documents whose postings fulfil a condition over bool_or."""
+    return f"m AS (SELECT doc_id FROM post GROUP BY doc_id HAVING {condition})"
+
+
+def _any(term: str, field: int | None = None) -> str:
+    return f"coalesce(bool_or(term = '{term}'{'' if field is None else f' AND field = {field}'}), false)"
+
+
+# --- analysis and index
+@_query(
+    f"SELECT doc_id, i - 1 AS position, regexp_replace(lower(x), '(.)σ$', '\\\\1ς') AS term FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL))"
+)
+def tokenize_positions(spark: SparkSession, d: str) -> DataFrame:
+    terms = analyzed(F.col("body"), FieldAnalysis(stop_words=False, stemmer="none"))
+    return _texts(spark, d).select("doc_id", F.explode(terms).alias("x")).select("doc_id", "x.position", "x.term")
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id, position, term FROM tok WHERE field = 0")
+def stopword_gaps(spark: SparkSession, d: str) -> DataFrame:
+    terms = analyzed(F.col("title"), FieldAnalysis(stop_words=True, stemmer="none"))
+    return _docs(spark, d).select("doc_id", F.explode(terms).alias("x")).select("doc_id", "x.position", "x.term")
+
+
+@_query(f"WITH {_TOKENS} SELECT term, count(*) AS n FROM tok WHERE field = 2 AND length(term) >= 6 GROUP BY term")
+def min_token_len(spark: SparkSession, d: str) -> DataFrame:
+    terms = analyzed(F.col("body"), FieldAnalysis(stop_words=True, stemmer="none", min_token_len=6))
+    return _docs(spark, d).select(F.explode(terms).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_TOKENS} SELECT field, term, doc_id, tf, positions[1] AS first_position, positions[-1] AS last_position FROM post")
+def build_postings(spark: SparkSession, d: str) -> DataFrame:
+    p = _view(spark, d).postings
+    return p.select("field", "term", "doc_id", "tf", F.get("positions", F.lit(0)).alias("first_position"), F.element_at("positions", -1).alias("last_position"))
+
+
+@_query("SELECT field, lower(term) AS term, doc_id, count(*) AS tf FROM (SELECT DISTINCT * FROM tokens WHERE term IS NOT NULL) GROUP BY field, lower(term), doc_id")
+def postings_of_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "tokens").where("term IS NOT NULL").distinct()
+    return t.groupBy("field", F.lower("term").alias("term"), "doc_id").agg(F.count("*").alias("tf"))
+
+
+@_query(f"WITH {_TOKENS} SELECT field, term, count(*) AS df, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM post GROUP BY field, term")
+def term_df(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d).termstats()
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id, field, len FROM dl")
+def field_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d).doclen
+
+
+@_query(f"WITH {_TOKENS} SELECT field, total AS total_tokens, n AS n_docs, round(av, 6) AS avg_len FROM st")
+def collection_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d).stats().withColumn("avg_len", F.round("avg_len", 6))
+
+
+@_query(f"WITH {_TOKENS} SELECT count(*) AS postings, count(DISTINCT (field, term)) AS terms FROM post")
+def vocab_size(spark: SparkSession, d: str) -> DataFrame:
+    p = _view(spark, d).postings
+    return p.groupBy("field", "term").agg(F.count("*").alias("n")).agg(F.sum("n").alias("postings"), F.count("*").alias("terms"))
+
+
+@_query(f"WITH {_TOKENS} SELECT DISTINCT term FROM post WHERE field = 1")
+def field_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d).vocabulary(1)
+
+
+@_query("SELECT seg, field, count(*) AS entries, sum(doc_freq) AS postings, count(DISTINCT term) AS terms FROM (SELECT DISTINCT * FROM dict_entries) GROUP BY seg, field")
+def segment_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "dict_entries").distinct()
+    return e.groupBy("seg", "field").agg(F.count("*").alias("entries"), F.sum("doc_freq").alias("postings"), F.countDistinct("term").alias("terms"))
+
+
+@_query("SELECT term, sum(doc_freq) AS df, min(first_doc) AS first_doc, max(last_doc) AS last_doc FROM (SELECT DISTINCT * FROM dict_entries) WHERE term LIKE 'co%' GROUP BY term")
+def dictionary_prefix(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "dict_entries").where(F.col("term").startswith("co")).distinct()
+    return e.groupBy("term").agg(F.sum("doc_freq").alias("df"), F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+
+
+@_query(
+    f"WITH {_TOKENS}, r AS (SELECT *, row_number() OVER (PARTITION BY field, term ORDER BY doc_id) - 1 AS i FROM post) SELECT field, term, i // 64 AS block, count(*) AS n, max(tf) AS max_tf, min(doc_id) AS first_doc FROM r GROUP BY ALL"
+)
+def posting_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _view(spark, d).blocks().groupBy("field", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("doc_id").alias("first_doc"))
+
+
+@_query(
+    f"WITH {_TOKENS} SELECT field, term, doc_id, list_transform(positions, lambda x, i: CASE WHEN i = 1 THEN x ELSE x - positions[i - 1] END)::VARCHAR AS deltas FROM post WHERE tf > 2"
+)
+def position_deltas(spark: SparkSession, d: str) -> DataFrame:
+    p = _view(spark, d).postings.where("tf > 2")
+    deltas = F.concat(F.lit("["), F.array_join(F.transform(encode_deltas(F.col("positions")), lambda x: x.cast("string")), ", "), F.lit("]"))
+    return p.select("field", "term", "doc_id", deltas.alias("deltas"))
+
+
+@_query("SELECT doc_id, ceil(length(CASE WHEN timestamp = 0 THEN '0' ELSE ltrim(bin(timestamp), '0') END) / 7.0)::INT AS bytes FROM (SELECT DISTINCT doc_id, timestamp FROM docs WHERE timestamp >= 0)")
+def varint_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where("timestamp >= 0").select("doc_id", varint_len(F.col("timestamp")).alias("bytes"))
+
+
+# --- Boolean retrieval
+def _bool(text: str, spark: SparkSession, d: str) -> DataFrame:
+    return search.boolean(_view(spark, d), parse(text, UNSTEMMED))
+
+
+def _bool_sql(condition: str) -> str:
+    return f"WITH {_TOKENS}, {_matching(condition)} SELECT doc_id FROM m"
+
+
+_NOT = f"WITH {_TOKENS}, {_matching(_any('compiler'))} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM m)"
+for _name, _text, _sql in (
+    ("bool_and", "compiler AND latency", _bool_sql(f"{_any('compiler')} AND {_any('latency')}")),
+    ("bool_or", "compiler OR quorum", _bool_sql(f"{_any('compiler')} OR {_any('quorum')}")),
+    ("bool_not", "NOT compiler", _NOT),
+    ("bool_and_not", "compiler NOT latency", _bool_sql(f"{_any('compiler')} AND NOT {_any('latency')}")),
+    ("bool_nested", "(compiler OR quorum) AND NOT (latency OR title:index) shard", _bool_sql(f"({_any('compiler')} OR {_any('quorum')}) AND NOT ({_any('latency')} OR {_any('index', 0)}) AND {_any('shard')}")),
+    ("bool_stop_word", "the compiler", f"WITH {_LIVE} SELECT doc_id FROM d WHERE false"),
+    ("field_scoped", "title:compiler heading:index", _bool_sql(f"{_any('compiler', 0)} AND {_any('index', 1)}")),
+    ("anchor_scoped", "anchor:home OR anchor:here", _bool_sql(f"{_any('home', 3)} OR {_any('here', 3)}")),
+    ("prefix_match", "body:comp*", _bool_sql("coalesce(bool_or(field = 2 AND starts_with(term, 'comp')), false)")),
+    ("fuzzy_match", "heading:compilor~1 OR title:indax~2", _bool_sql("coalesce(bool_or(regexp_full_match(term, '[a-z0-9]+') AND ((field = 1 AND levenshtein(term, 'compilor') <= 1) OR (field = 0 AND levenshtein(term, 'indax') <= 2))), false)")),
+    ("site_filter", "site:invalid compiler", f"WITH {_TOKENS}, {_matching(_any('compiler'))} SELECT doc_id FROM d JOIN m USING (doc_id) WHERE contains(lower(url), 'invalid')"),
+    ("site_only", "site:.test", f"WITH {_LIVE} SELECT doc_id FROM d WHERE contains(lower(url), '.test')"),
+    ("or_not", "title:compiler OR NOT body:compiler", f"WITH {_TOKENS}, {_matching(_any('compiler', 0))}, b AS (SELECT DISTINCT doc_id FROM post WHERE term = 'compiler' AND field = 2) SELECT doc_id FROM d WHERE doc_id IN (SELECT doc_id FROM m) OR doc_id NOT IN (SELECT doc_id FROM b)"),
+):
+    QUERIES[_name] = lambda spark, d, text=_text: _bool(text, spark, d)
+    SQL[_name] = _sql
+
+
+@_query(f"WITH {_LIVE} SELECT doc_id FROM d")
+def match_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.boolean(_view(spark, d), MatchAll())
+
+
+def _phrase_sql(words: list[str], field: int) -> str:
+    joins = " ".join(f"JOIN tok t{i} ON t{i}.doc_id = t0.doc_id AND t{i}.field = t0.field AND t{i}.position = t0.position + {i} AND t{i}.term = '{w}'" for i, w in enumerate(words) if i)
+    return f"WITH {_TOKENS} SELECT DISTINCT t0.doc_id FROM tok t0 {joins} WHERE t0.field = {field} AND t0.term = '{words[0]}'"
+
+
+@_query(_phrase_sql(["nightly", "merge"], 2))
+def phrase_match(spark: SparkSession, d: str) -> DataFrame:
+    return _bool('"nightly merge"', spark, d)
+
+
+@_query(_phrase_sql(["eastern", "shore"], 0))
+def phrase_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return _bool('title:"eastern shore"', spark, d)
+
+
+@_query(f"WITH {_LIVE} SELECT doc_id FROM d WHERE false")
+def phrase_with_stop_word(spark: SparkSession, d: str) -> DataFrame:
+    """A stop word inside leaves a gap, so the words around it are not adjacent."""
+    return _bool('"end of week"', spark, d)
+
+
+# --- ranking
+_Q = "(quorum OR latency) NOT bytecode"
+_Q_TERMS = "term IN ('quorum', 'latency', 'bytecode')"
+_Q_MATCH = f"({_any('quorum')} OR {_any('latency')}) AND NOT {_any('bytecode')}"
+_TOP = "ORDER BY score DESC, doc_id LIMIT 20"
+
+
+def _top_sql(terms: str, match: str, contrib: str = _BM25, positive: str = "true") -> str:
+    return f"{_scored(terms, contrib)}, {_matching(match)} SELECT doc_id, round(sum(contrib) FILTER ({positive}), 4) AS score FROM c JOIN m USING (doc_id) GROUP BY doc_id {_TOP}"
+
+
+@_query(_top_sql(_Q_TERMS, _Q_MATCH, positive="term <> 'bytecode'"))
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d), parse(_Q, UNSTEMMED), 20)
+
+
+@_query(_top_sql(_Q_TERMS, _Q_MATCH, _TFIDF, "term <> 'bytecode'"))
+def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d), parse(_Q, UNSTEMMED), 20, Ranking(scoring="tfidf"))
+
+
+@_query(_top_sql("(field = 0 AND term = 'index') OR (field = 2 AND term = 'index') OR (field = 3 AND term = 'home')", f"{_any('index', 0)} OR {_any('index', 2)} OR {_any('home', 3)}"))
+def multi_field_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d), parse("title:index OR body:index OR anchor:home", UNSTEMMED), 20)
+
+
+@_query(_top_sql("field = 2 AND starts_with(term, 'comp')", "coalesce(bool_or(field = 2 AND starts_with(term, 'comp')), false)"))
+def prefix_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d), parse("body:comp*", UNSTEMMED), 20)
+
+
+@_query(
+    f"{_scored(_Q_TERMS)}, {_matching(_Q_MATCH)}, b AS (SELECT doc_id, round(sum(contrib) FILTER (term <> 'bytecode'), 4) AS score FROM c JOIN m USING (doc_id) GROUP BY doc_id {_TOP}) SELECT doc_id, score, field, term, tf, df, round({_IDF}, 4) AS idf, len, round(av, 4) AS avg_len, round(contrib, 4) AS contrib FROM c JOIN b USING (doc_id) WHERE term <> 'bytecode'"
+)
+def explain_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = rank.explained(_view(spark, d), parse(_Q, UNSTEMMED), 20)
+    return rows.withColumns({c: F.round(c, 4) for c in ("idf", "avg_len", "contrib")})
+
+
+@_query(_top_sql(_Q_TERMS, _Q_MATCH, positive="term <> 'bytecode'"))
+def block_max_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.pruned_top_k(_view(spark, d), parse(_Q, UNSTEMMED), 20)[0]
+
+
+_AUTHORITY = "CASE WHEN isfinite(coalesce(try_cast(metadata['authority'] AS FLOAT), 0)) AND coalesce(try_cast(metadata['authority'] AS FLOAT), 0) >= 0 THEN coalesce(try_cast(metadata['authority'] AS FLOAT), 0)::DOUBLE ELSE 0 END"
+_FRESH = "CASE WHEN timestamp > 0 THEN pow(0.5, greatest((SELECT max(timestamp) FROM d) - timestamp, 0) / 86400.0 / 30) ELSE 0 END"
+
+
+def _blend_sql(add: str) -> str:
+    return f"{_scored(_Q_TERMS)}, {_matching(_Q_MATCH)}, b AS (SELECT doc_id, sum(contrib) FILTER (term <> 'bytecode') AS s FROM c JOIN m USING (doc_id) GROUP BY doc_id) SELECT doc_id, round(s + {add}, 4) AS score FROM b JOIN d USING (doc_id) {_TOP}"
+
+
+@_query(_blend_sql(f"5 * ({_AUTHORITY})"))
+def authority_blend(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d), parse(_Q, UNSTEMMED), 20, Ranking(authority_weight=5))
+
+
+@_query(_blend_sql(f"5 * ({_FRESH})"))
+def freshness_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d), parse(_Q, UNSTEMMED), 20, Ranking(freshness_weight=5))
+
+
+@_query(f"WITH {_TOKENS}, {_matching(_any('compiler'))} SELECT doc_id, 0.0 AS score FROM d WHERE doc_id NOT IN (SELECT doc_id FROM m) ORDER BY doc_id LIMIT 20")
+def no_scoring_terms(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d), parse("NOT compiler", UNSTEMMED), 20)
+
+
+_BATCH = {"q1": ["compiler", "index"], "q2": ["quorum", "latency", "shard"], "q3": ["oven", "bread", "dough"], "q4": ["harbour"]}
+_ASKED = " UNION ALL ".join(f"SELECT '{q}' AS query_id, '{t}' AS term" for q, ts in _BATCH.items() for t in ts)
+
+
+@_query(
+    f"{_scored('field = 2 AND term IN (' + ', '.join(repr(t) for ts in _BATCH.values() for t in ts) + ')')}, q AS ({_ASKED}), r AS (SELECT query_id, doc_id, round(sum(contrib), 4) AS score FROM c JOIN q USING (term) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r QUALIFY rank <= 10"
+)
+def batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.many_top_k(_view(spark, d), _BATCH, 10)
+
+
+@_query()
+def porter_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rank.top_k(_view(spark, d, DEFAULT), parse("indexes compilers OR latency", DEFAULT), 20)
+
+
+@_query()
+def porter_terms(spark: SparkSession, d: str) -> DataFrame:
+    terms = analyzed(F.col("body"), FieldAnalysis())
+    return _docs(spark, d).select(F.explode(terms).alias("x")).groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("n"))
+
+
+@_query()
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    view = _view(spark, d, DEFAULT)
+    best = F.broadcast(rank.top_k(view, parse("compilers latency", DEFAULT), 20))  # 20 rows
+    return view.docs.join(best, "doc_id").select("doc_id", "score", snippet(F.col("body"), F.col("title"), ["compil", "latenc"]).alias("snippet"))
+
+
+@_query("SELECT doc_id, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS title FROM (SELECT DISTINCT doc_id, title FROM docs)")
+def escaped_titles(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", escape_html(F.col("title")).alias("title"))
+
+
+# --- link authority
+def _pagerank_sql(rounds: int) -> str:
+    out = """WITH nodes AS (SELECT DISTINCT node FROM (SELECT 'p' || l_partkey AS node FROM lineitem UNION ALL SELECT 's' || l_suppkey FROM lineitem)),
+e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem), deg AS (SELECT src, count(*) AS k FROM e GROUP BY src),
+n AS (SELECT count(*)::DOUBLE AS n FROM nodes), r0 AS (SELECT node, 1.0 / n AS r FROM nodes, n)"""
+    for i in range(1, rounds + 1):
+        out += f""", l{i} AS (SELECT coalesce(sum(r), 0) AS s FROM r{i - 1} LEFT JOIN deg ON node = src WHERE src IS NULL),
+g{i} AS (SELECT dst AS node, sum(r / k) AS g FROM e JOIN deg USING (src) JOIN r{i - 1} ON node = src GROUP BY dst),
+r{i} AS (SELECT node, 0.15 / n + 0.85 * s / n + 0.85 * coalesce(g, 0) AS r FROM r{i - 1} LEFT JOIN g{i} USING (node), n, l{i})"""
+    return f"{out} SELECT node, round(r / (SELECT max(r) FROM r{rounds}), 6) AS authority FROM r{rounds}"
+
+
+@_query(_pagerank_sql(4))
+def authority_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "lineitem")
+    e = t.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
+    ranks = authority.pagerank(e.select(F.col("src").alias("node")).union(e.select("dst")), e, iterations=4)
+    return ranks.withColumn("authority", F.round("authority", 6))
+
+
+@_query(
+    f"WITH {_LIVE}, o AS (SELECT doc_id AS src, unnest(string_split(metadata['outlinks'], chr(10))) AS url FROM d WHERE metadata['outlinks'] IS NOT NULL) SELECT DISTINCT src, doc_id AS dst FROM o JOIN d USING (url) WHERE url <> '' AND src <> doc_id"
+)
+def link_graph(spark: SparkSession, d: str) -> DataFrame:
+    return authority.link_graph(_docs(spark, d))
+
+
+@_query()
+def docs_authority(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    ranks = authority.pagerank(docs.select(F.col("doc_id").alias("node")), authority.link_graph(docs), iterations=10)
+    published = authority.with_authority(docs, ranks)
+    return published.select("doc_id", F.col("metadata")["authority"].alias("authority"))
+
+
+# --- completion and spelling
+_PART = "v AS (SELECT w AS term, count(*) AS df FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w <> '' GROUP BY w)"
+
+
+def _part_words(spark: SparkSession, d: str) -> DataFrame:
+    words = _table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).where("term <> ''")
+    return words.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@_query(f"WITH {_PART} SELECT term, df FROM v WHERE starts_with(term, 's') ORDER BY df DESC, term LIMIT 8")
+def complete_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return spell.complete(_part_words(spark, d), "s")
+
+
+@_query(f"WITH {_TOKENS}, v AS (SELECT term, count(*) AS df FROM post WHERE field = 2 AND regexp_full_match(term, '[a-z]+') GROUP BY term) SELECT term, df, levenshtein(term, 'compilar') AS dist FROM v WHERE dist BETWEEN 1 AND 2 ORDER BY dist, df DESC, term LIMIT 5")
+def suggest_spelling(spark: SparkSession, d: str) -> DataFrame:
+    v = _view(spark, d).termstats().where((F.col("field") == 2) & F.col("term").rlike("^[a-z]+$")).select("term", "df")
+    return spell.suggest(v, "compilar")
+
+
+# --- generations
+@_query(f"WITH {_LIVE} SELECT seg, count(*) AS docs, max(doc_id) AS last_doc FROM d GROUP BY seg")
+def shadow_newest(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).groupBy("seg").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last_doc"))
+
+
+@_query(
+    "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+)
+def newest_event(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events").withColumnRenamed("user_id", "doc_id")
+    return newest(e, "event_id").select(F.col("doc_id").alias("user_id"), "event_id", "event_type")
+
+
+@_query(f"WITH {_LIVE} SELECT doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM dedup_state WHERE simhash IS NULL)")
+def tombstone_filter(spark: SparkSession, d: str) -> DataFrame:
+    gone = _table(spark, d, "dedup_state").where("simhash IS NULL")
+    return live(_table(spark, d, "docs"), gone).select("doc_id")
+
+
+@_query(
+    f"WITH {_LIVE} SELECT count(*) AS docs, sum(len(regexp_extract_all(coalesce(body, ''), '[\\p{{L}}\\p{{N}}]+'))) AS tokens FROM d WHERE doc_id NOT IN (SELECT doc_id FROM dedup_state WHERE simhash IS NULL)"
+)
+def merge_live(spark: SparkSession, d: str) -> DataFrame:
+    gone = _table(spark, d, "dedup_state").where("simhash IS NULL")
+    docs = live(_table(spark, d, "docs"), gone)
+    view = IndexView.of(docs, Analysis(FieldAnalysis(stop_words=False, stemmer="none")))
+    return view.doclen.where("field = 2").agg(F.count("*").alias("docs"), F.sum("len").alias("tokens"))
+
+
+@_query("SELECT date_trunc('day', arrived_at) AS window_start, seg, count(*) AS docs FROM docs WHERE arrived_at IS NOT NULL GROUP BY ALL")
+def stream_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """The stream of deliveries, counted by day and batch, read to its end."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/docs.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{d}/docs.parque[t]")  # a pattern takes a file as well as a folder
+    counted = arrivals(stream.where("arrived_at IS NOT NULL"), late="36500 days")
+    query = counted.writeStream.format("memory").queryName(f"s{uuid.uuid4().hex}").outputMode("complete").option("checkpointLocation", base).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(query.name)
+
+
+# --- web documents and duplicates
+@_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) GROUP BY t")
+def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    t = _table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(normalize_text(F.col("text"))).alias("hash"))
+    return t.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("hash")
+
+
+@_query()
+def near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near(_texts(spark, d))
+
+
+@_query()
+def simhash_near_dups(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_pairs(dedup.fingerprints(_docs(spark, d)))
+
+
+@_query()
+def content_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document's hash is that of its body."""
+    docs = _docs(spark, d)
+    own = fnv1a_hex(normalize_text(F.coalesce("body", F.lit(""))))
+    return docs.select("doc_id", own.alias("hash"), (own == F.lower("content_hash")).alias("current"))
+
+
+@_query()
+def accepted_simhashes(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of each accepted signature from the one computed of the text."""
+    docs = _docs(spark, d).select("doc_id", simhash(normalize_text(F.coalesce("body", F.lit("")))).alias("own"))
+    state = _table(spark, d, "dedup_state").where("simhash IS NOT NULL").dropDuplicates(["doc_id"])
+    return state.join(docs, "doc_id").select("doc_id", hamming(F.col("simhash"), F.col("own")).alias("dist"))
+
+
+@_query("SELECT doc_id, bit_count(xor(simhash, 0)) AS bits FROM (SELECT DISTINCT doc_id, simhash FROM dedup_state WHERE simhash IS NOT NULL)")
+def simhash_bits(spark: SparkSession, d: str) -> DataFrame:
+    s = _table(spark, d, "dedup_state").where("simhash IS NOT NULL").select("doc_id", "simhash").distinct()
+    return s.select("doc_id", hamming(F.col("simhash"), F.lit(0).cast("bigint")).alias("bits"))
+
+
+@_query("SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, count(*) AS n FROM docs WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)') GROUP BY 1")
+def url_host(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "docs").select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"))
+
+
+@_query()
+def url_canonicalize(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "docs").select(canonical_url("url").alias("url")).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@_query()
+def pages_to_docs(spark: SparkSession, d: str) -> DataFrame:
+    pages = _table(spark, d, "extracted").dropDuplicates(["page_id"])
+    docs = documents_from_pages(pages)
+    return docs.select("id_hex", "url", "title", F.size("anchor_text").alias("anchors"), "content_hash")
+
+
+def _web(spark: SparkSession, d: str) -> DataFrame:
+    p = _table(spark, d, "extracted").where("url IS NOT NULL")
+    return p.select("url", "content_type", F.transform(F.coalesce("links", F.array().cast("array<struct<url:string,anchor:string>>")), lambda x: x["url"]).alias("links"))
+
+
+@_query()
+def crawl_rounds(spark: SparkSession, d: str) -> DataFrame:
+    web = _web(spark, d)
+    return crawl.crawl(web.select("url"), web)[1]
+
+
+@_query()
+def frontier_order(spark: SparkSession, d: str) -> DataFrame:
+    return crawl.pop_order(crawl.seeds(_web(spark, d).select("url"))).select("url", "host", "turn")
+
+
+# --- shards
+def _shard_sql(shards: int) -> str:
+    h = "14695981039346656037::UHUGEINT"
+    for i in range(8):
+        h = f"((xor(({h}), ((doc_id >> {8 * i}) & 255)::UHUGEINT) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    return f"WITH {_LIVE}, s AS (SELECT doc_id, ({h} % {shards})::INT AS shard FROM d) SELECT shard, count(*) AS docs FROM s GROUP BY shard"
+
+
+@_query(_shard_sql(4))
+def shard_balance(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.status(_docs(spark, d), 4)
+
+
+@_query(_top_sql(_Q_TERMS, _Q_MATCH, positive="term <> 'bytecode'").replace("SELECT doc_id, round(", "SELECT doc_id, false AS partial, round("))
+def sharded_topk(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.sharded_top_k(_view(spark, d), parse(_Q, UNSTEMMED), 20, 4, cluster.layout(spark, 4, 2))
+
+
+# --- evaluation: the logged explanations as a run, the highest frequency of a term, at most 3, as grade
+def _run_sql(score: str, x: str) -> str:
+    """CTEs of a report, all names ending in x."""
+    return f"""run{x} AS (SELECT query_id, doc_id, round(sum({score}), 6) AS score FROM (SELECT DISTINCT * FROM term_scores) GROUP BY ALL),
+j{x} AS (SELECT query_id, doc_id, least(max(tf), 3) AS grade FROM term_scores GROUP BY ALL),
+r{x} AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM run{x}),
+h{x} AS (SELECT r{x}.*, grade, (grade >= 1)::INT AS rel, sum((grade >= 1)::INT) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM r{x} JOIN j{x} USING (query_id, doc_id)),
+i{x} AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM j{x}),
+ideal{x} AS (SELECT query_id, sum(CASE WHEN i <= 10 THEN (pow(2, grade) - 1) / log2(i + 1) ELSE 0 END) AS ideal, sum((grade >= 1)::INT) AS relevant FROM i{x} GROUP BY query_id),
+m{x} AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN (pow(2, grade) - 1) / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN rank <= 10 THEN rel ELSE 0 END) AS found, sum(CASE WHEN rel = 1 THEN so_far / rank ELSE 0 END) AS precisions, min(CASE WHEN rel = 1 THEN rank END) AS first FROM h{x} GROUP BY query_id),
+e{x} AS (SELECT query_id, CASE WHEN ideal > 0 THEN dcg / ideal ELSE 1 END AS ndcg, found / 10 AS precision, CASE WHEN relevant > 0 THEN found / relevant ELSE 1 END AS recall, CASE WHEN relevant > 0 THEN precisions / relevant ELSE 1 END AS ap, coalesce(1 / first, 0) AS rr FROM m{x} JOIN ideal{x} USING (query_id))"""
+
+
+def _report(spark: SparkSession, d: str, score: str = "contrib") -> DataFrame:
+    t = _table(spark, d, "term_scores").distinct()
+    run = evaluate.ranked(t.groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 6).alias("score")))
+    judged = t.groupBy("query_id", "doc_id").agg(F.least(F.max("tf"), F.lit(3)).alias("grade"))
+    return evaluate.evaluate(run, run, judged)
+
+
+_METRICS = ("ndcg", "precision", "recall", "ap", "rr")
+
+
+@_query(f"WITH {_run_sql('contrib', '')} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)} FROM e")
+def eval_queries(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d).select("query_id", *[F.round(c, 6).alias(c) for c in _METRICS])
+
+
+@_query(f"WITH {_run_sql('contrib', '')} SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in _METRICS)} FROM e")
+def eval_means(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.means(_report(spark, d)).select(*[F.round(c, 6).alias(c) for c in _METRICS])
+
+
+@_query(
+    f"WITH {_run_sql('contrib', '')}, {_run_sql('tf', '2')} SELECT query_id, round(e2.ndcg - e.ndcg, 6) AS delta, CASE WHEN e2.ndcg - e.ndcg < -1e-9 THEN 'worse' WHEN e2.ndcg - e.ndcg > 1e-9 THEN 'better' ELSE 'same' END AS change FROM e JOIN e2 USING (query_id)"
+)
+def eval_regression(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.compare(_report(spark, d), _report(spark, d, "tf")).withColumn("delta", F.round("delta", 6))
+
+
+@_query("SELECT round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.latency(_table(spark, d, "events"), "value").withColumn("mean", F.round("mean", 6))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
