@@ -17,7 +17,7 @@ def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = files.withColumn("kind", kind).where(F.col("kind").isin(*KINDS))
     stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    found = known.select("path", "kind", stem.alias("stem"), F.decode("content", F.lit("UTF-8")).alias("text"), F.unix_timestamp("modificationTime").alias("timestamp"))
+    found = known.select("path", "kind", stem.alias("stem"), F.decode("content", "UTF-8").alias("text"), F.unix_timestamp("modificationTime").alias("timestamp"))
     skipped = files.select(kind.alias("kind")).where(~F.col("kind").isin(*KINDS)).agg(F.count("*").alias("n"))
     return found, skipped
 
