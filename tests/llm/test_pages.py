@@ -20,7 +20,7 @@ def test_keyword_pages(spark, samples):
     nouns, adds = "sofa lamp phone watch drone".split(), "cheap best free new top sale".split()
     rng = random.Random(1)
     rows = []
-    for i in range(12):
+    for i in range(24):
         kind = i % 4
         words = [f"{rng.choice(adds)} {rng.choice(nouns)}" for _ in range(30)]
         body = [" ".join(words), ", ".join(words), "#" + " #".join(w.replace(" ", "") for w in words), "The cat is on the mat in a house.\n" + "\n".join(w.title() for w in words)][kind]
@@ -30,7 +30,7 @@ def test_keyword_pages(spark, samples):
     rows += [("docs", 200, "h.z", "The cat is on the mat. A dog is in the town.\n" + "cheap sofa, best lamp, " * 10), ("docs", 201, None, None), ("docs", 202, None, ""), ("docs", 203, "q.q", "zyx wvu tsr qpo nml kji hgf edc baz yyy xxx www"), ("docs", None, "a.b", "cheap sofa " * 9)]
     df = spark.createDataFrame(rows + rows[:2], "tab string, rec_id long, host string, body string")
     got = sorted(r.rec_id for r in spam.keyword_pages(df, function).collect())
-    assert got == list(range(12))
+    assert got == list(range(24))
     assert spam.keyword_pages(df.limit(0), function).count() == 0
 
 
