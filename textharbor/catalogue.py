@@ -91,7 +91,7 @@ def _any(term: str, field: int | None = None) -> str:
 
 # --- analysis and index
 @_query(
-    f"SELECT doc_id, i - 1 AS position, regexp_replace(lower(x), '(.)σ$', '\\\\1ς') AS term FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL))"
+    f"SELECT doc_id, i - 1 AS position, regexp_replace(lower(x), '(.)σ$', '\\1ς') AS term FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL))"
 )
 def tokenize_positions(spark: SparkSession, d: str) -> DataFrame:
     terms = analyzed(F.col("body"), FieldAnalysis(stop_words=False, stemmer="none"))

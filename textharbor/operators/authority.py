@@ -15,7 +15,7 @@ def link_graph(docs: DataFrame) -> DataFrame:
     return out.join(known, "url").where("src <> dst").select("src", "dst").distinct()
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, keep_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20) -> DataFrame:
     """(node, authority): PageRank with a fixed number of rounds, scaled so that the highest is 1.
 
     Nodes without links spread their rank evenly. Links are partitioned by source once; each round shuffles one row per node
@@ -24,22 +24,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
     if not 0 <= damping < 1:
         raise ValueError("damping must be at least 0 and under 1")
     iterations = max(1, min(1000, iterations))
-    nodes = nodes.select("node").distinct()
+    nodes = cut(nodes.select("node").distinct())
     inside = edges.where("src <> dst").join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").distinct()
     degree = inside.groupBy("src").agg(F.count("*").alias("degree"))
-    links = inside.join(degree, "src").select("src", "dst", "degree").repartition("src").persist()
+    links = cut(inside.join(degree, "src").select("src", "dst", "degree").repartition("src"))
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("authority", F.lit(0.0))
-    ranks = nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").withColumn("rank", F.lit(1.0 / n)).persist()
-    for i in range(iterations):
+    ranks = nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").withColumn("rank", F.lit(1.0 / n))
+    for _ in range(iterations):
         loose = ranks.where("degree IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first().s
         given = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         base = (1 - damping) / n + damping * loose / n
         ranks = ranks.select("node", "degree").join(given.withColumnRenamed("dst", "node"), "node", "left")
         ranks = ranks.select("node", "degree", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if (i + 1) % keep_every == 0:
-            ranks = cut(ranks)
+        ranks = cut(ranks)  # one row per node; the next round reads it twice
     top = F.broadcast(ranks.agg(F.max("rank").alias("top")))  # one row
     return ranks.join(top).select("node", F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(0.0).alias("authority"))
 

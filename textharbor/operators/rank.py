@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textharbor.config import Ranking
 from textharbor.operators.index import BLOCK, IndexView
+from textharbor.operators.lineage import cut
 from textharbor.plans.query import Query
 from textharbor.plans.search import contribution, flagged, leaf_condition, matches, scoring_condition
 
@@ -83,10 +84,9 @@ def pruned_top_k(view: IndexView, query: Query, k: int, ranking: Ranking = Ranki
     Block maxima bound what a block of a term can add. The best k sums of a sample of whole documents give a threshold; documents
     whose blocks' bounds stay under it are left out before scores are summed.
     """
-    whole = IndexView(view.docs, view.doclen, view.postings, view.analysis)
-    rows = scored_postings(whole, query, ranking)
+    rows = scored_postings(view, query, ranking)
     part = F.floor(F.col("doc_id") / block)  # blocks of neighbouring ids, aligned over all terms
-    rows = rows.withColumn("block", part)
+    rows = cut(rows.withColumn("block", part))  # the postings of the query's terms only; bounds, threshold and scores read them
     bounds = rows.groupBy("field", "term", "block").agg(F.max("contrib").alias("top"), F.count("*").alias("postings"))
     by_block = bounds.groupBy("block").agg(F.sum("top").alias("bound"), F.count("*").alias("parts"))
     found, flag = flagged(view, query, [F.sum("contrib").alias("score"), F.first("block").alias("block")], rows)
