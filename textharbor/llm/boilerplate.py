@@ -42,7 +42,6 @@ REPEATS, REPEAT_SHARE = 3, 0.01
 #: Words of a sentence that count as its opening.
 OPENING = 10
 TOKEN = re.compile(r"\d+|[^\W\d_]+")
-BLANKS = re.compile(r"[\s​﻿]+")
 SPLIT = re.compile(r"\s+[|·•>/»-]\s+|\s*[|·•>/»]\s*")
 TRAIL = re.compile(r"\s+[|·•>/»]\s+")
 BULLET = re.compile(r"^\s*(?:[*•–-]|\d+[.)])\s+")
@@ -52,7 +51,7 @@ def _site(host: str | None) -> set[str]:
     return {p for p in re.split(r"[.-]", host or "") if len(p) > 2}
 
 
-def lexicon(pages: DataFrame, lexicon_share: float = LEXICON_SHARE) -> dict[str, tuple[float, int, int]]:
+def lexicon(pages: DataFrame, total: int, lexicon_share: float = LEXICON_SHARE) -> dict[str, tuple[float, int, int]]:
     """word -> (share of pages, distinct hosts, occurrences) of every word that lexicon_share of the pages or more hold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -69,33 +68,34 @@ def lexicon(pages: DataFrame, lexicon_share: float = LEXICON_SHARE) -> dict[str,
             if not flat:
                 continue
             word, of, at = (np.array(x, dtype=np.int64) for x in (flat, of, at))
-            held, times = np.unique(np.stack([word * len(host_code) + of, at], 1), axis=0, return_counts=True)
-            pair, first = np.unique(held[:, 0], return_index=True)
+            held, times = np.unique((word * len(host_code) + of) * len(hosts) + at, return_counts=True)
+            pair, first = np.unique(held // len(hosts), return_index=True)
             words, names = list(code), list(host_code)
             keep = np.array([not words[i].isdigit() for i in pair // len(host_code)])
             n, times = np.diff(np.append(first, len(held))), np.add.reduceat(times, first)
             pair = pair[keep]
             yield {"w": [words[i] for i in pair // len(host_code)], "h": [names[i] for i in pair % len(host_code)], "n": n[keep], "times": times[keep]}
 
-    total = pages.count()
     held = map_batches(pages.select("host", "body"), work, "w string, h string, n long, times long")
     found = held.groupBy("w").agg(F.sum("n").alias("n"), F.sum("times").alias("times"), F.approx_count_distinct("h").alias("hosts")).where(F.col("n") >= max(2.0, total * lexicon_share))
     return {r.w: (r.n / total, r.hosts, r.times) for r in found.collect()}
 
 
 def _form(text: str) -> str:
-    return BLANKS.sub(" ", text).strip().lower()
+    return " ".join(text.lower().replace("\u200b", " ").replace("\ufeff", " ").split())
 
 
-def _tiled(line: str, anchors: set[str], title: str) -> bool:
-    """Whether the line consists of link texts only (and at its end, at most, of the page's own title)."""
+def _tiled(line: str, anchors: set[str], starts: set[str], title: str) -> bool:
+    """Whether the line consists of link texts only (and at its end, at most, of the page's own title). starts: the link texts' first words."""
+    if line.split(" ", 1)[0] not in starts:
+        return False
     parts = [p for p in SPLIT.split(line) if p]
     if len(parts) > 1 and (parts[-1] == title or parts[-1] in anchors) and all(p in anchors for p in parts[:-1]):
         return True
     words, at = line.split(" "), 0
     reach = [True] + [False] * len(words)
     for at in range(len(words)):
-        if reach[at]:
+        if reach[at] and (words[at] in starts or not words[at][0].isalnum()):
             for to in range(at + 1, min(len(words), at + 12) + 1):
                 if " ".join(words[at:to]).strip("|·•>/»,-") in anchors:
                     reach[to] = True
@@ -103,9 +103,10 @@ def _tiled(line: str, anchors: set[str], title: str) -> bool:
 
 
 def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> DataFrame:
-    """(key, line_no, host, path, outside, sure): every line that is neither prose nor empty.
+    """(key, line_no, host, path, opening, outside, sure): every line that is not empty.
 
-    sure: 1 furniture, 0 content, null undecided. path: what is left of the line's words after generalisation.
+    sure: 1 furniture, 0 content, null undecided. path: what is left of an undecided line's words after generalisation. Prose
+    lines have no path, but a hash of their opening.
     """
     hosts = max((h for _, h, _ in words.values()), default=1)
     prose = {w for w, (share, n, _) in words.items() if share >= PROSE_SHARE / 4 and n >= min(4, max(2, hosts // 10))}
@@ -115,7 +116,7 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, prose, local = shared.value
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "outside", "sure")}
+            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "opening", "outside", "sure")}
             columns = [b.column(c).to_pylist() for c in ("key", "host", "title", "anchors", "body")]
             for key, host, title, anchors, body in zip(*columns):
                 site = _site(host)
@@ -127,20 +128,24 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                     if not line:
                         continue
                     tokens = TOKEN.findall(line)
-                    inside = sum(w in prose and w not in site for w in tokens if not w.isdigit())
-                    n = sum(not w.isdigit() for w in tokens)
-                    is_prose = n >= 7 and line[-1] in ".!?…)" and inside >= 0.95 * n
+                    is_prose = len(tokens) >= 7 and line[-1] in ".!?…)"
+                    if is_prose:
+                        other = [w for w in tokens if w not in prose or w in site]
+                        digits = sum(w.isdigit() for w in other)
+                        n = len(tokens) - digits
+                        is_prose = n >= 7 and len(other) - digits <= 0.05 * n
                     if is_prose:
                         text.append(i)
                     found.append((i, line, tokens, is_prose))
                 first, last = (text[0], text[-1]) if text else (len(lines), -1)
-                links = {i for i, line, _, _ in found if line != own and anchors and (line in anchors or _tiled(line, anchors, own))}
+                starts = {a.split(" ", 1)[0] for a in anchors}
+                links = {i for i, line, _, p in found if anchors and line != own and (line in anchors or not p and _tiled(line, anchors, starts, own))}
                 present = [i for i, *_ in found]
                 for at, (i, line, tokens, is_prose) in enumerate(found):
                     if is_prose:
                         start = ["#" if w.isdigit() else "@" if w in site or w not in known or w in local else w for w in tokens[:OPENING]]
-                        path = f"={xxhash.xxh3_64_hexdigest(' '.join(start))}"
-                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", path), ("outside", False), ("sure", None)):
+                        opening = xxhash.xxh3_64_intdigest(" ".join(start)) - (1 << 63)
+                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None), ("opening", opening), ("outside", None), ("sure", None)):
                             out[k].append(v)
                         continue
                     sure = 1 if i in links else 0 if line == own else None
@@ -154,12 +159,12 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                     run = [j in links for j in present[at + 1 : at + 3]]
                     if sure is None and len(run) == 2 and all(run) and len(tokens) <= 8 and line[-1] not in ".!?":
                         path = "^ " + path
-                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", path), ("outside", i < first or i > last), ("sure", sure)):
+                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None if sure is not None else path), ("opening", None), ("outside", i < first or i > last), ("sure", sure)):
                         out[k].append(v)
             yield out
 
     rows = pages.select("key", "host", "title", "anchors", "body")
-    return map_batches(rows, work, "key long, line_no int, host string, path string, outside boolean, sure int")
+    return map_batches(rows, work, "key long, line_no int, host string, path string, opening long, outside boolean, sure int")
 
 
 def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least: int = LEAST_VOTES, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
@@ -168,18 +173,19 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     host = F.coalesce(host_of(F.col("url")), F.concat(F.lit("#"), F.col(key).cast("string")))
     rows = one_per_key(pages, key).where(F.col(key).isNotNull() & F.col("body").isNotNull() & (F.col("body") != ""))
     rows = rows.select(F.col(key).cast("long").alias("key"), host.alias("host"), "title", anchors.alias("anchors"), "body")
-    total = rows.count()
-    words = lexicon(rows, lexicon_share)
+    on = cut(rows.groupBy("host").agg(F.count("*").alias("pages")))
+    total = on.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
+    words = lexicon(rows, total, lexicon_share)
     lines = cut(line_paths(rows, words))
-    prose = lines.where(F.col("path").startswith("="))
-    open_ = lines.where(F.col("sure").isNull() & ~F.col("path").startswith("="))
+    prose = lines.where("opening IS NOT NULL").select("key", "line_no", "host", "opening")
+    open_ = lines.where("path IS NOT NULL").select("key", "line_no", "host", "path", "outside")
 
     out = F.sum(F.col("outside").cast("int")).alias("out")
-    by_host = open_.groupBy("host", "path").agg(F.count("*").alias("n_host"), out)
-    by_path = by_host.groupBy("path").agg(F.sum("n_host").alias("n"), F.sum("out").alias("out"), F.count("*").alias("hosts"))
-    # words: how often lines outside hold them, of all their lines (those of running text counted by their page share)
-    each = open_.select(F.explode(F.array_distinct(F.split("path", " "))).alias("w"), "outside")
-    vote = each.groupBy("w").agg(F.count("*").alias("n"), out).where(F.col("n") >= least).collect()
+    by_host = open_.groupBy("host", "path").agg(F.count("*").alias("n_host"), F.sum(F.col("outside").cast("int")).alias("out"))
+    by_path = cut(by_host.groupBy("path").agg(F.sum("n_host").alias("n"), F.sum("out").alias("out"), F.count("*").alias("hosts")))
+    # words: how many of their occurrences are in undecided lines outside of the running text
+    each = by_path.select(F.explode(F.array_distinct(F.split("path", " "))).alias("w"), "n", "out")
+    vote = each.groupBy("w").agg(F.sum("n").alias("n"), F.sum("out").alias("out")).where(F.col("n") >= least).collect()  # words of the lexicon and signs
     score = {r.w: r.out / max(r.n, words[r.w][2]) for r in vote if r.w in words}
     shared = pages.sparkSession.sparkContext.broadcast((score, set(words)))
 
@@ -187,27 +193,30 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
         score, known = shared.value
         for b in batches:
             paths = b.column("path").to_pylist()
-            rates, frames = [], []
+            rates = []
             for p in paths:
                 s = sorted((score.get(w, 0.0) for w in dict.fromkeys(p.split(" ")) if w in known), reverse=True)
                 rates.append(sum(s[: max(1, (len(s) + 1) // 2)]) / max(1, (len(s) + 1) // 2) if s else 0.0)
-                frames.append(sum(x >= 0.3 for x in s))
-            yield {"path": paths, "n": b.column("n").to_numpy(), "out": b.column("out").to_numpy(), "rate": rates, "frame": frames}
+            yield {"path": paths, "n": b.column("n").to_numpy(), "out": b.column("out").to_numpy(), "rate": rates}
 
-    by_path = map_batches(by_path.select("path", "n", "out"), rate, "path string, n long, out long, rate double, frame int")
+    rated = map_batches(by_path.select("path", "n", "out"), rate, "path string, n long, out long, rate double")
+    rated = cut(rated.where((F.col("rate") >= 0.2) | F.col("path").startswith("^ ")))
     voted = (F.col("n") >= least) & (F.col("out") >= outside * F.col("n")) & (F.col("rate") >= 0.2)
     rare = (F.col("n") < least) & (F.col("rate") >= 0.35)
     announced = F.col("path").startswith("^ ") & ((F.col("rate") >= 0.2) | (F.col("n") >= least))
-    gone = by_path.where(voted | rare | announced).select("path")
+    # a host's own vote first, where it has enough lines; then that of all hosts
+    own = by_host.where((F.col("n_host") >= least) & (F.col("out") >= outside * F.col("n_host"))).join(sized(rated.where("rate >= 0.2").select("path")), "path", "left_semi")
+    gone = rated.where(voted | rare | announced).select("path")
     # sentences whose opening a host, or many hosts, repeat word for word belong to the frame
-    on = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    again = prose.groupBy("host", "path").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= REPEATS)
-    again = again.join(on, "host").where(F.col("n") >= F.col("pages") * REPEAT_SHARE).select("host", "path")
-    wide = prose.groupBy("path").agg(F.countDistinct("key").alias("n"), F.approx_count_distinct("host").alias("hosts"))
-    wide = wide.where((F.col("n") >= max(REPEATS, total * lexicon_share)) & (F.col("hosts") >= 5)).select("path")
-    found = open_.join(sized(cut(gone)), "path", "left_semi").select("key", "line_no")
-    found = found.unionByName(prose.join(sized(cut(again)), ["host", "path"], "left_semi").select("key", "line_no"))
-    found = found.unionByName(prose.join(sized(cut(wide)), "path", "left_semi").select("key", "line_no"))
+    often = prose.groupBy("opening").agg(F.count("*").alias("n"), F.approx_count_distinct("host").alias("hosts")).where(F.col("n") >= REPEATS)
+    often = sized(cut(often))  # nearly all openings stand once
+    again = prose.join(often.select("opening"), "opening").groupBy("host", "opening").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= REPEATS)
+    again = again.join(on, "host").where(F.col("n") >= F.col("pages") * REPEAT_SHARE).select("host", "opening")
+    wide = often.where((F.col("n") >= max(REPEATS, total * lexicon_share)) & (F.col("hosts") >= 5)).select("opening")
+    found = open_.join(sized(cut(own.select("host", "path"))), ["host", "path"], "left_semi").select("key", "line_no")
+    found = found.unionByName(open_.join(sized(cut(gone)), "path", "left_semi").select("key", "line_no"))
+    found = found.unionByName(prose.join(sized(cut(again)), ["host", "opening"], "left_semi").select("key", "line_no"))
+    found = found.unionByName(prose.join(sized(cut(wide)), "opening", "left_semi").select("key", "line_no"))
     found = found.unionByName(lines.where("sure = 1").select("key", "line_no"))
     return found.distinct().withColumnRenamed("key", key)
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,13 +97,17 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def hash_words(words: list[str], seen: dict[str, int]) -> list[int]:
-    """Stable 64-bit hashes; ``seen`` keeps them from batch to batch and is emptied when it holds a million."""
-    import xxhash
+class Hashes(dict):
+    """Stable 64-bit hashes of words, kept from batch to batch; emptied when it holds a million."""
 
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def hash_words(words: list[str], seen: Hashes) -> np.ndarray:
     if len(seen) > 1_000_000:
         seen.clear()
-    for w in set(words):
-        if w not in seen:
-            seen[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return [seen[w] for w in words]
+    return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))

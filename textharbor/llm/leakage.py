@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import WORD, hash_words, map_batches
+from textharbor.llm.common import WORD, Hashes, hash_words, map_batches
 
 PASSAGE = 12
 SHINGLE = 5
@@ -61,10 +61,10 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     spark = documents.sparkSession
     own = passage - SHINGLE + 1
     rows = items.select(F.col(item).alias("i"), F.col(prompt).alias("p")).where("i IS NOT NULL AND p IS NOT NULL").distinct().limit(MOST_PASSAGES + 1).collect()
-    seen: dict[str, int] = {}
+    seen = Hashes()
     exact, ids, shingles = [], [], []
     for r in rows:
-        h = np.array(hash_words(WORD.findall(r.p.lower()), seen), dtype=np.uint64)
+        h = hash_words(WORD.findall(r.p.lower()), seen)
         run = _rolling(h, passage)
         exact.append(run)
         ids += [r.i] * len(run)
@@ -82,12 +82,12 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     shared = spark.sparkContext.broadcast((runs, owner, minima))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: dict[str, int] = {}
+        seen = Hashes()
         runs, owner, minima = shared.value
         for b in batches:
             keys = b.column("k").to_numpy()
             lists = [WORD.findall(t.lower()) for t in b.column("t").to_pylist()]
-            h = np.array(hash_words([w for x in lists for w in x], seen), dtype=np.uint64)
+            h = hash_words([w for x in lists for w in x], seen)
             count = np.array([len(x) for x in lists], dtype=np.int64)
             start = np.cumsum(count) - count
             use = count >= passage

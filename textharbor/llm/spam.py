@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import WORD, cut, hash_words, map_batches
+from textharbor.llm.common import WORD, Hashes, cut, hash_words, map_batches
 
 MIN_HOSTS = 3
 MIN_SHARE = 0.5
@@ -64,16 +64,18 @@ def _judge(body: str, function: set[str]) -> tuple[int, int, list[list[str]], in
     return real, sum(map(len, rest)), rest, common
 
 
-def _phrases(words: list[str], bounds: np.ndarray, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all two-word shingles and the number of the text each is from. bounds: end of each text."""
-    h = np.array(hash_words(words, seen), dtype=np.uint64)
-    if len(h) < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.searchsorted(bounds, np.arange(len(h)), side="right")
-    same = at[1:] == at[:-1]
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of two words."""
     with np.errstate(over="ignore"):
-        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + (h[:-1] >> np.uint64(29)))
-    return pair[same], at[1:][same]
+        return (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + (h[:-1] >> np.uint64(29)))
+
+
+def _phrases(segments: list[list[str]], seen: Hashes) -> np.ndarray:
+    """Distinct hashes of the two-word shingles of segments; a segment of one word is a phrase itself."""
+    h = hash_words([w for s in segments for w in s], seen)
+    of = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+    alone = np.array([len(s) == 1 for s in segments])[of]
+    return np.unique(np.concatenate([_pairs(h)[of[1:] == of[:-1]], h[alone]])).view(np.int64)
 
 
 def keyword_pages(pages: DataFrame, function: set[str], min_hosts: int = MIN_HOSTS, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
@@ -86,7 +88,7 @@ def keyword_pages(pages: DataFrame, function: set[str], min_hosts: int = MIN_HOS
     words_of = spark.sparkContext.broadcast(function)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: dict[str, int] = {}
+        seen = Hashes()
         known = words_of.value
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("tab", "rec_id", "real", "words", "common", "phrases")}
@@ -94,11 +96,7 @@ def keyword_pages(pages: DataFrame, function: set[str], min_hosts: int = MIN_HOS
                 if (found := _judge(body, known)) is None or found[1] < min_words:
                     continue
                 real, n, rest, common = found
-                ends = np.cumsum([len(s) for s in rest])
-                pair, _ = _phrases([w for s in rest for w in s], ends, seen)
-                if len(rest) > len(pair):  # one-word segments (tags): the segment is the phrase
-                    pair = np.concatenate([pair, np.array(hash_words([s[0] for s in rest if len(s) == 1], seen), dtype=np.uint64)])
-                for k, v in (("tab", tab), ("rec_id", key), ("real", real), ("words", n), ("common", common), ("phrases", np.unique(pair).view(np.int64).tolist())):
+                for k, v in (("tab", tab), ("rec_id", key), ("real", real), ("words", n), ("common", common), ("phrases", _phrases(rest, seen).tolist())):
                     out[k].append(v)
             yield out
 
@@ -119,29 +117,33 @@ def _count_hosts(pages: DataFrame, phrase: DataFrame, min_hosts: int) -> DataFra
     spark = pages.sparkSession
     wide = phrase.count() > MOST_PHRASES
     wanted = None if wide else spark.sparkContext.broadcast(np.sort(np.array([r.p for r in phrase.toLocalIterator()], dtype=np.int64)))
-    text = pages.select(F.coalesce(F.xxhash64("host"), F.xxhash64("tab", "rec_id")).alias("h") if "host" not in pages.columns else F.when(F.col("host").isNull(), F.xxhash64("tab", "rec_id")).otherwise(F.xxhash64("host")).alias("h"), "body")
+    text = pages.select(F.when(F.col("host").isNull(), F.xxhash64("tab", "rec_id")).otherwise(F.xxhash64("host")).alias("h"), "body")
 
     def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: dict[str, int] = {}
+        seen = Hashes()
+        w = None if wanted is None else wanted.value
+        likely = np.zeros(1 << 20, bool)  # by the upper 20 bits: most shingles are no candidates and end here
+        if w is not None:
+            likely[(w.view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
         for b in batches:
             host = b.column("h").to_numpy()
-            bodies = b.column("body").to_pylist()
-            lists = [WORD.findall(x.lower()) for x in bodies]
-            ends = np.cumsum([len(x) for x in lists])
-            flat = [w for x in lists for w in x]
-            pair, at = _phrases(flat, ends, seen)
-            one = np.array(hash_words(flat, seen), dtype=np.uint64)
-            pair = np.concatenate([pair, one]).view(np.int64)
-            at = np.concatenate([at, np.searchsorted(ends, np.arange(len(flat)), side="right")])
-            if wanted is not None and len(pair):
-                w = wanted.value
-                i = np.minimum(np.searchsorted(w, pair), max(0, len(w) - 1))
-                keep = (w[i] == pair) if len(w) else np.zeros(len(pair), bool)
-                pair, at = pair[keep], at[keep]
-            if not len(pair):
+            lists = [WORD.findall(x.lower()) for x in b.column("body").to_pylist()]
+            one = hash_words([w for x in lists for w in x], seen)
+            if not len(one):
                 continue
-            both = np.unique(np.stack([pair, host[at]], 1), axis=0)
-            yield {"p": both[:, 0], "h": both[:, 1]}
+            of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            pair = np.concatenate([_pairs(one), one])
+            at = np.concatenate([of[1:], of])
+            keep = np.concatenate([of[1:] == of[:-1], np.ones(len(one), bool)])
+            if w is not None:
+                keep &= likely[(pair >> np.uint64(44)).astype(np.int64)]
+            pair, at = pair[keep].view(np.int64), at[keep]
+            if w is not None and len(w):
+                same = w[np.minimum(np.searchsorted(w, pair), len(w) - 1)] == pair
+                pair, at = pair[same], at[same]
+            if len(pair):
+                both = np.unique(np.stack([pair, host[at]], 1), axis=0)
+                yield {"p": both[:, 0], "h": both[:, 1]}
 
     found = map_batches(text, carried, "p long, h long")
     if wide:
