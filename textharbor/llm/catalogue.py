@@ -15,11 +15,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.found_lines(table(spark, d, "docs")).select("doc_id", "line_no")
 
 
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of docs with its body without the lines that its site repeats."""
+    return sitelines.without_repeated_lines(table(spark, d, "docs")).select("doc_id", "clean_body", "removed")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = lookalike.same_looking(table(spark, d, "docs"), "doc_id", "title")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p2_titles(spark: SparkSession, d: str) -> DataFrame:
+    """One consistent form and a skeleton of every distinct title."""
+    return lookalike.consistent_forms(table(spark, d, "docs").select(F.col("title").alias("s")))
+
+
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    """The same of every distinct term, which analysis lower-cased."""
+    return lookalike.consistent_forms(table(spark, d, "tokens").select(F.col("term").alias("s")), lowered=True)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs, samples = table(spark, d, "docs"), table(spark, d, "lang_samples")
     found = language.wrong_labels(docs, "doc_id", "body", "language", language.model_of(samples, docs))
@@ -27,6 +42,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.join(sized(cut(spam_docs)), "doc_id", "left_anti").select("doc_id", "line_no", "language")
 
 
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every document and of every foreign line."""
+    docs, samples = table(spark, d, "docs"), table(spark, d, "lang_samples")
+    return language.identify(docs, "doc_id", "body", "language", language.model_of(samples, docs))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "extracted")
     spam_ids = spam.spam_pages(None, pages, table(spark, d, "lang_samples")).select(F.col("rec_id").alias("page_id"))
@@ -34,11 +55,27 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.join(sized(cut(spam_ids)), "page_id", "left_anti")
 
 
+def p4_main(spark: SparkSession, d: str) -> DataFrame:
+    """Every page with its main body and headings."""
+    return boilerplate.main_content(table(spark, d, "extracted"), "page_id").select("page_id", "main_body", "main_headings")
+
+
+def p4_main_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of docs with its main body."""
+    docs = table(spark, d, "docs").select("doc_id", "url", "title", "headings", "body")
+    return boilerplate.main_content(docs, "doc_id").select("doc_id", "main_body", "main_headings")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body", min_tf=3, max_df=4)
     return found.where(F.col("term").rlike(r"\p{L}")).select("doc_id", "term")
 
 
+def p5_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The graph-of-words weight of every term of every record."""
+    return distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "docs"), table(spark, d, "extracted"), table(spark, d, "lang_samples")).select("tab", "rec_id")
 
@@ -55,11 +92,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p7_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of later batches whose text hash a signature accepted before them holds: (doc_id, first accepted doc_id)."""
+    return history.known_hashes(table(spark, d, "docs"), table(spark, d, "dedup_state"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "prompt")
     return found.select("doc_id", "item_id")
 
 
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked item with the number of its documents."""
+    found = leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "prompt")
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_places"))
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[0]
 
@@ -87,5 +135,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+_HOST = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)', 1)"
+_FORM = r"trim(regexp_replace(regexp_replace(lower(x), '[\s\p{Z}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
+_ONE = "one AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seg) = 1)"
+SQL = {
+    "p1_found": f"""WITH {_ONE}, l AS (SELECT doc_id, {_HOST} AS host, unnest(string_split(body, chr(10))) AS x, unnest(range(len(string_split(body, chr(10)))))::INT AS line_no FROM one WHERE url IS NOT NULL AND body IS NOT NULL),
+f AS (SELECT doc_id, host, line_no, {_FORM} AS form FROM l WHERE host <> ''), g AS (SELECT host, form FROM f WHERE form <> '' GROUP BY host, form HAVING count(DISTINCT doc_id) >= 10) SELECT doc_id, line_no FROM f JOIN g USING (host, form)""",
+    "p5_found": f"WITH {_ONE}"
+    + r""", w AS (SELECT doc_id, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+')) AS term FROM one), c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT term FROM c GROUP BY term HAVING count(*) <= 4) SELECT doc_id, term FROM c JOIN d USING (term) WHERE tf >= 3 AND regexp_matches(term, '\p{L}')""",
+    "p7_exact": "WITH s AS (SELECT lower(exact) AS h, min(doc_id) AS accepted FROM dedup_state WHERE exact IS NOT NULL GROUP BY 1) SELECT doc_id, min(accepted) AS accepted FROM docs JOIN s ON lower(content_hash) = h WHERE accepted < doc_id GROUP BY doc_id",
+    "p8_found": r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), p AS (SELECT item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') AS w FROM eval_items),
+tr AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12)), pr AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM p WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM tr JOIN pr USING (run)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
