@@ -66,9 +66,9 @@ def has_site(query: Query) -> bool:
     return any(isinstance(q, Site) for q, _ in query.leaves())
 
 
-def _phrase_flag(leaf: Phrase) -> Column:
-    """Whether consecutive positions hold the phrase's terms, from the positions gathered per term."""
-    places = [F.col(f"__p{abs(hash((leaf, t)))}") for t in leaf.terms]
+def _phrase_flag(leaf: Phrase, places: dict[str, str]) -> Column:
+    """Whether consecutive positions hold the phrase's terms. places: the columns of the positions gathered per term."""
+    places = [F.col(places[t]) for t in leaf.terms]
     first, rest = places[0], list(enumerate(places))[1:]
     after = lambda p: reduce(lambda a, b: a & b, [F.array_contains(x, p + i) for i, x in rest])
     return F.coalesce(F.exists(first, after), F.lit(False))
@@ -83,10 +83,11 @@ def flagged(view: IndexView, query: Query, extra: list[Column] | None = None, po
     aggregates, flag = list(extra or []), {}
     for i, leaf in enumerate(looked):
         if isinstance(leaf, Phrase):
-            for t in dict.fromkeys(leaf.terms):
+            places = {t: f"__p{i}_{j}" for j, t in enumerate(dict.fromkeys(leaf.terms))}
+            for t, name in places.items():
                 here = (F.col("field") == leaf.field) & (F.col("term") == t)
-                aggregates.append(F.first(F.when(here, F.col("positions")), ignorenulls=True).alias(f"__p{abs(hash((leaf, t)))}"))
-            flag[leaf] = _phrase_flag(leaf)
+                aggregates.append(F.first(F.when(here, F.col("positions")), ignorenulls=True).alias(name))
+            flag[leaf] = _phrase_flag(leaf, places)
         else:
             aggregates.append(F.max(leaf_condition(leaf)).alias(f"__f{i}"))
             flag[leaf] = F.coalesce(F.col(f"__f{i}"), F.lit(False))
