@@ -19,11 +19,11 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from textharbor.llm.common import one_per_key, sized
+from textharbor.llm.common import cut, one_per_key, sized
 
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
@@ -103,30 +103,20 @@ def consistent_forms(strings: DataFrame, lowered: bool = False) -> DataFrame:
     spark = strings.sparkSession
     distinct = strings.where("s IS NOT NULL").select("s").distinct()
     plain = distinct.where(~F.col("s").rlike(r"[^\x00-\x7F]")).select("s", _blanks(F.col("s")).alias("form"), _blanks(F.col("s")).alias("skeleton"))
-    points = distinct.where(F.col("s").rlike(r"[^\x00-\x7F]")).select("s", F.posexplode(F.regexp_extract_all("s", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
+    # exploded rows carry a digest, not the string: a long string would be repeated for each of its characters
+    rich = distinct.where(F.col("s").rlike(r"[^\x00-\x7F]")).select("s", F.md5("s").alias("id"))
+    points = rich.select("id", F.posexplode(F.regexp_extract_all("s", F.lit("(?s)."), F.lit(0))).alias("pos", "ch"))
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("class")))
-    points = points.join(F.broadcast(mapping(spark)), "ch", "left").select("s", "pos", F.coalesce("form", own).alias("form"), F.coalesce("skeleton", own).alias("skeleton"))
-    whole = points.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("pos", "form", "skeleton"))).alias("p"))
-
-    def rebuilt(which: str):
-        flat = F.flatten(F.transform("p", lambda x: x[which]))
-        # each part gets the number of bases up to it; marks are ordered by class behind their base, in place among equals
-        base = F.aggregate(
-            flat,
-            F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<n:int,class:int,i:int,c:string>>").alias("out")),
-            lambda acc, x: F.struct(
-                F.when(x["class"] == 0, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(F.when(x["class"] == 0, acc["n"] + 1).otherwise(acc["n"]).alias("n"), x["class"].alias("class"), F.size(acc["out"]).alias("i"), x["c"].alias("c"))),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.array_join(F.transform(F.array_sort(base), lambda x: x["c"]), "")
-
-    forms = whole.select("s", _unmix(_blanks(_recompose(rebuilt("form")))).alias("form"), _blanks(_recompose(rebuilt("skeleton"))).alias("skeleton"))
-    both = plain.unionByName(forms)
+    points = points.join(F.broadcast(mapping(spark)), "ch", "left").select("id", "pos", F.coalesce("form", own).alias("form"), F.coalesce("skeleton", own).alias("skeleton"))
+    both = F.explode(F.array(*[F.struct(F.lit(w).alias("kind"), F.col(w).alias("parts")) for w in ("form", "skeleton")]))
+    parts = points.select("id", "pos", both.alias("x")).select("id", "pos", "x.kind", F.posexplode("x.parts").alias("sub", "part")).select("id", "kind", "pos", "sub", "part.c", "part.class")
+    # a mark belongs to the base before it: number the bases, then order each one's marks by class, in place among equals
+    base = F.sum(F.when(F.col("class") == 0, 1).otherwise(0)).over(Window.partitionBy("id", "kind").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ordered = parts.withColumn("base", base).groupBy("id", "kind").agg(F.sort_array(F.collect_list(F.struct("base", "class", "pos", "sub", "c"))).alias("p"))
+    text = ordered.select("id", "kind", F.array_join(F.transform("p", lambda x: x["c"]), "").alias("t"))
+    made = text.groupBy("id").agg(*[F.max(F.when(F.col("kind") == w, F.col("t"))).alias(w) for w in ("form", "skeleton")])
+    made = rich.join(made, "id", "left").select("s", *[F.coalesce(w, F.lit("")).alias(w) for w in ("form", "skeleton")])  # nothing is left of invisible strings
+    both = plain.unionByName(made.select("s", _unmix(_blanks(_recompose("form"))).alias("form"), _blanks(_recompose("skeleton")).alias("skeleton")))
     if lowered:
         # Greek and Cyrillic lower-case letters that only their capitals explain, in words that are Latin otherwise
         fix = F.translate("skeleton", "".join(LOWERED), "".join(LOWERED.values()))
@@ -142,7 +132,7 @@ def same_looking(docs: DataFrame, key: str, text: str) -> DataFrame:
     Distinct strings of one skeleton are paired first, records join afterwards, so that equal strings never meet.
     """
     rows = one_per_key(docs.select(key, text), key).select(F.col(key).alias("k"), F.col(text).alias("s")).where("k IS NOT NULL AND s IS NOT NULL")
-    forms = consistent_forms(rows.select("s")).where("skeleton <> ''").select("s", "skeleton")
+    forms = cut(consistent_forms(rows.select("s")).where("skeleton <> ''").select("s", "skeleton"))
     many = forms.groupBy("skeleton").agg(F.count("*").alias("n")).where("n > 1").select("skeleton")
     forms = forms.join(many, "skeleton", "left_semi")
     strings = forms.alias("x").join(forms.withColumnRenamed("s", "t"), "skeleton").where("s < t").select("s", "t")
