@@ -14,7 +14,9 @@ def samples(spark):
     return spark.createDataFrame(SAMPLES, "language string, sample string")
 
 
-def test_keyword_pages(spark, samples):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_keyword_pages(spark, samples, monkeypatch, most):
+    monkeypatch.setattr(spam, "MOST_PHRASES", most)
     function = spam.function_words(samples)
     assert {"the", "der"} <= function and "cat" not in function
     nouns, adds = "sofa lamp phone watch drone".split(), "cheap best free new top sale".split()

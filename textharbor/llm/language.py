@@ -67,7 +67,7 @@ class Unigrams:
 
     def word(self, word: str) -> np.ndarray:
         """Natural log of the word's probability in each language, summed over all segmentations."""
-        s = "▁" + word[:200]
+        s = "▁" + word
         alpha = [np.ones(len(self.languages))]
         shift = 0.0
         for j in range(1, len(s) + 1):
