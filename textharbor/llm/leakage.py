@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import WORD, Hashes, hash_words, map_batches
+from textharbor.llm.common import WORD, Hashes, hash_words, map_batches, slices
 
 PASSAGE = 12
 SHINGLE = 5
@@ -84,7 +84,7 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen = Hashes()
         runs, owner, minima = shared.value
-        for b in batches:
+        for b in slices(batches, 250):
             keys = b.column("k").to_numpy()
             lists = [WORD.findall(t.lower()) for t in b.column("t").to_pylist()]
             h = hash_words([w for x in lists for w in x], seen)
