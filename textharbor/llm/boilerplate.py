@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import cut, host_of, map_batches, one_per_key, sized
+from textharbor.llm.common import cut, host_of, map_batches, one_per_key, sized, slices
 
 LEXICON_SHARE = 0.001
 PROSE_SHARE = 0.01
@@ -55,7 +55,7 @@ def lexicon(pages: DataFrame, total: int, lexicon_share: float = LEXICON_SHARE)
     """word -> (share of pages, distinct hosts, occurrences) of every word that lexicon_share of the pages or more hold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
+        for b in slices(batches, 1000):
             hosts = b.column("host").to_pylist()
             code: dict[str, int] = {}
             host_code: dict[str, int] = {}

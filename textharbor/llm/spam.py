@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import WORD, Hashes, cut, hash_words, map_batches
+from textharbor.llm.common import WORD, Hashes, cut, hash_words, map_batches, slices
 
 MIN_HOSTS = 3
 MIN_SHARE = 0.5
@@ -125,7 +125,7 @@ def _count_hosts(pages: DataFrame, phrase: DataFrame, min_hosts: int) -> DataFra
         likely = np.zeros(1 << 20, bool)  # by the upper 20 bits: most shingles are no candidates and end here
         if w is not None:
             likely[(w.view(np.uint64) >> np.uint64(44)).astype(np.int64)] = True
-        for b in batches:
+        for b in slices(batches, 500):
             host = b.column("h").to_numpy()
             lists = [WORD.findall(x.lower()) for x in b.column("body").to_pylist()]
             one = hash_words([w for x in lists for w in x], seen)
