@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import WORD, cut, map_batches, one_per_key
+from textharbor.llm.common import WORD, cut, map_batches, one_per_key, sized
 
 WINDOW = 4
+#: Records whose edges a worker holds at once.
+ROWS = 1000
 
 
 def _batch(keys: np.ndarray, texts: list[str], window: int, min_tf: int) -> tuple[dict, list[str], np.ndarray]:
@@ -51,7 +53,7 @@ def _batch(keys: np.ndarray, texts: list[str], window: int, min_tf: int) -> tupl
         at = np.searchsorted(wanted, node)
         degree[at] = count
     frequency = tf[tf >= min_tf]
-    return {"key": keys[wanted // n], "term": [words[i] for i in wanted % n], "tf": frequency, "degree": degree}, words, df
+    return {"key": keys[wanted // n], "term": pa.array(words, pa.string()).take(pa.array(wanted % n)), "tf": frequency, "degree": degree}, words, df
 
 
 def term_weights(records: DataFrame, key: str, text: str, window: int = WINDOW, min_tf: int = 1, max_df: int | None = None) -> DataFrame:
@@ -64,11 +66,11 @@ def term_weights(records: DataFrame, key: str, text: str, window: int = WINDOW,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         partial: dict[str, int] = {}
-        for b in batches:
+        for b in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
             out, words, df = _batch(b.column("key").to_numpy(), b.column("text").to_pylist(), window, min_tf)
             for w, n in zip(words, df.tolist()):
                 partial[w] = partial.get(w, 0) + n
-            yield out | {"df": [None] * len(out["key"])}
+            yield out | {"df": pa.nulls(len(out["key"]), pa.int64())}
             if len(partial) > 500_000:
                 yield {"key": [None] * len(partial), "term": list(partial), "tf": [0] * len(partial), "degree": [0] * len(partial), "df": list(partial.values())}
                 partial = {}
@@ -80,7 +82,7 @@ def term_weights(records: DataFrame, key: str, text: str, window: int = WINDOW,
         df = df.where(F.col("df") <= max_df)
     terms = both.where("key IS NOT NULL").select("key", "term", "tf", "degree")
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.join(df, "term").select(F.col("key").alias(key), "term", "tf", "degree", "df", idf.alias("idf"), (F.col("degree") * idf).alias("weight"))
+    return terms.join(sized(cut(df)), "term").select(F.col("key").alias(key), "term", "tf", "degree", "df", idf.alias("idf"), (F.col("degree") * idf).alias("weight"))
 
 
 def rarity(n: int, df: int) -> float:
