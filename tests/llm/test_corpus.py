@@ -55,6 +55,19 @@ def test_repeats_equal_brute_force(spark, hot):
     assert history.repeats(df.limit(0), "doc_id", "body", "seg").count() == 0
 
 
+def test_copied_lines_keep_their_minima(spark):
+    rng = random.Random(21)
+    lines = [[w[: rng.choice([3, 3, 5, 5, 5])] for w in words(rng, 40)] for _ in range(6)]
+    rows = [(i, "\n".join(map(" ".join, lines)), 0) for i in range(12)]
+    for i in range(12):
+        changed = [list(x) for x in lines]
+        changed[i % 6][rng.randrange(40)] = "changed"
+        rows.append((100 + i, "\n".join(map(" ".join, changed)), 1))
+    df = spark.createDataFrame(rows, "doc_id long, body string, seg int")
+    got = {(r.a, r.b) for r in history.repeats(df, "doc_id", "body", "seg").collect()}
+    assert got == {(a, 100 + b) for a in range(12) for b in range(12)}
+
+
 def test_pivot_pairs_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
