@@ -68,6 +68,41 @@ def test_copied_lines_keep_their_minima(spark):
     assert got == {(a, 100 + b) for a in range(12) for b in range(12)}
 
 
+def scattered(rng, pairs, sizes, keep=0.8):
+    """Rows of texts and of copies with scattered changes, and the pairs that keep five consecutive words in common."""
+    rows, kept = [], set()
+    for i in range(pairs):
+        a = words(rng, rng.choice(sizes))
+        b = list(a)
+        for at in rng.sample(range(len(a)), int(len(a) * (1 - keep) + 1e-9)):
+            b[at] = "changed"
+        rows += [(2 * i, " ".join(a), 0), (2 * i + 1, " ".join(b), 1)]
+        if any("changed" not in b[at : at + 5] for at in range(len(b) - 4)):
+            kept.add((2 * i, 2 * i + 1))
+    return rows, kept
+
+
+def test_pairs_that_share_crowded_minima_only(spark):
+    rows, kept = scattered(random.Random(22), 40, [64])
+    df = spark.createDataFrame(rows, "doc_id long, body string, seg int")
+    got = {(r.a, r.b) for r in history.repeats(df, "doc_id", "body", "seg", hot=1).collect()}
+    assert len(got) >= 0.9 * len(kept) and got <= kept
+
+
+def test_blocks_of_a_bucket_lose_no_pair(spark):
+    rng = random.Random(23)
+    base = words(rng, 60)
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(50), rng.choice([2, 6, 12])):
+            w[at] = words(rng, 1)[0]
+        rows.append((i, " ".join(w), i // 20))
+    df = spark.createDataFrame(rows, "doc_id long, body string, seg int")
+    got = {(r.a, r.b) for r in history.repeats(df, "doc_id", "body", "seg", hot=7).collect()}
+    assert got == brute_repeats(rows) and got
+
+
 def test_pivot_pairs_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
