@@ -103,6 +103,17 @@ def test_blocks_of_a_bucket_lose_no_pair(spark):
     assert got == brute_repeats(rows) and got
 
 
+def test_repeats_of_two_originals_keep_both(spark):
+    rng = random.Random(24)
+    rows = []
+    for i in range(0, 24, 3):
+        base = words(rng, 100)  # all that the second original shares with the repeat, the first one shares too
+        rows += [(i, " ".join(base[17:]), 0), (i + 1, " ".join(words(rng, 15) + base[15:] + words(rng, 6)), 0), (i + 2, " ".join(base), 1)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, seg int")
+    got = {(r.a, r.b) for r in history.repeats(df, "doc_id", "body", "seg", hot=1).collect()}
+    assert got == {(i + k, i + 2) for i in range(0, 24, 3) for k in range(2)}
+
+
 def test_pivot_pairs_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
