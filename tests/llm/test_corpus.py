@@ -114,6 +114,13 @@ def test_repeats_of_two_originals_keep_both(spark):
     assert got == {(i + k, i + 2) for i in range(0, 24, 3) for k in range(2)}
 
 
+def test_short_texts_keep_all_shingles(spark):
+    rows, kept = scattered(random.Random(25), 40, [40, 50, 60])
+    df = spark.createDataFrame(rows, "doc_id long, body string, seg int")
+    got = {(r.a, r.b) for r in history.repeats(df, "doc_id", "body", "seg").collect()}
+    assert got == kept and len(kept) > 20
+
+
 def test_pivot_pairs_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
