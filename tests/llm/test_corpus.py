@@ -236,6 +236,19 @@ def test_garbled_text(spark):
     assert encoding.garbled(df.limit(0), "doc_id", "text", tables).count() == 0
 
 
+def test_margin_counts_all_records_and_parts_garbled_ones(spark):
+    rng = random.Random(26)
+    vocab = "город река книга школа зима лес вода поле дорога письмо".split()
+    line = lambda: " ".join(rng.choice(vocab) for _ in range(12))
+    rows = [(i, line()) for i in range(600)] + [(1000 + i, line().encode(("koi8-r", "cp1251", "cp1251")[i % 3]).decode(("cp1251", "koi8-r", "cp1252")[i % 3])) for i in range(90)] + [(2000 + i, "only ascii") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = encoding.train(df, "text")
+    margin = encoding.validated_margin(df, "doc_id", "text", tables)
+    assert margin < 30 and encoding.line_gains(df, "doc_id", "text", tables)[1].sum() == 690
+    assert {r.doc_id for r in encoding.garbled(df, "doc_id", "text", tables, line_margin=margin).collect()} == set(range(1000, 1090))
+    assert encoding.validated_margin(df.limit(0), "doc_id", "text", tables) == 12
+
+
 def test_candidate_chains_round_trip():
     for wrong, right in encoding.CHAINS:
         for text in ("Größe déjà niño", "город река"):
