@@ -91,3 +91,19 @@ def test_furniture(spark):
     clean = {r.page_id: r for r in boilerplate.main_content(df, "page_id").collect()}
     assert clean[5].main_body.startswith(clean[5].title) and "rights" not in clean[5].main_body and "flour" in clean[5].main_body and clean[900].main_body is None and clean[902].main_body == "One line"
     assert boilerplate.furniture_lines(df.limit(0), "page_id").count() == 0
+
+
+def test_lines_in_a_hosts_own_words(spark):
+    rng = random.Random(5)
+    nouns, verbs = [f"noun{chr(97 + i)}" for i in range(12)], [f"verb{chr(97 + i)}" for i in range(8)]
+    sentence = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} the {rng.choice(nouns)} and {rng.choice(verbs)} a {rng.choice(nouns)}."
+    rows, expected = [], set()
+    for i in range(90):
+        own = i % 3 == 0  # one host holds a third of the pages
+        host = "big.test" if own else f"site{chr(97 + i % 7)}.test"
+        menu, legal = (["Quorvex Zindle Brumf"], ["Drelk Vonta 2019"]) if own else ([], [])
+        lines = [*menu, f"The {rng.choice(nouns)} of {rng.choice(nouns)} {i}", sentence(), "Kelvo Trint" if own else "", sentence(), *legal]
+        rows.append((i, f"http://{host}/{i}", lines[len(menu)], "\n".join(lines)))
+        expected |= {(i, 0), (i, 5)} if own else set()
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, body string")
+    assert {(r.page_id, r.line_no) for r in boilerplate.furniture_lines(df, "page_id").collect()} == expected

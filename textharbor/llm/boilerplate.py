@@ -9,7 +9,8 @@ hosts' sentences) too (``w``). What is left are the words that belong to the pag
 2. *Score.* On every page, running text spans from its first to its last prose line; a line is inside or outside of it. Lines
    made of link texts only, and trails that end in the page's own title, are furniture at once; the page's own title is not.
 3. *Vote.* Per host and path, and per path over all hosts, the lines outside are counted against those inside. Word votes
-   serve paths too rare to vote on.
+   serve paths too rare to vote on. Lines without a word of the lexicon that several hosts know, as a site's own menu or slogan, have no
+   word votes: their host votes on the words themselves (*form*).
 4. *Extraction.* Lines whose path is voted furniture go; all others are main content. Headings that only announce a run of
    link texts go with it.
 
@@ -37,6 +38,8 @@ PROSE_SHARE = 0.01
 #: A path is furniture from this share of lines outside the running text on, within its host or over all hosts.
 OUTSIDE = 0.15
 LEAST_VOTES = 8
+#: Share of its pages on which a host repeats a line in its own words, and share of these lines outside of the running text.
+OWN_SHARE, OWN_OUTSIDE = 0.1, 0.5
 #: Pages, and share of its pages, on which a host repeats a sentence of its frame.
 REPEATS, REPEAT_SHARE = 3, 0.01
 #: Words of a sentence that count as its opening.
@@ -103,10 +106,10 @@ def _tiled(line: str, anchors: set[str], starts: set[str], title: str) -> bool:
 
 
 def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> DataFrame:
-    """(key, line_no, host, path, opening, outside, sure): every line that is not empty.
+    """(key, line_no, host, path, form, opening, outside, sure): every line that is not empty.
 
     sure: 1 furniture, 0 content, null undecided. path: what is left of an undecided line's words after generalisation. Prose
-    lines have no path, but a hash of their opening.
+    lines have no path, but a hash of their opening. form: hash of the words of a line whose path is generalised throughout.
     """
     hosts = max((h for _, h, _ in words.values()), default=1)
     prose = {w for w, (share, n, _) in words.items() if share >= PROSE_SHARE / 4 and n >= min(4, max(2, hosts // 10))}
@@ -116,7 +119,7 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, prose, local = shared.value
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "opening", "outside", "sure")}
+            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "form", "opening", "outside", "sure")}
             columns = [b.column(c).to_pylist() for c in ("key", "host", "title", "anchors", "body")]
             for key, host, title, anchors, body in zip(*columns):
                 site = _site(host)
@@ -145,7 +148,7 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                     if is_prose:
                         start = ["#" if w.isdigit() else "@" if w in site or w not in known or w in local else w for w in tokens[:OPENING]]
                         opening = xxhash.xxh3_64_intdigest(" ".join(start)) - (1 << 63)
-                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None), ("opening", opening), ("outside", None), ("sure", None)):
+                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None), ("form", None), ("opening", opening), ("outside", None), ("sure", None)):
                             out[k].append(v)
                         continue
                     sure = 1 if i in links else 0 if line == own else None
@@ -159,12 +162,15 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                     run = [j in links for j in present[at + 1 : at + 3]]
                     if sure is None and len(run) == 2 and all(run) and len(tokens) <= 8 and line[-1] not in ".!?":
                         path = "^ " + path
-                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None if sure is not None else path), ("opening", None), ("outside", i < first or i > last), ("sure", sure)):
+                    form = None
+                    if sure is None and any(not w.isdigit() for w in tokens) and all(w.isdigit() or w in site or w not in known or w in local for w in tokens):
+                        form = xxhash.xxh3_64_intdigest(" ".join("#" if w.isdigit() else w for w in tokens).encode("utf-8", "surrogatepass")) - (1 << 63)
+                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None if sure is not None else path), ("form", form), ("opening", None), ("outside", i < first or i > last), ("sure", sure)):
                         out[k].append(v)
             yield out
 
     rows = pages.select("key", "host", "title", "anchors", "body")
-    return map_batches(rows, work, "key long, line_no int, host string, path string, opening long, outside boolean, sure int")
+    return map_batches(rows, work, "key long, line_no int, host string, path string, form long, opening long, outside boolean, sure int")
 
 
 def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least: int = LEAST_VOTES, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
@@ -178,7 +184,7 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     words = lexicon(rows, total, lexicon_share)
     lines = cut(line_paths(rows, words))
     prose = lines.where("opening IS NOT NULL").select("key", "line_no", "host", "opening")
-    open_ = lines.where("path IS NOT NULL").select("key", "line_no", "host", "path", "outside")
+    open_ = lines.where("path IS NOT NULL").select("key", "line_no", "host", "path", "form", "outside")
 
     out = F.sum(F.col("outside").cast("int")).alias("out")
     by_host = open_.groupBy("host", "path").agg(F.count("*").alias("n_host"), F.sum(F.col("outside").cast("int")).alias("out"))
@@ -204,9 +210,12 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     voted = (F.col("n") >= least) & (F.col("out") >= outside * F.col("n")) & (F.col("rate") >= 0.2)
     rare = (F.col("n") < least) & (F.col("rate") >= 0.35)
     announced = F.col("path").startswith("^ ") & ((F.col("rate") >= 0.2) | (F.col("n") >= least))
-    # a host's own vote first, where it has enough lines; then that of all hosts
+    # what a host's own lines vote furniture, where it has enough of them, and what those of all hosts do
     own = by_host.where((F.col("n_host") >= least) & (F.col("out") >= outside * F.col("n_host"))).join(sized(rated.where("rate >= 0.2").select("path")), "path", "left_semi")
     gone = rated.where(voted | rare | announced).select("path")
+    # lines in a host's own words
+    forms = open_.where("form IS NOT NULL").groupBy("host", "form").agg(F.countDistinct("key").alias("n"), F.count("*").alias("lines"), out)
+    forms = forms.where((F.col("n") >= least) & (F.col("out") >= OWN_OUTSIDE * F.col("lines"))).join(on, "host").where(F.col("n") >= OWN_SHARE * F.col("pages"))
     # sentences whose opening a host, or many hosts, repeat word for word belong to the frame
     often = prose.groupBy("opening").agg(F.count("*").alias("n"), F.approx_count_distinct("host").alias("hosts")).where(F.col("n") >= REPEATS)
     often = sized(cut(often))  # nearly all openings stand once
@@ -214,6 +223,7 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     again = again.join(on, "host").where(F.col("n") >= F.col("pages") * REPEAT_SHARE).select("host", "opening")
     wide = often.where((F.col("n") >= max(REPEATS, total * lexicon_share)) & (F.col("hosts") >= 5)).select("opening")
     found = open_.join(sized(cut(own.select("host", "path"))), ["host", "path"], "left_semi").select("key", "line_no")
+    found = found.unionByName(open_.join(sized(cut(forms.select("host", "form"))), ["host", "form"], "left_semi").select("key", "line_no"))
     found = found.unionByName(open_.join(sized(cut(gone)), "path", "left_semi").select("key", "line_no"))
     found = found.unionByName(prose.join(sized(cut(again)), ["host", "opening"], "left_semi").select("key", "line_no"))
     found = found.unionByName(prose.join(sized(cut(wide)), "opening", "left_semi").select("key", "line_no"))
