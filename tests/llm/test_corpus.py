@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textharbor.llm import encoding, history, leakage, mixing
 
@@ -146,6 +147,94 @@ def test_pivot_pairs_equal_brute_force(spark):
     assert got == exp and any(exp.values())
 
 
+def batches_of(rng):
+    rows = []
+    for g in range(10):
+        base = words(rng, rng.randrange(45, 90))
+        for seg in range(4):
+            for _ in range(rng.randrange(3)):
+                w = list(base)
+                for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                    w[rng.randrange(len(w))] = words(rng, 1)[0]
+                rows.append((len(rows), " ".join(w), seg))
+    return sorted(((i, b, s) for i, b, s in rows), key=lambda r: r[2])
+
+
+@pytest.mark.parametrize("hot", [100, 3])
+def test_batches_against_stored_history_equal_one_run(spark, tmp_path, hot):
+    rows = [(i, b, s) for i, (_, b, s) in enumerate(batches_of(random.Random(31)))] + [(900, None, 2), (901, "short", 3)]
+    df = spark.createDataFrame(rows + rows[-4:], "doc_id long, body string, seg int").cache()
+    whole = {(r.a, r.b) for r in history.repeats(df, "doc_id", "body", "seg", hot=hot).collect()}
+    assert whole == brute_repeats(rows) and whole
+    path, got = str(tmp_path / "h"), set()
+    for seg in range(4):
+        for again in range(2):  # a batch that is checked and written twice changes nothing
+            found, fresh = history.repeats_of_history(df.where(f"seg = {seg}"), path if seg or again else None, df, "doc_id", "body", "seg", hot=hot)
+            pairs = {(r.a, r.b) for r in found.collect()}
+            assert not again or pairs == last
+            last = pairs
+            history.append(fresh, path)
+        got |= pairs
+    assert got == whole
+    found, fresh = history.repeats_of_history(df.limit(0), path, df, "doc_id", "body", "seg")
+    assert found.count() == 0 and fresh.count() == 0
+
+
+def test_pivot_table_by_batches_equals_one_run(spark, tmp_path):
+    rows = [(i, b, s) for i, (_, b, s) in enumerate(batches_of(random.Random(32)))]
+    df = spark.createDataFrame(rows, "doc_id long, body string, seg int").cache()
+    whole = {(r.a, r.b, r.distance) for r in history.pivot_pairs(df, "doc_id", "body", "seg").collect()}
+    path, got = str(tmp_path / "p"), set()
+    for seg in range(4):
+        batch = df.where(f"seg = {seg}")
+        found = history.pivot_pairs(df, "doc_id", "body", "seg", history=path if seg else None, new=batch)
+        got |= {(r.a, r.b, r.distance) for r in found.collect()}
+        history.append(history.pivot_rows(batch, "doc_id", "body", "seg"), path)
+    assert got == whole and any(d for *_, d in whole) and any(not d for *_, d in whole)
+
+
+def test_crowded_ranges_are_split(spark, monkeypatch):
+    monkeypatch.setattr(history, "HOT", 5)
+    rng = random.Random(33)
+    base = words(rng, 60)
+    rows = []
+    for i in range(40):
+        w = list(base)
+        w[i] = "changed" if i % 2 else w[i]
+        rows.append((i, " ".join(w), 0))
+    df = spark.createDataFrame(rows, "doc_id long, body string, seg int")
+    got = {(r.a, r.b, r.distance) for r in history.pivot_pairs(df, "doc_id", "body", "seg").collect()}
+    odd = range(1, 40, 2)
+    assert got == {(0, i, 0) for i in range(2, 40, 2)} | {(0, i, 1) for i in odd} | {(i, j, 2) for i in odd for j in odd if i < j}
+
+
+def test_a_repeat_of_a_repeat_in_a_crowd(spark):
+    rng = random.Random(34)
+    z = words(rng, 200)
+    a = words(rng, 30) + z[30:]
+    b1, b2 = list(a), list(a)
+    b1[80:96], b2[140:156] = words(rng, 16), words(rng, 16)
+    rows = [(1, z, 1), (2, a, 2), (3, b1, 3), (4, b2, 4)]
+    for i in range(150):
+        w, at = list(a), rng.randrange(195)
+        w[at : at + 5] = words(rng, 5)
+        rows.append((10 + i, w, 5))
+    df = spark.createDataFrame([(i, " ".join(w), s) for i, w, s in rows], "doc_id long, body string, seg int")
+    got = {(r.a, r.b) for r in history.repeats(df, "doc_id", "body", "seg", hot=20).where("b < 10").collect()}
+    assert got == {(1, 2), (3, 4)}
+
+
+def test_no_frame_over_the_limit_is_broadcast(spark):
+    from textharbor.llm.common import cut, sized
+
+    rows = cut(spark.range(3000).select("id", F.repeat(F.lit("x"), 100).alias("t")))
+    left = spark.range(10)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(left.join(sized(rows), "id"))
+    for small in ({"most": 2999}, {"most_bytes": 300_000}):
+        assert "BroadcastHashJoin" not in plan(left.join(sized(rows, **small), "id")) and "SortMergeJoin" in plan(left.join(sized(rows, **small), "id"))
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):
@@ -190,6 +279,16 @@ def test_leaked_items_equal_brute_force(spark):
     assert leakage.leaked_items(df, "doc_id", "text", it.limit(0), "item_id", "prompt").count() == 0
 
 
+def test_many_passages_are_searched_in_groups(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, 20))) for i in range(30)]
+    docs = [(i, "x " + items[i % 30][1] + " y") for i in range(60)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, prompt string")
+    monkeypatch.setattr(leakage, "MOST_PASSAGES", 50)
+    got = {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, "doc_id", "text", it, "item_id", "prompt").collect()}
+    assert got == {(i, i % 30) for i in range(60)}
+
+
 def test_hash_functions_suffice():
     for size, n in leakage.size_classes():
         assert size <= 8 or (1 - 8 / size) ** n <= leakage.MISS

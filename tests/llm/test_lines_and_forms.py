@@ -44,16 +44,35 @@ def test_lines_are_removed(spark):
     assert sitelines.found_lines(site(spark, rows).limit(0)).count() == 0
 
 
-def test_summaries_never_fall_short(spark):
+@pytest.mark.parametrize("counters", [3, 40])
+def test_summaries_never_fall_short_and_stay_bounded(spark, counters):
     rng = random.Random(2)
-    rows = [(i, "http://a.b/", "\n".join(str(chr(97 + min(25, int(rng.expovariate(0.3))))) for _ in range(4))) for i in range(200)]
-    lines = sitelines._lines(site(spark, rows))
-    true = {(r.host, r.line): r["count"] for r in lines.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").count().collect()}
-    counts, errors = sitelines.summaries(lines, 3)
-    error = {r.host: r.error for r in errors.collect()}
-    seen = {(r.host, r.line): r.seen for r in counts.collect()}
-    for key, n in true.items():
-        assert seen.get(key, 0) <= n <= seen.get(key, 0) + error[key[0]]
+    rows = [(i, "http://a.b/" if i % 3 else "http://c.d/", "\n".join(str(chr(97 + min(25, int(rng.expovariate(0.3))))) + ("q" * (i % 7) if rng.random() < 0.5 else "") for _ in range(4))) for i in range(400)]
+    lines = sitelines.ranged(sitelines._lines(site(spark, rows).repartition(7)), 10, counters).cache()
+    true = {(r.h, r.line): r["count"] for r in lines.select("h", F.explode(F.array_distinct("lines")).alias("line")).groupBy("h", "line").count().collect()}
+    found = sitelines.summaries(lines, 10, counters).collect()
+    error, seen, size = {}, {}, {}
+    for r in found:
+        if r.line is None:
+            error[r.h, r.part] = error.get((r.h, r.part), 0) + r.error
+        else:
+            seen[r.h, r.line] = (r.seen, r.part)
+            size[r.h, r.part] = size.get((r.h, r.part), 0) + 1
+    parts = {r.h: r.parts for r in lines.select("h", "parts").distinct().collect()}
+    assert max(size.values()) <= counters and (counters > 3 or max(parts.values()) > 1 and error)
+    for (h, line), n in true.items():
+        part = ((line % (1 << 64)) >> 1) % parts[h]
+        got, p = seen.get((h, line), (0, part))
+        assert p == part and got <= n <= got + error.get((h, part), 0)
+
+
+def test_candidates_are_few(spark):
+    rows = [(i, "http://a.b/", f"own {'x' * i}\nother {'y' * i}\nLegal notice") for i in range(300)]
+    lines = sitelines.ranged(sitelines._lines(site(spark, rows)), 10, 20).cache()
+    likely, whole = sitelines.candidates(lines, 10, 20)
+    assert likely.count() <= 10 and whole.count() == 0
+    r = sitelines.host_summary(site(spark, rows), 10, 20).collect()
+    assert [(x.host, x.lines, x.distinct_lines, x.repeated) for x in r] == [("a.b", 900, 601, 1)] and r[0].candidates <= 10
 
 
 def test_hosts_and_keys(spark, tmp_path):
@@ -82,6 +101,15 @@ def test_same_looking_titles(spark):
     assert lookalike.same_looking(df.limit(0), "doc_id", "title").count() == 0
 
 
+def test_file_of_lookalikes(spark, tmp_path):
+    file = tmp_path / "confusables.txt"
+    file.write_text("# comment\n2CA2 ;\t0043 ;\tMA\t# C\n0030 ;\t004F ;\tMA\nbroken\n", encoding="utf-8")
+    assert lookalike.read_confusables(str(file)) == {"\u2ca2": "C"}
+    df = spark.createDataFrame([("\u2ca2af\u00e9",), ("\ua4da\u0585de",)], "s string")
+    got = {r.s: r.skeleton for r in lookalike.consistent_forms(df, confusables=str(file)).collect()}
+    assert got == {"\u2ca2af\u00e9": "Caf\u00e9", "\ua4da\u0585de": "Code"}
+
+
 def test_forms(spark):
     strings = ["Ｗｉｄｅ　text", "ệx", "ệx", "nä⁠ive", "Мосt", "mоst", "Москва", "ab­c", "tab\tend ", "plain"]
     df = spark.createDataFrame([(s,) for s in strings], "s string")

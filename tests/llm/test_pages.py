@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from textharbor.llm import boilerplate, language, spam
+from textharbor.llm import boilerplate, language, paths, spam
 
 SAMPLES = [("en", s) for s in ("The cat sat on the mat in the house.", "A dog and the bird of a town are here.", "The end of the road is in a field.", "It was a day in the life of the king.", "We saw the sea and a boat on the sand.")] + [
     ("de", s) for s in ("Die Katze sitzt auf der Matte in dem Haus.", "Der Hund und die Frau gehen in die Stadt.", "Das Ende der Straße ist in dem Feld.", "Es war ein Tag in dem Leben der Frau.", "Wir sahen die See und das Boot auf der Insel.")
@@ -107,3 +107,59 @@ def test_lines_in_a_hosts_own_words(spark):
         expected |= {(i, 0), (i, 5)} if own else set()
     df = spark.createDataFrame(rows, "page_id long, url string, title string, body string")
     assert {(r.page_id, r.line_no) for r in boilerplate.furniture_lines(df, "page_id").collect()} == expected
+
+
+def test_long_link_texts_tile(spark):
+    texts = {"one two three four five six seven eight nine ten eleven twelve thirteen fourteen", "home", "all news"}
+    starts = boilerplate._first_words(texts)
+    assert boilerplate._tiled("home one two three four five six seven eight nine ten eleven twelve thirteen fourteen all news", texts, starts, "")
+    assert boilerplate._tiled("home | all news | home", texts, starts, "") and not boilerplate._tiled("home all the news", texts, starts, "")
+
+
+def test_sentences_that_begin_alike_differ(spark):
+    rng = random.Random(9)
+    nouns = [f"noun{chr(97 + i)}" for i in range(12)]
+    rows = []
+    for i in range(40):
+        start = "The nouna and the nounb of the nounc are in the"
+        rows.append((i, f"http://site{chr(97 + i % 4)}.test/{i}", None, f"{start} {nouns[i % 12]} of {nouns[(i * 5 + 1) % 12]} with {nouns[(i // 12)]}.\nThe {rng.choice(nouns)} is of the {rng.choice(nouns)} in a {rng.choice(nouns)}."))
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, body string")
+    assert boilerplate.furniture_lines(df, "page_id").where("line_no = 0").count() == 0
+
+
+HTML = """<html><head><title>t</title><style>p{{}}</style></head><body><div class="menu m{0}"><ul><li><a href=/>Home</a></li><li><a href=/s>Shop</a></li></ul></div>
+<div class="post"><p>The first story number {0} is told in a few words here.</p><p>Short aside {0}</p><p>The story number {0} goes on and on to an end.</p></div>
+<div class="foot">All rights reserved {0}</div><script>var x = "no text";</script></body>"""
+
+
+def test_main_text_by_tag_class_paths(spark):
+    rows = [(i, f"http://a{i % 2}.test/{i}", HTML.format(i)) for i in range(12)] + [(90, None, None), (91, "http://a0.test/", ""), (92, "http://b.test/", "<p>lost<b>"), (3, "http://a1.test/3", HTML.format(3))]
+    df = spark.createDataFrame([(*r, "p") for r in rows], "page_id long, url string, html string, path string")
+    found = paths.containers_of_html(df, "page_id", "url", "html").cache()
+    assert {r.path for r in found.where("key = 5").collect()} == {"div.m#.menu/ul/li", "div.post/p", "div.foot"}
+    got = {r.key: r.main for r in paths.main_text(found).collect()}
+    assert set(got) == {*range(12), 92} and got[92] is None
+    for i in range(12):
+        assert got[i].split("\n") == [f"The first story number {i} is told in a few words here.", f"Short aside {i}", f"The story number {i} goes on and on to an end."]
+    assert paths.main_text(found.limit(0)).count() == 0
+    assert paths.blocks_of("<div><p>a<p>b</div>c") == [("div/p", "a", False), ("div/p/p", "b", False), ("", "c", False)]
+
+
+def test_a_host_overrules_all(spark):
+    block = lambda k, h, no, path, link, prose: (k, h, no, path, "x", link, prose)
+    rows = [r for k in range(20) for r in ([block(k, "own", 0, "p", False, True), block(k, "own", 1, "q", False, False), block(k, "own", 2, "p", False, True)] if k < 6 else [block(k, f"h{k}", 0, "p", False, True), block(k, f"h{k}", 1, "q", False, False)])]
+    df = spark.createDataFrame(rows, "key long, host string, no int, path string, text string, link boolean, prose boolean")
+    assert {(r.key, r.no) for r in paths.furniture(df).collect()} == {(k, 1) for k in range(6, 20)}
+
+
+def test_line_paths_of_pages(spark):
+    rows = []
+    for i in range(30):
+        body = ["Home", "Shop", f"Story {i}", f"The story of number {i} begins right here today.", f"{i} eggs", f"The story of number {i} comes to an end now.", "Terms of use"]
+        rows.append((i, f"http://h{i % 3}.test/", f"Story {i}", "\n".join(body), [("u", "Home"), ("u", "Shop"), ("u", "Terms of use")], "z"))
+    rows += [(90, None, None, None, None, "z"), (91, None, None, "", None, "z"), rows[0]]
+    df = spark.createDataFrame(rows, "page_id long, url string, title string, body string, links array<struct<url:string,anchor:string>>, path string")
+    lines = paths.containers_of_lines(df, "page_id").cache()
+    got = {(r.key, r.no) for r in paths.furniture(lines).collect()}
+    assert got >= {(i, n) for i in range(30) for n in (0, 1, 6)} and not got & {(i, n) for i in range(30) for n in (3, 4, 5)}
+    assert paths.furniture(lines.limit(0)).count() == 0

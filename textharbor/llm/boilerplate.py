@@ -42,11 +42,10 @@ LEAST_VOTES = 8
 OWN_SHARE, OWN_OUTSIDE = 0.1, 0.5
 #: Pages, and share of its pages, on which a host repeats a sentence of its frame.
 REPEATS, REPEAT_SHARE = 3, 0.01
-#: Words of a sentence that count as its opening.
-OPENING = 10
 TOKEN = re.compile(r"\d+|[^\W\d_]+")
 SPLIT = re.compile(r"\s+[|·•>/»-]\s+|\s*[|·•>/»]\s*")
 TRAIL = re.compile(r"\s+[|·•>/»]\s+")
+BETWEEN = "|·•>/»,-"
 BULLET = re.compile(r"^\s*(?:[*•–-]|\d+[.)])\s+")
 
 
@@ -88,28 +87,40 @@ def _form(text: str) -> str:
     return " ".join(text.lower().replace("\u200b", " ").replace("\ufeff", " ").split())
 
 
-def _tiled(line: str, anchors: set[str], starts: set[str], title: str) -> bool:
-    """Whether the line consists of link texts only (and at its end, at most, of the page's own title). starts: the link texts' first words."""
-    if line.split(" ", 1)[0] not in starts:
+def _first_words(anchors: set[str]) -> dict[str, list[int]]:
+    """First word of every link text, and how many words the link texts that begin with it have."""
+    sizes: dict[str, set[int]] = {}
+    for a in anchors:
+        words = a.split(" ")
+        sizes.setdefault(words[0], set()).add(len(words))
+    return {w: sorted(n, reverse=True) for w, n in sizes.items()}
+
+
+def _tiled(line: str, anchors: set[str], starts: dict[str, list[int]], title: str) -> bool:
+    """Whether the line consists of link texts only (and at its end, at most, of the page's own title). starts: as of ``_first_words``."""
+    words = line.split(" ")
+    if words[0] not in starts:
         return False
     parts = [p for p in SPLIT.split(line) if p]
     if len(parts) > 1 and (parts[-1] == title or parts[-1] in anchors) and all(p in anchors for p in parts[:-1]):
         return True
-    words, at = line.split(" "), 0
     reach = [True] + [False] * len(words)
-    for at in range(len(words)):
-        if reach[at] and (words[at] in starts or not words[at][0].isalnum()):
-            for to in range(at + 1, min(len(words), at + 12) + 1):
-                if " ".join(words[at:to]).strip("|·•>/»,-") in anchors:
-                    reach[to] = True
+    for at, word in enumerate(words):
+        if not reach[at]:
+            continue
+        if not (bare := word.strip(BETWEEN)):
+            reach[at + 1] |= at > 0
+        for n in starts.get(word, starts.get(bare, ())):
+            if at + n <= len(words) and " ".join(words[at : at + n]).strip(BETWEEN) in anchors:
+                reach[at + n] = True
     return reach[-1]
 
 
 def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> DataFrame:
-    """(key, line_no, host, path, form, opening, outside, sure): every line that is not empty.
+    """(key, line_no, host, path, form, sentence, outside, sure): every line that is not empty.
 
     sure: 1 furniture, 0 content, null undecided. path: what is left of an undecided line's words after generalisation. Prose
-    lines have no path, but a hash of their opening. form: hash of the words of a line whose path is generalised throughout.
+    lines have no path, but a hash of their words, generalised likewise. form: hash of the words of a line whose path is generalised throughout.
     """
     hosts = max((h for _, h, _ in words.values()), default=1)
     prose = {w for w, (share, n, _) in words.items() if share >= PROSE_SHARE / 4 and n >= min(4, max(2, hosts // 10))}
@@ -119,7 +130,7 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, prose, local = shared.value
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "form", "opening", "outside", "sure")}
+            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "form", "sentence", "outside", "sure")}
             columns = [b.column(c).to_pylist() for c in ("key", "host", "title", "anchors", "body")]
             for key, host, title, anchors, body in zip(*columns):
                 site = _site(host)
@@ -141,14 +152,14 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                         text.append(i)
                     found.append((i, line, tokens, is_prose))
                 first, last = (text[0], text[-1]) if text else (len(lines), -1)
-                starts = {a.split(" ", 1)[0] for a in anchors}
+                starts = _first_words(anchors)
                 links = {i for i, line, _, p in found if anchors and line != own and (line in anchors or not p and _tiled(line, anchors, starts, own))}
                 present = [i for i, *_ in found]
                 for at, (i, line, tokens, is_prose) in enumerate(found):
                     if is_prose:
-                        start = ["#" if w.isdigit() else "@" if w in site or w not in known or w in local else w for w in tokens[:OPENING]]
-                        opening = xxhash.xxh3_64_intdigest(" ".join(start)) - (1 << 63)
-                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None), ("form", None), ("opening", opening), ("outside", None), ("sure", None)):
+                        start = ["#" if w.isdigit() else "@" if w in site or w not in known or w in local else w for w in tokens]
+                        sentence = xxhash.xxh3_64_intdigest(" ".join(start)) - (1 << 63)
+                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None), ("form", None), ("sentence", sentence), ("outside", None), ("sure", None)):
                             out[k].append(v)
                         continue
                     sure = 1 if i in links else 0 if line == own else None
@@ -165,12 +176,12 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                     form = None
                     if sure is None and any(not w.isdigit() for w in tokens) and all(w.isdigit() or w in site or w not in known or w in local for w in tokens):
                         form = xxhash.xxh3_64_intdigest(" ".join("#" if w.isdigit() else w for w in tokens).encode("utf-8", "surrogatepass")) - (1 << 63)
-                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None if sure is not None else path), ("form", form), ("opening", None), ("outside", i < first or i > last), ("sure", sure)):
+                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None if sure is not None else path), ("form", form), ("sentence", None), ("outside", i < first or i > last), ("sure", sure)):
                         out[k].append(v)
             yield out
 
     rows = pages.select("key", "host", "title", "anchors", "body")
-    return map_batches(rows, work, "key long, line_no int, host string, path string, form long, opening long, outside boolean, sure int")
+    return map_batches(rows, work, "key long, line_no int, host string, path string, form long, sentence long, outside boolean, sure int")
 
 
 def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least: int = LEAST_VOTES, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
@@ -183,7 +194,7 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     total = on.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
     words = lexicon(rows, total, lexicon_share)
     lines = cut(line_paths(rows, words))
-    prose = lines.where("opening IS NOT NULL").select("key", "line_no", "host", "opening")
+    prose = lines.where("sentence IS NOT NULL").select("key", "line_no", "host", "sentence")
     open_ = lines.where("path IS NOT NULL").select("key", "line_no", "host", "path", "form", "outside")
 
     out = F.sum(F.col("outside").cast("int")).alias("out")
@@ -216,17 +227,17 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     # lines in a host's own words
     forms = open_.where("form IS NOT NULL").groupBy("host", "form").agg(F.countDistinct("key").alias("n"), F.count("*").alias("lines"), out)
     forms = forms.where((F.col("n") >= least) & (F.col("out") >= OWN_OUTSIDE * F.col("lines"))).join(on, "host").where(F.col("n") >= OWN_SHARE * F.col("pages"))
-    # sentences whose opening a host, or many hosts, repeat word for word belong to the frame
-    often = prose.groupBy("opening").agg(F.count("*").alias("n"), F.approx_count_distinct("host").alias("hosts")).where(F.col("n") >= REPEATS)
-    often = sized(cut(often))  # nearly all openings stand once
-    again = prose.join(often.select("opening"), "opening").groupBy("host", "opening").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= REPEATS)
-    again = again.join(on, "host").where(F.col("n") >= F.col("pages") * REPEAT_SHARE).select("host", "opening")
-    wide = often.where((F.col("n") >= max(REPEATS, total * lexicon_share)) & (F.col("hosts") >= 5)).select("opening")
+    # sentences whose sentence a host, or many hosts, repeat word for word belong to the frame
+    often = prose.groupBy("sentence").agg(F.count("*").alias("n"), F.approx_count_distinct("host").alias("hosts")).where(F.col("n") >= REPEATS)
+    often = sized(cut(often))  # nearly all sentences stand once
+    again = prose.join(often.select("sentence"), "sentence").groupBy("host", "sentence").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= REPEATS)
+    again = again.join(on, "host").where(F.col("n") >= F.col("pages") * REPEAT_SHARE).select("host", "sentence")
+    wide = often.where((F.col("n") >= max(REPEATS, total * lexicon_share)) & (F.col("hosts") >= 5)).select("sentence")
     found = open_.join(sized(cut(own.select("host", "path"))), ["host", "path"], "left_semi").select("key", "line_no")
     found = found.unionByName(open_.join(sized(cut(forms.select("host", "form"))), ["host", "form"], "left_semi").select("key", "line_no"))
     found = found.unionByName(open_.join(sized(cut(gone)), "path", "left_semi").select("key", "line_no"))
-    found = found.unionByName(prose.join(sized(cut(again)), ["host", "opening"], "left_semi").select("key", "line_no"))
-    found = found.unionByName(prose.join(sized(cut(wide)), "opening", "left_semi").select("key", "line_no"))
+    found = found.unionByName(prose.join(sized(cut(again)), ["host", "sentence"], "left_semi").select("key", "line_no"))
+    found = found.unionByName(prose.join(sized(cut(wide)), "sentence", "left_semi").select("key", "line_no"))
     found = found.unionByName(lines.where("sure = 1").select("key", "line_no"))
     return found.distinct().withColumnRenamed("key", key)
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textharbor.llm import boilerplate, distinctive, encoding, history, language, leakage, lookalike, mixing, sitelines, spam
-from textharbor.llm.common import cut, sized, table
+from textharbor.llm import boilerplate, distinctive, encoding, history, language, leakage, lookalike, mixing, paths, sitelines, spam
+from textharbor.llm.common import cut, shared_dir, sized, table
+
+
+def _spam(spark: SparkSession, d: str, tab: str, key: str) -> DataFrame:
+    """Records of one table that problem 6 lists. Hosts are counted over both tables, as there."""
+    found = spam.spam_pages(table(spark, d, "docs"), table(spark, d, "extracted"), table(spark, d, "lang_samples"))
+    return cut(found.where(F.col("tab") == tab).select(F.col("rec_id").alias(key)))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +27,11 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_repeated_lines(table(spark, d, "docs")).select("doc_id", "clean_body", "removed")
 
 
+def p1_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Per host: lines, different lines, and those that the exact count confirmed."""
+    return sitelines.host_summary(table(spark, d, "docs")).select("host", "lines", "distinct_lines", "repeated")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = lookalike.same_looking(table(spark, d, "docs"), "doc_id", "title")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -38,8 +50,7 @@ def p2_terms(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     docs, samples = table(spark, d, "docs"), table(spark, d, "lang_samples")
     found = language.wrong_labels(docs, "doc_id", "body", "language", language.model_of(samples, docs))
-    spam_docs = spam.spam_pages(docs, None, samples).select(F.col("rec_id").alias("doc_id"))
-    return found.join(sized(cut(spam_docs)), "doc_id", "left_anti").select("doc_id", "line_no", "language")
+    return found.join(sized(_spam(spark, d, "docs", "doc_id")), "doc_id", "left_anti").select("doc_id", "line_no", "language")
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
@@ -48,11 +59,16 @@ def p3_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(docs, "doc_id", "body", "language", language.model_of(samples, docs))
 
 
+def p4_method(spark: SparkSession, d: str) -> DataFrame:
+    """Furniture lines by consensus host paths alone, paths being those of the lines' shape: (page_id, line_no)."""
+    lines = paths.containers_of_lines(table(spark, d, "extracted").select("page_id", "url", "title", "body", "links"), "page_id")
+    return paths.furniture(cut(lines)).select(F.col("key").alias("page_id"), F.col("no").alias("line_no"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "extracted")
-    spam_ids = spam.spam_pages(None, pages, table(spark, d, "lang_samples")).select(F.col("rec_id").alias("page_id"))
     found = boilerplate.furniture_lines(pages.select("page_id", "url", "title", "body", "links"), "page_id")
-    return found.join(sized(cut(spam_ids)), "page_id", "left_anti")
+    return found.join(sized(_spam(spark, d, "extracted", "page_id")), "page_id", "left_anti")
 
 
 def p4_main(spark: SparkSession, d: str) -> DataFrame:
@@ -66,16 +82,17 @@ def p4_main_docs(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_content(docs, "doc_id").select("doc_id", "main_body", "main_headings")
 
 
+def p5_method(spark: SparkSession, d: str) -> DataFrame:
+    """The graph-of-words weight of every term of every record."""
+    found = distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body")
+    return found.withColumns({c: F.round(c, 6) for c in ("idf", "weight")})
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body", min_tf=3, max_df=4)
     return found.where(F.col("term").rlike(r"\p{L}")).select("doc_id", "term")
 
 
-def p5_weights(spark: SparkSession, d: str) -> DataFrame:
-    """The graph-of-words weight of every term of every record."""
-    return distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body")
-
-
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "docs"), table(spark, d, "extracted"), table(spark, d, "lang_samples")).select("tab", "rec_id")
 
@@ -86,12 +103,37 @@ def p7_method(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = history.repeats(table(spark, d, "docs"), "doc_id", "body", "seg", without=_spam(spark, d, "docs", "doc_id"))
+    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def _kept(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+
+
+def p7_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p7_found whose later document is of the newest batch, found from that batch and the stored signatures of earlier originals."""
     docs = table(spark, d, "docs")
-    spam_docs = cut(spam.spam_pages(docs, None, table(spark, d, "lang_samples")).select(F.col("rec_id").alias("doc_id")))
-    found = history.repeats(docs, "doc_id", "body", "seg", without=spam_docs)
+    last = docs.agg(F.max("seg").alias("s")).first().s
+    left_out, before = _spam(spark, d, "docs", "doc_id"), docs.where(F.col("seg") < last)
+    earlier = history.repeats(before, "doc_id", "body", "seg", without=left_out).select(F.col("b").alias("key")).distinct()
+    signs = history.signatures(before, "doc_id", "body", "seg").join(sized(left_out.select(F.col("doc_id").alias("key"))), "key", "left_anti")
+    path = _kept(spark)
+    history.append(signs.dropDuplicates(["key"]).join(sized(cut(earlier)), "key", "left_anti"), path)
+    found, _ = history.repeats_of_history(docs.where(F.col("seg") == last), path, docs, "doc_id", "body", "seg", without=left_out)
     return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p7_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p7_method with a document of the newest batch, found from that batch and the stored pivot distances of all earlier ones."""
+    docs = table(spark, d, "docs")
+    last = docs.agg(F.max("seg").alias("s")).first().s
+    path = _kept(spark)
+    history.append(history.pivot_rows(docs.where(F.col("seg") < last), "doc_id", "body", "seg"), path)
+    found = history.pivot_pairs(docs, "doc_id", "body", "seg", history=path, new=docs.where(F.col("seg") == last))
+    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "distance")
+
+
 def p7_exact(spark: SparkSession, d: str) -> DataFrame:
     """Documents of later batches whose text hash a signature accepted before them holds: (doc_id, first accepted doc_id)."""
     return history.known_hashes(table(spark, d, "docs"), table(spark, d, "dedup_state"))
@@ -138,16 +180,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _HOST = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)', 1)"
 _FORM = r"trim(regexp_replace(regexp_replace(lower(x), '[\s\p{Z}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
 _ONE = "one AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seg) = 1)"
+_LINES = f"""{_ONE}, l AS (SELECT doc_id, {_HOST} AS host, unnest(string_split(body, chr(10))) AS x, unnest(range(len(string_split(body, chr(10)))))::INT AS line_no FROM one WHERE url IS NOT NULL AND body IS NOT NULL),
+f AS (SELECT doc_id, host, line_no, {_FORM} AS form FROM l WHERE host <> ''), g AS (SELECT host, form FROM f WHERE form <> '' GROUP BY host, form HAVING count(DISTINCT doc_id) >= 10)"""
+_WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS ws FROM one WHERE body IS NOT NULL), t AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS i FROM w),
+c AS (SELECT doc_id, term, count(*)::INT AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM c GROUP BY term), total AS (SELECT count(*) AS n FROM one)"""
+_PASSAGES = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)), p AS (SELECT item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') AS w FROM eval_items),
+tr AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12)), pr AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM p WHERE len(w) >= 12))"""
 SQL = {
-    "p1_found": f"""WITH {_ONE}, l AS (SELECT doc_id, {_HOST} AS host, unnest(string_split(body, chr(10))) AS x, unnest(range(len(string_split(body, chr(10)))))::INT AS line_no FROM one WHERE url IS NOT NULL AND body IS NOT NULL),
-f AS (SELECT doc_id, host, line_no, {_FORM} AS form FROM l WHERE host <> ''), g AS (SELECT host, form FROM f WHERE form <> '' GROUP BY host, form HAVING count(DISTINCT doc_id) >= 10) SELECT doc_id, line_no FROM f JOIN g USING (host, form)""",
-    "p5_found": f"WITH {_ONE}"
-    + r""", w AS (SELECT doc_id, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+')) AS term FROM one), c AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
-d AS (SELECT term FROM c GROUP BY term HAVING count(*) <= 4) SELECT doc_id, term FROM c JOIN d USING (term) WHERE tf >= 3 AND regexp_matches(term, '\p{L}')""",
+    "p1_found": f"WITH {_LINES} SELECT doc_id, line_no FROM f JOIN g USING (host, form)",
+    "p1_clean": f"""WITH {_LINES}, lost AS (SELECT doc_id, list(DISTINCT line_no) AS lost FROM f JOIN g USING (host, form) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN lost IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda x, i: NOT list_contains(lost, i - 1)), chr(10)) END AS clean_body, coalesce(len(lost), 0)::INT AS removed FROM docs LEFT JOIN lost USING (doc_id)""",
+    "p1_hosts": f"WITH {_LINES} SELECT host, count(*) AS lines, count(DISTINCT form) AS distinct_lines, count(DISTINCT CASE WHEN g.form IS NOT NULL THEN f.form END) AS repeated FROM f LEFT JOIN g USING (host, form) WHERE f.form <> '' GROUP BY host",
+    "p5_method": f"""WITH {_ONE}, {_WORDS}, n AS (SELECT a.doc_id, a.term, count(DISTINCT b.term) AS degree FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 3 AND a.i + 3 AND a.term <> b.term GROUP BY ALL),
+x AS (SELECT doc_id, term, tf, coalesce(degree, 0)::INT AS degree, df, ln(1 + (total.n - df + 0.5) / (df + 0.5)) AS idf FROM c JOIN df USING (term) LEFT JOIN n USING (doc_id, term), total) SELECT doc_id, term, tf, degree, df, round(idf, 6) AS idf, round(degree * idf, 6) AS weight FROM x""",
+    "p5_found": f"WITH {_ONE}, {_WORDS}" + r" SELECT doc_id, term FROM c JOIN df USING (term) WHERE tf >= 3 AND df <= 4 AND regexp_matches(term, '\p{L}')",
     "p7_exact": "WITH s AS (SELECT lower(exact) AS h, min(doc_id) AS accepted FROM dedup_state WHERE exact IS NOT NULL GROUP BY 1) SELECT doc_id, min(accepted) AS accepted FROM docs JOIN s ON lower(content_hash) = h WHERE accepted < doc_id GROUP BY doc_id",
-    "p8_found": r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), p AS (SELECT item_id, regexp_extract_all(lower(prompt), '[\p{L}\p{N}]+') AS w FROM eval_items),
-tr AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12)), pr AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM p WHERE len(w) >= 12))
-SELECT DISTINCT doc_id, item_id FROM tr JOIN pr USING (run)""",
+    "p8_found": f"WITH {_PASSAGES} SELECT DISTINCT doc_id, item_id FROM tr JOIN pr USING (run)",
+    "p8_items": f"WITH {_PASSAGES}, x AS (SELECT doc_id, item_id, count(DISTINCT i) AS n FROM tr JOIN pr USING (run) GROUP BY ALL) SELECT item_id, count(*) AS documents, max(n) AS most_places FROM x GROUP BY item_id",
 }
 
 

@@ -30,7 +30,6 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MIN_WORDS = 6
 #: A line is foreign only if its language is so many nats likelier than the body's.
 MARGIN = 6.0
-LONGEST = 14
 #: Labelled documents that refine the model, and the nats by which a line of theirs is surely another language's.
 SAMPLE = 3000
 SURE = 40.0
@@ -56,7 +55,7 @@ def vocabulary(path: str = VOCABULARY) -> set[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)))
-    return {p for p in pieces if len(p) <= LONGEST and (p == "▁" or all(c.isalpha() for c in p.lstrip("▁")))}
+    return {p for p in pieces if (p == "▁" or all(c.isalpha() for c in p.lstrip("▁")))}
 
 
 class Unigrams:
@@ -64,6 +63,7 @@ class Unigrams:
 
     def __init__(self, languages: list[str], pieces: set[str], table: dict[str, np.ndarray], floor: np.ndarray) -> None:
         self.languages, self.pieces, self.table, self.floor = languages, pieces, table, floor
+        self.longest = max(map(len, pieces), default=1)
 
     def word(self, word: str) -> np.ndarray:
         """Natural log of the word's probability in each language, summed over all segmentations."""
@@ -72,7 +72,7 @@ class Unigrams:
         shift = 0.0
         for j in range(1, len(s) + 1):
             total = np.zeros(len(self.languages))
-            for i in range(max(0, j - LONGEST), j):
+            for i in range(max(0, j - self.longest), j):
                 piece = s[i:j]
                 if (p := self.table.get(piece)) is not None:
                     total += alpha[i] * p
@@ -82,7 +82,7 @@ class Unigrams:
                     total += alpha[i] * self.floor
             alpha.append(total)
             if (top := total.max()) < 1e-200:  # long words: rescale what later positions still read
-                for i in range(max(0, j - LONGEST), j + 1):
+                for i in range(max(0, j - self.longest), j + 1):
                     alpha[i] = alpha[i] / top
                 shift += math.log(top)
         return np.log(np.maximum(alpha[-1], 1e-300)) + shift
@@ -96,12 +96,12 @@ def train(samples: list[tuple[str, str]], pieces: set[str], rounds: int = 4, smo
         words[lang].update(LETTERS.findall(text.lower()))
     chars = {c for w in words.values() for x in w for c in x} | {"▁"}
     table: dict[str, np.ndarray] = {}
-    floor = np.zeros(len(languages))
+    floor, longest = np.zeros(len(languages)), max(map(len, pieces), default=1)
     for at, lang in enumerate(languages):
         found: list[tuple[list[tuple[int, int, str]], int, int]] = []
         for w, n in words[lang].items():
             s = "▁" + w
-            spans = [(i, j, s[i:j]) for j in range(1, len(s) + 1) for i in range(max(0, j - LONGEST), j) if j - i == 1 or s[i:j] in pieces]
+            spans = [(i, j, s[i:j]) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if j - i == 1 or s[i:j] in pieces]
             found.append((spans, len(s), n))
         prob = Counter({p: 1.0 for spans, _, _ in found for _, _, p in spans})
         scale = sum(prob.values()) or 1.0
@@ -172,6 +172,7 @@ def identify(docs: DataFrame, key: str, text: str, label: str | None, model: Uni
                     np.add.at(votes, (of, best), size)
                     total = np.zeros((n, len(names)))
                     np.add.at(total, of, line_score)
+                    begin = np.searchsorted(of, np.arange(n + 1))  # lines are in the order of documents
                 for d, (key, mark) in enumerate(zip(keys[low : low + 500], labels[low : low + 500])):
                     if not len(lines) or not votes[d].any():
                         row = (key, -1, None, 0.0, label_code(mark))
@@ -179,7 +180,8 @@ def identify(docs: DataFrame, key: str, text: str, label: str | None, model: Uni
                     else:
                         most = np.flatnonzero(votes[d] == votes[d].max())
                         main = most[total[d][most].argmax()]
-                        own = line_score[(of == d) & (best == main)].sum(0) if len(most) else total[d]
+                        mine = slice(begin[d], begin[d + 1])
+                        own = line_score[mine][best[mine] == main].sum(0)
                         row = (key, -1, names[main], float(1 / np.exp(np.minimum(own - own[main], 700)).sum()), label_code(mark))
                         votes[d, 0] = main
                     for k, v in zip(out, row):
@@ -211,7 +213,8 @@ def refine(model: Unigrams, docs: DataFrame, key: str, text: str, label: str, sa
     """
     ids = docs.select(F.col(key).alias("__k"), F.col(label).alias("__l")).where("__k IS NOT NULL AND __l IS NOT NULL").dropDuplicates(["__k"])
     ids = ids.orderBy(F.xxhash64("__k"), "__k").limit(most).select("__k")
-    rows = docs.join(F.broadcast(ids), F.col(key) == F.col("__k"), "left_semi").where(F.col(text) != "").select(F.col(text).alias("t"), F.col(label).alias("l")).limit(2 * most).collect()
+    held = docs.join(F.broadcast(ids), F.col(key) == F.col("__k")).where(F.col(text) != "").groupBy("__k").agg(F.min(F.struct(F.col(text).alias("t"), F.col(label).alias("l"))).alias("x"))
+    rows = held.select("__k", "x.t", "x.l").orderBy("__k").collect()  # at most ``most`` rows
     known: dict[str, np.ndarray] = {}
     more = list(samples)
     for r in rows:

@@ -6,7 +6,8 @@ block contains shares each hash function's minimum with probability |passage| /
 size, and each partition uses as many hash functions as it takes to miss a contained passage with probability ``miss``.
 Blocks that share a minimum with a passage are candidates; exact containment of the passage's words decides.
 
-Items are few and bounded (checked: ``MOST_PASSAGES``); texts are never shuffled. Words are runs of letters and digits in lower case, so
+Items are broadcast; where they hold more than ``MOST_PASSAGES`` passages, they are split by a hash of their id into groups of about so many, each
+of which goes over the texts by itself. Texts are never shuffled. Words are runs of letters and digits in lower case, so
 punctuation and blanks do not matter.
 
 Defined results: items shorter than a passage, null or empty texts and prompts match nothing; repeated rows count once.
@@ -16,13 +17,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import WORD, Hashes, hash_words, map_batches, slices
+from textharbor.llm.common import WORD, Hashes, cut, hash_words, map_batches, slices
 
 PASSAGE = 12
 SHINGLE = 5
@@ -58,9 +60,21 @@ def size_classes(block: int = BLOCK, passage: int = PASSAGE, shingle: int = SHIN
 
 def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, item: str, prompt: str, passage: int = PASSAGE) -> DataFrame:
     """(key, item, words): documents that contain a passage of an item, with how many word positions start one."""
+    asked = items.select(F.col(item).alias("i"), F.col(prompt).alias("p")).where("i IS NOT NULL AND p IS NOT NULL").distinct()
+    n = F.size(F.regexp_extract_all("p", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) - (passage - 1)
+    asked = cut(asked.withColumn("n", n).where("n > 0").drop("n"))
+    passages = asked.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first().n
+    groups = 1 + passages // MOST_PASSAGES
+    parts = [_search(documents, key, text, asked.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g), passage) for g in range(groups)]
+    found = reduce(DataFrame.unionByName, parts)
+    return found.groupBy("k", "i").agg(F.max("words").alias("words")).select(F.col("k").alias(key), F.col("i").alias(item), "words")
+
+
+def _search(documents: DataFrame, key: str, text: str, asked: DataFrame, passage: int) -> DataFrame:
+    """(k, i, words) of one group of items asked(i, p), which is taken to the driver and broadcast."""
     spark = documents.sparkSession
     own = passage - SHINGLE + 1
-    rows = items.select(F.col(item).alias("i"), F.col(prompt).alias("p")).where("i IS NOT NULL AND p IS NOT NULL").distinct().limit(MOST_PASSAGES + 1).collect()
+    rows = asked.collect()
     seen = Hashes()
     exact, ids, shingles = [], [], []
     for r in rows:
@@ -70,8 +84,6 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
         ids += [r.i] * len(run)
         s = _rolling(h, SHINGLE)
         shingles += [s[j : j + own] for j in range(len(run))]
-    if len(ids) > MOST_PASSAGES:
-        raise ValueError(f"items hold more than {MOST_PASSAGES} passages; split the item table")
     runs = np.concatenate(exact) if exact else np.zeros(0, np.uint64)
     order = np.argsort(runs, kind="stable")
     runs, owner = runs[order], np.array(ids, dtype=np.int64)[order]
@@ -132,5 +144,4 @@ def leaked_items(documents: DataFrame, key: str, text: str, items: DataFrame, it
             yield {"k": keys[pair[:, 0]], "i": pair[:, 1], "words": words}
 
     texts = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t <> ''")
-    found = map_batches(texts, search, "k long, i long, words long")
-    return found.groupBy("k", "i").agg(F.max("words").alias("words")).select(F.col("k").alias(key), F.col("i").alias(item), "words")
+    return map_batches(texts, search, "k long, i long, words long")
