@@ -46,6 +46,10 @@ TOKEN = re.compile(r"\d+|[^\W\d_]+")
 SPLIT = re.compile(r"\s+[|·•>/»-]\s+|\s*[|·•>/»]\s*")
 TRAIL = re.compile(r"\s+[|·•>/»]\s+")
 BETWEEN = "|·•>/»,-"
+WORDS = re.compile(r"[^\W\d_]+")
+#: Shorter parts of a prose line, as a list's number, are no sentences of their own.
+SENTENCE_WORDS = 4
+SENTENCE_END = re.compile(r"(?<=[.!?…])\s+")
 BULLET = re.compile(r"^\s*(?:[*•–-]|\d+[.)])\s+")
 
 
@@ -96,6 +100,12 @@ def _first_words(anchors: set[str]) -> dict[str, list[int]]:
     return {w: sorted(n, reverse=True) for w, n in sizes.items()}
 
 
+def _said(sentence: str, site: set[str], known: set[str], local: set[str]) -> int:
+    """Hash of a sentence's words, names and numbers generalised."""
+    words = ["#" if w.isdigit() else "@" if w in site or w not in known or w in local else w for w in TOKEN.findall(sentence)]
+    return xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63)
+
+
 def _tiled(line: str, anchors: set[str], starts: dict[str, list[int]], title: str) -> bool:
     """Whether the line consists of link texts only (and at its end, at most, of the page's own title). starts: as of ``_first_words``."""
     words = line.split(" ")
@@ -117,10 +127,10 @@ def _tiled(line: str, anchors: set[str], starts: dict[str, list[int]], title: st
 
 
 def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> DataFrame:
-    """(key, line_no, host, path, form, sentence, outside, sure): every line that is not empty.
+    """(key, line_no, host, path, form, sentences, outside, sure): every line that is not empty.
 
     sure: 1 furniture, 0 content, null undecided. path: what is left of an undecided line's words after generalisation. Prose
-    lines have no path, but a hash of their words, generalised likewise. form: hash of the words of a line whose path is generalised throughout.
+    lines have no path, but hashes of their sentences, generalised likewise. form: hash of the words of a line whose path is generalised throughout.
     """
     hosts = max((h for _, h, _ in words.values()), default=1)
     prose = {w for w, (share, n, _) in words.items() if share >= PROSE_SHARE / 4 and n >= min(4, max(2, hosts // 10))}
@@ -130,7 +140,7 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known, prose, local = shared.value
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "form", "sentence", "outside", "sure")}
+            out: dict[str, list] = {k: [] for k in ("key", "line_no", "host", "path", "form", "sentences", "outside", "sure")}
             columns = [b.column(c).to_pylist() for c in ("key", "host", "title", "anchors", "body")]
             for key, host, title, anchors, body in zip(*columns):
                 site = _site(host)
@@ -157,9 +167,8 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                 present = [i for i, *_ in found]
                 for at, (i, line, tokens, is_prose) in enumerate(found):
                     if is_prose:
-                        start = ["#" if w.isdigit() else "@" if w in site or w not in known or w in local else w for w in tokens]
-                        sentence = xxhash.xxh3_64_intdigest(" ".join(start)) - (1 << 63)
-                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None), ("form", None), ("sentence", sentence), ("outside", None), ("sure", None)):
+                        said = [_said(x, site, known, local) for x in SENTENCE_END.split(line) if len(WORDS.findall(x)) >= SENTENCE_WORDS] or [_said(line, site, known, local)]
+                        for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None), ("form", None), ("sentences", said), ("outside", None), ("sure", None)):
                             out[k].append(v)
                         continue
                     sure = 1 if i in links else 0 if line == own else None
@@ -176,12 +185,12 @@ def line_paths(pages: DataFrame, words: dict[str, tuple[float, int, int]]) -> Da
                     form = None
                     if sure is None and any(not w.isdigit() for w in tokens) and all(w.isdigit() or w in site or w not in known or w in local for w in tokens):
                         form = xxhash.xxh3_64_intdigest(" ".join("#" if w.isdigit() else w for w in tokens).encode("utf-8", "surrogatepass")) - (1 << 63)
-                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None if sure is not None else path), ("form", form), ("sentence", None), ("outside", i < first or i > last), ("sure", sure)):
+                    for k, v in (("key", key), ("line_no", i), ("host", host), ("path", None if sure is not None else path), ("form", form), ("sentences", None), ("outside", i < first or i > last), ("sure", sure)):
                         out[k].append(v)
             yield out
 
     rows = pages.select("key", "host", "title", "anchors", "body")
-    return map_batches(rows, work, "key long, line_no int, host string, path string, form long, sentence long, outside boolean, sure int")
+    return map_batches(rows, work, "key long, line_no int, host string, path string, form long, sentences array<long>, outside boolean, sure int")
 
 
 def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least: int = LEAST_VOTES, lexicon_share: float = LEXICON_SHARE) -> DataFrame:
@@ -194,7 +203,7 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     total = on.agg(F.coalesce(F.sum("pages"), F.lit(0)).alias("n")).first().n
     words = lexicon(rows, total, lexicon_share)
     lines = cut(line_paths(rows, words))
-    prose = lines.where("sentence IS NOT NULL").select("key", "line_no", "host", "sentence")
+    prose = lines.where("sentences IS NOT NULL").select("key", "line_no", "host", F.size("sentences").alias("of"), F.explode("sentences").alias("sentence"))
     open_ = lines.where("path IS NOT NULL").select("key", "line_no", "host", "path", "form", "outside")
 
     out = F.sum(F.col("outside").cast("int")).alias("out")
@@ -227,17 +236,19 @@ def furniture_lines(pages: DataFrame, key: str, outside: float = OUTSIDE, least:
     # lines in a host's own words
     forms = open_.where("form IS NOT NULL").groupBy("host", "form").agg(F.countDistinct("key").alias("n"), F.count("*").alias("lines"), out)
     forms = forms.where((F.col("n") >= least) & (F.col("out") >= OWN_OUTSIDE * F.col("lines"))).join(on, "host").where(F.col("n") >= OWN_SHARE * F.col("pages"))
-    # sentences whose sentence a host, or many hosts, repeat word for word belong to the frame
+    # sentences that a host, or many hosts, repeat word for word belong to the frame, and so do lines that consist of them by half
     often = prose.groupBy("sentence").agg(F.count("*").alias("n"), F.approx_count_distinct("host").alias("hosts")).where(F.col("n") >= REPEATS)
     often = sized(cut(often))  # nearly all sentences stand once
-    again = prose.join(often.select("sentence"), "sentence").groupBy("host", "sentence").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= REPEATS)
+    often_said = cut(prose.join(often.select("sentence"), "sentence"))
+    again = often_said.groupBy("host", "sentence").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= REPEATS)
     again = again.join(on, "host").where(F.col("n") >= F.col("pages") * REPEAT_SHARE).select("host", "sentence")
     wide = often.where((F.col("n") >= max(REPEATS, total * lexicon_share)) & (F.col("hosts") >= 5)).select("sentence")
     found = open_.join(sized(cut(own.select("host", "path"))), ["host", "path"], "left_semi").select("key", "line_no")
     found = found.unionByName(open_.join(sized(cut(forms.select("host", "form"))), ["host", "form"], "left_semi").select("key", "line_no"))
     found = found.unionByName(open_.join(sized(cut(gone)), "path", "left_semi").select("key", "line_no"))
-    found = found.unionByName(prose.join(sized(cut(again)), ["host", "sentence"], "left_semi").select("key", "line_no"))
-    found = found.unionByName(prose.join(sized(cut(wide)), "sentence", "left_semi").select("key", "line_no"))
+    framed = often_said.join(sized(cut(again)).withColumn("again", F.lit(True)), ["host", "sentence"], "left").join(sized(cut(wide)).withColumn("wide", F.lit(True)), "sentence", "left")
+    framed = framed.where(F.coalesce("again", "wide", F.lit(False))).groupBy("key", "line_no", "of").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("of") / 2)
+    found = found.unionByName(framed.select("key", "line_no"))
     found = found.unionByName(lines.where("sure = 1").select("key", "line_no"))
     return found.distinct().withColumnRenamed("key", key)
 

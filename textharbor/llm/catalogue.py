@@ -161,8 +161,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 def _garbled(spark: SparkSession, d: str, repair: bool) -> DataFrame:
     documents = table(spark, d, "documents")
     tables = encoding.train(documents, "text")
-    margin = encoding.validated_margin(documents, "doc_id", "text", tables)
-    return encoding.garbled(documents, "doc_id", "text", tables, line_margin=margin, repair=repair)
+    return encoding.garbled(documents, "doc_id", "text", tables, **encoding.validated_margins(documents, "doc_id", "text", tables), repair=repair)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -212,7 +212,7 @@ class Scorer:
         """(start, end, chain, repaired) of the damaged runs of a line.
 
         UTF-8 hardly ever decodes by chance, so each run is judged by itself. Single-byte chains always decode: one
-        counts only if it fits all other runs of the line together, or one long run clearly.
+        counts only if it clearly fits neighbouring runs together, all those of the line or some.
         """
         found, rest = [], []
         for m in RUN.finditer(line):
@@ -225,65 +225,81 @@ class Scorer:
                     found.append((at, to, best[0], best[1]))
             else:
                 rest.append((at, to, run, single))
-        if sum(max((g for _, g in single.values()), default=0.0) for *_, single in rest) < min(margin, line_margin):
-            return found
-        chains = set.intersection(*(set(single) for *_, single in rest)) if rest else set()
-        gain, chain = max(((sum(single[c][1] for *_, single in rest), c) for c in chains), default=(0.0, ""))
-        letters = sum(len(run) for _, _, run, _ in rest)
-        if gain >= line_margin and gain >= 1.5 * letters and letters >= 3:
-            found += [(at, to, chain, single[chain][0]) for at, to, _, single in rest]
-        else:
-            for at, to, run, single in rest:
-                gain, chain = max(((g, c) for c, (_, g) in single.items()), default=(0.0, ""))
-                if len(run) >= 4 and gain >= line_margin and gain >= 3 * len(run):
-                    found.append((at, to, chain, single[chain][0]))
+        part = self.segment([single for *_, single in rest], line_margin)
+        if part is not None:
+            gain, chain, low, high = part
+            letters = sum(len(run) for _, _, run, _ in rest[low:high])
+            whole = high - low == len(rest)
+            if gain >= (1.5 if whole else 3) * letters and letters >= (3 if whole else 4):
+                found += [(at, to, chain, single[chain][0]) for at, to, _, single in rest[low:high]]
         return sorted(found)
 
+    @staticmethod
+    def segment(runs: list[dict[str, tuple[str, float]]], least: float) -> tuple[float, str, int, int] | None:
+        """(gain, chain, first, end) of the neighbouring runs that one chain gains most on; None if that is under ``least``."""
+        if sum(max(0.0, max((g for _, g in single.values()), default=0.0)) for single in runs) < least:
+            return None
+        best = None
+        for chain in dict.fromkeys(c for single in runs for c, (_, g) in single.items() if g > 0):
+            gain, low = 0.0, 0
+            for i, single in enumerate(runs):
+                if chain not in single:
+                    gain, low = 0.0, i + 1
+                    continue
+                gain += single[chain][1]
+                if gain <= 0:
+                    gain, low = 0.0, i + 1
+                elif gain >= least and (best is None or gain > best[0]):
+                    best = gain, chain, low, i + 1
+        return best
+
 
-def line_gains(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(gain in whole nats, lines): how much the best single-byte chain gains on the lines with characters beyond ASCII, over all clean records.
+def gains(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Histograms, kind -> (gain in whole nats, number), over all records.
 
-    Gains count as -100 below and as 1000 above that, so the histogram is as small as its range.
+    line: how much the best single-byte chain gains on neighbouring runs of a line, of all lines beyond ASCII in clean records.
+    run: how much the best chain through UTF-8 gains on a run, of all runs that have one, in any record.
+    Gains count as -100 below and as 1000 above that, so a histogram is as small as its range.
     """
     shared = documents.sparkSession.sparkContext.broadcast(tables)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        score, count = Scorer(*shared.value), np.zeros(1101, np.int64)
+        score, count = Scorer(*shared.value), np.zeros((2, 1101), np.int64)
         known: dict[str, bool] = {}
+        place = lambda gain: int(np.floor(min(max(gain, -100.0), 1000.0))) + 100
         for b in batches:
             for t in b.column("t").to_pylist():
                 if len(known) > 500_000:
                     known.clear()
-                found = list(RUN.finditer(t))
-                for run in {m.group() for m in found}:
+                found = {m.group() for m in RUN.finditer(t)}
+                for run in found:
                     if run not in known:
                         known[run] = suspicious(run)
-                if any(known[m.group()] for m in found):
-                    continue
+                clean = not any(known[run] for run in found)
                 for line in t.split("\n"):
-                    if line.isascii():
+                    if line.isascii() or not clean and not any(known[m.group()] for m in RUN.finditer(line)):
                         continue
-                    runs = [score.run("".join(map(_kind, line[max(0, m.start() - 2) : m.start()])), m.group(), _kind(line[m.end() : m.end() + 1]))[1] for m in RUN.finditer(line)]
-                    chains = set.intersection(*map(set, runs))
-                    gain = max((sum(x[c][1] for x in runs) for c in chains), default=0.0)
-                    count[int(np.floor(min(max(gain, -100.0), 1000.0))) + 100] += 1
-        used = np.flatnonzero(count)
-        yield {"gain": (used - 100).astype(np.int32), "n": count[used]}
+                    runs = [score.run("".join(map(_kind, line[max(0, m.start() - 2) : m.start()])), m.group(), _kind(line[m.end() : m.end() + 1])) for m in RUN.finditer(line)]
+                    for best, _ in runs:
+                        if best is not None:
+                            count[1, place(best[2])] += 1
+                    if clean:
+                        best = score.segment([single for _, single in runs], 0.0)
+                        count[0, place(best[0] if best else 0.0)] += 1
+        kind, at = np.nonzero(count)
+        yield {"kind": pa.array(["line", "run"]).take(pa.array(kind)), "gain": (at - 100).astype(np.int32), "n": count[kind, at]}
 
     rows = documents.select(F.col(text).alias("t")).where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]"))
-    found = map_batches(rows, work, "gain int, n long").groupBy("gain").agg(F.sum("n").alias("n")).orderBy("gain").collect()
-    return np.array([r.gain for r in found], dtype=np.int64), np.array([r.n for r in found], dtype=np.int64)
+    found = map_batches(rows, work, "kind string, gain int, n long").groupBy("kind", "gain").agg(F.sum("n").alias("n")).orderBy("kind", "gain").collect()
+    return {k: tuple(np.array([r[c] for r in found if r.kind == k], dtype=np.int64) for c in ("gain", "n")) for k in ("line", "run")}
 
 
-def validated_margin(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray], least: float = 12.0) -> float:
-    """The gain of a line that single-byte chains must reach: 10 nats above what nine tenths of the sound lines of all clean records reach.
+def line_margin(gain: np.ndarray, n: np.ndarray, least: float = 12.0) -> float:
+    """The gain that single-byte chains must reach: 10 nats above what nine tenths of the sound lines of all clean records reach.
 
     Lines read in a wrong single-byte page are among them. Where they form a mode of their own, the emptiest 10 nats from a gain of 0 on part
     them from the sound lines: those hold less than a tenth of the lines above them.
     """
-    gain, n = line_gains(documents, key, text, tables)
-    if not len(gain):
-        return least
     held = lambda low, high: int(n[(gain >= low) & (gain < high)].sum())
     valley = min(range(0, 51), key=lambda g: held(g, g + 10))
     if held(valley, valley + 10) * 10 < held(valley + 10, 1001):
@@ -294,6 +310,21 @@ def validated_margin(documents: DataFrame, key: str, text: str, tables: tuple[np
     return max(least, float(gain[np.searchsorted(np.cumsum(n), 0.9 * n.sum())]) + 11.0)
 
 
+def run_margin(gain: np.ndarray, n: np.ndarray, usual: float = 4.0, most: int = 12) -> float:
+    """The gain that chains through UTF-8 must reach: the middle of the emptiest 4 nats between 0 and ``most``, of equally empty ones the nearest to ``usual``.
+
+    Runs that decode as UTF-8 by chance or are meant as they stand gain nothing by it, misread ones gain much.
+    """
+    held = lambda low: int(n[(gain >= low) & (gain < low + 4)].sum())
+    return min((held(g), abs(g + 2 - usual), g + 2.0) for g in range(most - 3))[2]
+
+
+def validated_margins(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray]) -> dict[str, float]:
+    """margin and line_margin of ``garbled``, from the gains over all records."""
+    found = gains(documents, key, text, tables)
+    return {"margin": run_margin(*found["run"]), "line_margin": line_margin(*found["line"])}
+
+
 def garbled(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray], margin: float = 4.0, line_margin: float = 12.0, repair: bool = False) -> DataFrame:
     """(key, runs, lost, chain[, repaired]): damaged records with the number of repairable and of lost runs, and the chain used most."""
     shared = documents.sparkSession.sparkContext.broadcast(tables)
