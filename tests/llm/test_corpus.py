@@ -327,8 +327,11 @@ def test_garbled_text(spark):
     sound = [(2000, "A page that was read wrongly shows Ã© where é was meant"), (2001, "½ cup at 180 °C"), (2002, "ΔΣ over Ω ≥ π"), (2003, None), (2004, ""), (2005, "ascii only"), (2006, "ÂNGULO, ÂMBAR")]
     df = spark.createDataFrame([(*r, "x") for r in [*enumerate(clean), *bad, *sound]], "doc_id long, text string, runs string")
     tables = encoding.train(df, "text")
-    margins = encoding.validated_margins(df, "doc_id", "text", tables)
+    found = encoding.survey(df, "doc_id", "text", tables)
+    margins = encoding.validated_margins(found)
     got = {r.doc_id: r for r in encoding.garbled(df, "doc_id", "text", tables, **margins, repair=True).collect()}
+    assert sorted(encoding.garbled(df, "doc_id", "text", tables, **margins, repair=True, found=found).collect()) == sorted(got.values())
+    assert found.where("kind = 'key'").count() < 30
     assert set(got) == {i for i, _ in bad}
     assert got[1000].repaired == "Das ist schön für Mädchen" and got[1001].repaired.endswith("déjà élève") and got[1002].repaired == "la señal niño" and got[1003].repaired == "город река книга школа зима лес"
     assert got[1004].lost == 1 and got[1004].runs == 0
@@ -342,10 +345,12 @@ def test_margin_counts_all_records_and_parts_garbled_ones(spark):
     rows = [(i, line()) for i in range(600)] + [(1000 + i, line().encode(("koi8-r", "cp1251", "cp1251")[i % 3]).decode(("cp1251", "koi8-r", "cp1252")[i % 3])) for i in range(90)] + [(2000 + i, "only ascii") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     tables = encoding.train(df, "text")
-    margins = encoding.validated_margins(df, "doc_id", "text", tables)
-    assert margins["line_margin"] < 30 and encoding.gains(df, "doc_id", "text", tables)["line"][1].sum() == 690
-    assert {r.doc_id for r in encoding.garbled(df, "doc_id", "text", tables, **margins).collect()} == set(range(1000, 1090))
-    assert encoding.validated_margins(df.limit(0), "doc_id", "text", tables) == {"margin": 4.0, "line_margin": 12.0}
+    found = encoding.survey(df, "doc_id", "text", tables)
+    margins = encoding.validated_margins(found)
+    assert margins["line_margin"] < 30 and found.where("kind = 'line'").groupBy().sum("n").first()[0] == 690
+    for f in (found, None):
+        assert {r.doc_id for r in encoding.garbled(df, "doc_id", "text", tables, **margins, found=f).collect()} == set(range(1000, 1090))
+    assert encoding.validated_margins(encoding.survey(df.limit(0), "doc_id", "text", tables)) == {"margin": 4.0, "line_margin": 12.0}
 
 
 def test_part_of_a_line_is_garbled(spark):
@@ -356,7 +361,7 @@ def test_part_of_a_line_is_garbled(spark):
     rows += [(1000, f"город река {bad} школа лес"), (1001, f"plain words, then {bad}.")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     tables = encoding.train(df, "text")
-    got = {r.doc_id: r.repaired for r in encoding.garbled(df, "doc_id", "text", tables, **encoding.validated_margins(df, "doc_id", "text", tables), repair=True).collect()}
+    got = {r.doc_id: r.repaired for r in encoding.garbled(df, "doc_id", "text", tables, **encoding.validated_margins(encoding.survey(df, "doc_id", "text", tables)), repair=True).collect()}
     assert got == {1000: "город река письмо дорога школа лес", 1001: "plain words, then письмо дорога."}
 
 

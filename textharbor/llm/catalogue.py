@@ -161,7 +161,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 def _garbled(spark: SparkSession, d: str, repair: bool) -> DataFrame:
     documents = table(spark, d, "documents")
     tables = encoding.train(documents, "text")
-    return encoding.garbled(documents, "doc_id", "text", tables, **encoding.validated_margins(documents, "doc_id", "text", tables), repair=repair)
+    found = encoding.survey(documents, "doc_id", "text", tables)
+    return encoding.garbled(documents, "doc_id", "text", tables, **encoding.validated_margins(found), repair=repair, found=found)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

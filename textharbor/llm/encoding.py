@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textharbor.llm.common import cut, map_batches
+from textharbor.llm.common import cut, map_batches, sized
 
 BUCKETS = 1 << 18
 RUN = re.compile(r"[^\x00-\x7f]+")
 LOST = re.compile("\ufffd+")
 #: Smoothing of the n-gram counts.
 ALPHA = 0.02
+#: The least gains, in nats, that margins may ask of a run and of a line's runs.
+LEAST_RUN, LEAST_LINE = 2.0, 12.0
 # Pairs of code pages in which text is read wrongly and written rightly.
 CHAINS = [
     ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp850", "utf-8"), ("cp1251", "utf-8"), ("koi8-r", "utf-8"), ("cp866", "utf-8"), ("cp1250", "utf-8"), ("iso8859-15", "utf-8"),
@@ -254,11 +256,12 @@ class Scorer:
         return best
 
 
-def gains(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms, kind -> (gain in whole nats, number), over all records.
+def survey(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(kind, key, gain, n) over all records; kinds are
 
-    line: how much the best single-byte chain gains on neighbouring runs of a line, of all lines beyond ASCII in clean records.
-    run: how much the best chain through UTF-8 gains on a run, of all runs that have one, in any record.
+    line: how much the best single-byte chain gains on neighbouring runs of a line, in whole nats, and the number of such lines, of all lines beyond ASCII in clean records;
+    run: how much the best chain through UTF-8 gains on a run, of all runs that have one, in any record;
+    key: records that could be damaged by the least of all margins, once per row: no others need be judged again.
     Gains count as -100 below and as 1000 above that, so a histogram is as small as its range.
     """
     shared = documents.sparkSession.sparkContext.broadcast(tables)
@@ -268,7 +271,8 @@ def gains(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, n
         known: dict[str, bool] = {}
         place = lambda gain: int(np.floor(min(max(gain, -100.0), 1000.0))) + 100
         for b in batches:
-            for t in b.column("t").to_pylist():
+            keys = []
+            for k, t in zip(b.column("k").to_pylist(), b.column("t").to_pylist()):
                 if len(known) > 500_000:
                     known.clear()
                 found = {m.group() for m in RUN.finditer(t)}
@@ -276,6 +280,7 @@ def gains(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, n
                     if run not in known:
                         known[run] = suspicious(run)
                 clean = not any(known[run] for run in found)
+                possible = not clean
                 for line in t.split("\n"):
                     if line.isascii() or not clean and not any(known[m.group()] for m in RUN.finditer(line)):
                         continue
@@ -283,18 +288,25 @@ def gains(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, n
                     for best, _ in runs:
                         if best is not None:
                             count[1, place(best[2])] += 1
+                            possible |= best[2] >= LEAST_RUN
                     if clean:
                         best = score.segment([single for _, single in runs], 0.0)
                         count[0, place(best[0] if best else 0.0)] += 1
+                        possible |= best is not None and best[0] >= LEAST_LINE
+                if possible:
+                    keys.append(k)
+            yield {"kind": ["key"] * len(keys), "key": keys, "gain": [0] * len(keys), "n": [1] * len(keys)}
         kind, at = np.nonzero(count)
-        yield {"kind": pa.array(["line", "run"]).take(pa.array(kind)), "gain": (at - 100).astype(np.int32), "n": count[kind, at]}
+        yield {"kind": pa.array(["line", "run"]).take(pa.array(kind)), "key": [None] * len(at), "gain": (at - 100).astype(np.int32), "n": count[kind, at]}
+
+    return cut(map_batches(_rows(documents, key, text), work, "kind string, key long, gain int, n long"))
+
 
-    rows = documents.select(F.col(text).alias("t")).where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]"))
-    found = map_batches(rows, work, "kind string, gain int, n long").groupBy("kind", "gain").agg(F.sum("n").alias("n")).orderBy("kind", "gain").collect()
-    return {k: tuple(np.array([r[c] for r in found if r.kind == k], dtype=np.int64) for c in ("gain", "n")) for k in ("line", "run")}
+def _rows(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").rlike(r"[^\x00-\x7F]"))
 
 
-def line_margin(gain: np.ndarray, n: np.ndarray, least: float = 12.0) -> float:
+def line_margin(gain: np.ndarray, n: np.ndarray, least: float = LEAST_LINE) -> float:
     """The gain that single-byte chains must reach: 10 nats above what nine tenths of the sound lines of all clean records reach.
 
     Lines read in a wrong single-byte page are among them. Where they form a mode of their own, the emptiest 10 nats from a gain of 0 on part
@@ -319,14 +331,18 @@ def run_margin(gain: np.ndarray, n: np.ndarray, usual: float = 4.0, most: int =
     return min((held(g), abs(g + 2 - usual), g + 2.0) for g in range(most - 3))[2]
 
 
-def validated_margins(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray]) -> dict[str, float]:
-    """margin and line_margin of ``garbled``, from the gains over all records."""
-    found = gains(documents, key, text, tables)
-    return {"margin": run_margin(*found["run"]), "line_margin": line_margin(*found["line"])}
+def validated_margins(found: DataFrame) -> dict[str, float]:
+    """margin and line_margin of ``garbled``, from the gains that ``survey`` counted over all records."""
+    rows = found.where("kind <> 'key'").groupBy("kind", "gain").agg(F.sum("n").alias("n")).orderBy("kind", "gain").collect()  # some 2,200 rows at most
+    histogram = {k: [np.array([r[c] for r in rows if r.kind == k], dtype=np.int64) for c in ("gain", "n")] for k in ("line", "run")}
+    return {"margin": run_margin(*histogram["run"]), "line_margin": line_margin(*histogram["line"])}
 
 
-def garbled(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray], margin: float = 4.0, line_margin: float = 12.0, repair: bool = False) -> DataFrame:
-    """(key, runs, lost, chain[, repaired]): damaged records with the number of repairable and of lost runs, and the chain used most."""
+def garbled(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray, np.ndarray], margin: float = 4.0, line_margin: float = LEAST_LINE, repair: bool = False, found: DataFrame | None = None) -> DataFrame:
+    """(key, runs, lost, chain[, repaired]): damaged records with the number of repairable and of lost runs, and the chain used most.
+
+    found: of ``survey``; records that it ruled out are not judged again.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(tables)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -352,7 +368,9 @@ def garbled(documents: DataFrame, key: str, text: str, tables: tuple[np.ndarray,
                         out[name].append(v)
             yield out
 
-    rows = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").rlike(r"[^\x00-\x7F]"))
+    rows = _rows(documents, key, text)
+    if found is not None:
+        rows = rows.join(sized(cut(found.where("kind = 'key'").select(F.col("key").alias("k")).distinct())), "k", "left_semi")
     found = map_batches(rows, work, "key long, runs int, lost int, chain string, repaired string").withColumnRenamed("key", key)
     return found if repair else found.drop("repaired")
 
