@@ -30,7 +30,33 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "j.tsv").write_text("q1\t3\tcompiler.txt\nq2\t2\tbread.txt\n")
     assert run("eval", str(tmp_path / "q.tsv"), str(tmp_path / "j.tsv")) == 0
     assert json.loads(capsys.readouterr().out)["ndcg"] == 1
-    assert run("authority") == 0 and run("merge") == 0 and run("stats") == 0 and run("delete", "5") == 0
+    assert run("eval", str(tmp_path / "q.tsv"), str(tmp_path / "j.tsv"), "--save", str(tmp_path / "r.json")) == 0
+    assert run("eval", str(tmp_path / "q.tsv"), str(tmp_path / "j.tsv"), "--baseline", str(tmp_path / "r.json")) == 0 and "same" in capsys.readouterr().out
+    assert run("authority") == 0 and run("merge") == 0 and run("stats") == 0 and run("verify") == 0 and run("delete", "5") == 0
+    assert run("search", "--all", "loop compiler") == 0 and "compiler.txt" in capsys.readouterr().out
+    assert run("bench", "--rounds", "1", "compiler", "bread") == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["queries"] == 2
+
+
+def test_cluster_and_crawl_commands(spark, tmp_path, capsys):
+    corpus, data = tmp_path / "corpus", str(tmp_path / "index")
+    corpus.mkdir()
+    for i in range(6):
+        (corpus / f"{i}.txt").write_text(f"shared word and own{i}")
+    run = lambda *a: cli.run(["--data", data, *a], spark)
+    assert run("cluster", "status") == 1 and run("cluster", "init", "--shards", "3", "--replicas", "2") == 0 and run("cluster", "index", str(corpus)) == 0
+    capsys.readouterr()
+    assert run("cluster", "search", "shared own3") == 0
+    out = capsys.readouterr().out
+    assert "3.txt" in out and "partial" not in out
+    doc_id = next(line.split()[1] for line in out.splitlines() if line.endswith("3.txt"))
+    assert run("cluster", "delete", "--", doc_id) == 0 and run("cluster", "merge") == 0 and run("cluster", "status") == 0 and run("shard", "list") == 0 and run("node") == 0
+    capsys.readouterr()
+    assert run("cluster", "search", "own3") == 0 and "3.txt" not in capsys.readouterr().out
+    assert run("shard", "move", "1", "node-1", "node-7") == 0 and "node-7" not in capsys.readouterr().out and run("node") == 0 and "node-7" in capsys.readouterr().out
+    page = "url string, content_type string, title string, headings array<string>, body string, links array<struct<url:string,anchor:string>>, image_alts array<string>, description string"
+    spark.createDataFrame([("http://s/", "text/html", "S", [], "start here", [("http://s/2", "two")], [], None), ("http://s/2", "text/html", "T", [], "second page", [], ["a"], "d")], page).write.parquet(str(tmp_path / "pages"))
+    assert run("crawl", "http://s/", "--pages", str(tmp_path / "pages")) == 0 and "fetched: 2" in capsys.readouterr().out
+    assert run("search", "second") == 0 and "http://s/2" in capsys.readouterr().out
 
 
 def test_http(spark):
@@ -51,8 +77,15 @@ def test_http(spark):
     assert get("/api/search?q=compiler")[1]["hits"] == answer["hits"]
     assert get("/api/search?q=compilr")[1]["suggestion"] == "compil"
     assert get("/api/search")[0] == 400 and get("/api/search?q=(")[0] == 400 and get("/api/search?q=a&limit=x")[0] == 400 and get("/x")[0] == 404
-    assert get("/api/complete?q=comp")[1]["completions"] == [{"term": "compil", "df": 1}]
+    assert get("/api/complete?q=comp")[1]["completions"] == [{"field": f, "term": "compil", "df": 1} for f in ("title", "body")]
+    assert get("/api/complete?q=the")[1]["completions"] == []
     assert get("/api/admin/status")[0] == 401 and get("/api/admin/status", "secret")[1]["docs"] == 1
+    seen = get("/api/admin/metrics", "secret")[1]
+    assert get("/api/admin/metrics")[0] == 401 and seen["searches"] >= 3 and seen["completes"] == 2 and seen["cache"]["entries"] >= 1
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/search?q=compiler") as r:
+        assert "<mark>compiler</mark>" in r.read().decode() and r.headers["Content-Type"].startswith("text/html")
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/") as r:
+        assert "<form" in r.read().decode()
     server.shutdown()
 
 

@@ -1,19 +1,21 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textharbor.config import PLAIN, Crawler
 from textharbor.functions import hashing, urls
 from textharbor.functions.text import snippet_of
-from textharbor.operators import authority, crawl, dedup, evaluate, robots, spell
+from textharbor.operators import authority, cluster, crawl, dedup, evaluate, rank, robots, spell
 from textharbor.operators.cluster import Router
 from textharbor.operators.index import IndexView
 from textharbor.plans import search
 from textharbor.plans.query import parse
 from textharbor.sources import segments
-from textharbor.sources.files import documents_from, read_judgments, scan
+from textharbor.sources.files import documents_from, markdown_body, markdown_title, query_ids, read_judgments, scan, text_document
 from textharbor.sources.html import extract
+from textharbor.sources.pages import documents_from_pages
 from textharbor.streaming.ingest import append_generations
 
 DOC = "doc_id long, title string, headings array<string>, body string, anchor_text array<string>, url string, metadata map<string,string>, timestamp long"
@@ -67,6 +69,36 @@ def test_written_index_gives_the_same_answers(spark, tmp_path):
     kept = segments.read_index(spark, str(tmp_path / "i"), docs, PLAIN)
     for text in ("alpha", '"beta gamma"', "NOT alpha"):
         assert sorted(search.boolean(kept, parse(text, PLAIN)).collect()) == sorted(search.boolean(view, parse(text, PLAIN)).collect())
+        assert rank.top_k(kept, parse(text, PLAIN), 5).collect() == rank.top_k(view, parse(text, PLAIN), 5).collect()
+    assert all(r.sound for r in segments.verify_index(spark, str(tmp_path / "i")).collect())
+    scans = rank.top_k(kept, parse("alpha OR beta", PLAIN), 5)._jdf.queryExecution().executedPlan().toString()
+    assert scans.count("FileScan parquet") == 1 and "EqualTo(field,2)" in scans.partition("PushedFilters:")[2] and "positions" not in scans.partition("ReadSchema:")[2]
+    spark.createDataFrame([(0, "alpha", 1, [0], 9, 9, 1, 0)], spark.read.parquet(str(tmp_path / "i/postings")).schema).write.mode("append").parquet(str(tmp_path / "i/postings"))
+    assert {r.table: r.sound for r in segments.verify_index(spark, str(tmp_path / "i")).collect()} == {"postings": False, "dictionary": True, "blocks": True, "doclen": True}
+    (tmp_path / "i/statistics.json").unlink()
+    with pytest.raises(segments.CorruptIndex):
+        segments.read_index(spark, str(tmp_path / "i"))
+
+
+def test_index_follows_the_segments(spark, tmp_path):
+    path = str(tmp_path / "index")
+    segments.write_segment(docs_of(spark, {1: "alpha", 2: "beta"}), path)
+    ask = lambda: sorted(r.doc_id for r in search.boolean(segments.current_index(spark, path, PLAIN), parse("alpha", PLAIN)).collect())
+    assert ask() == [1]
+    segments.write_segment(docs_of(spark, {2: "alpha"}), path)
+    assert ask() == [1, 2]
+    segments.delete(path, 1)
+    assert ask() == [2] and [r.readable for r in segments.verify_segments(spark, path).collect()] == [True, True]
+    m = segments.Manifest.load(path)
+    assert m.remove_segment(1) and not m.remove_segment(1) and m.clear_tombstones() == 1 and m.deleted == []
+
+
+def test_manifest_on_a_named_file_system(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    assert segments.Manifest.load(path).segments == []
+    segments.write_segment(docs_of(spark, {1: "alpha"}), path)
+    segments.write_segment(docs_of(spark, {2: "alpha"}), path)
+    assert found(spark, path, "alpha") == [1, 2] and segments.Manifest.load(path).segments == [1, 2]
 
 
 def test_streamed_batches_become_generations(spark, tmp_path):
@@ -77,6 +109,9 @@ def test_streamed_batches_become_generations(spark, tmp_path):
     docs_of(spark, {2: "changed"}).withColumn("arrived_at", F.lit(2)).write.mode("append").parquet(source)
     append_generations(stream, str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
     assert {r.doc_id: r.body for r in segments.read_live(spark, str(tmp_path / "index")).collect()} == {1: "one", 2: "changed"}
+    before = segments.Manifest.load(str(tmp_path / "index"))
+    again = segments.write_segment(docs_of(spark, {2: "changed"}), str(tmp_path / "index"), batch=list(before.batches)[-1])
+    assert again == before.segments[-1] and segments.Manifest.load(str(tmp_path / "index")) == before and len(before.batches) == 2
 
 
 def test_hashes(spark):
@@ -113,6 +148,30 @@ def test_near_pairs_equal_brute_force(spark):
     first = {s: sims.index(s) for s in sims}
     exp = {(i, j) for i, a in enumerate(sims) for j, b in enumerate(sims) if i < j and (a ^ b).bit_count() <= 7 and first[a] == i and (a == b or first[b] == j)}
     assert got == exp
+    for blocks in (9, 10):
+        assert {(r.a, r.b) for r in dedup.near_pairs(rows, blocks=blocks).collect()} == exp
+    with pytest.raises(ValueError):
+        dedup.near_pairs(rows, blocks=7)
+    links = {r.doc_id: (r.representative, r.links) for r in dedup.classes(rows).collect()}
+    for i, s in enumerate(sims):
+        assert links[i] == (first[s], len({t for t in sims if t != s and (s ^ t).bit_count() <= 7}))
+    assert dedup.near_pairs(rows.limit(0)).count() == 0
+
+
+def test_simhash_of_many_texts():
+    texts = ["", "one", "a b c d e f g", "wörter " * 40, *[" ".join(f"w{i * j % 17}" for j in range(i)) for i in range(2, 300, 7)]]
+
+    def plain(text):
+        words = text.split()
+        if not words:
+            return 0
+        votes = [0] * 64
+        for i in range(max(1, len(words) - 4)):
+            h = int(hashing._mix(np.array([hashing.fnv1a(" ".join(words[i : i + 5]).encode())], dtype=np.uint64))[0])
+            votes = [v + (1 if h >> b & 1 else -1) for b, v in enumerate(votes)]
+        return sum(1 << b for b, v in enumerate(votes) if v > 0)
+
+    assert [int(x) for x in hashing.simhash_many(texts)] == [plain(t) for t in texts]
 
 
 def test_urls():
@@ -130,6 +189,7 @@ def test_html():
     assert got["title"] == "A page" and got["headings"] == ["Head"] and got["links"] == [{"url": "http://x.y/l", "anchor": "link"}]
     assert "menu" not in got["body"] and "bad" not in got["body"] and "foot" not in got["body"] and got["body"].startswith("A page Head One two")
     assert got["image_alts"] == ["pic"] and got["canonical"] == "http://x.y/c" and got["description"] == "said"
+    assert extract("http://x.y", '<meta property="og:description" content=" shared ">')["description"] == "shared"
     for bad in ("", "<", "<<<>>>", "<a href=", "<!--", "<p></b></p></p>", "<title>x", None):
         extract("http://x.y", bad)
 
@@ -150,9 +210,30 @@ def test_files(spark, tmp_path):
 def test_judgments(spark, tmp_path):
     (tmp_path / "j.tsv").write_text("# comment\nq1\t3\ta.txt\n\nq1\t0\tb.txt\n")
     assert read_judgments(spark, str(tmp_path / "j.tsv")).count() == 2
-    (tmp_path / "bad.tsv").write_text("q1\tx\ta.txt\n")
-    with pytest.raises(Exception, match="(?i)malformed"):
-        read_judgments(spark, str(tmp_path / "bad.tsv")).collect()
+    for bad, said in (("q1\tx\ta.txt\n", "(?i)malformed"), ("q1\t4\ta.txt\n", "bad grade"), ("\t2\ta.txt\n", "bad grade"), ("q1\t2\n", "(?i)bad grade|malformed")):
+        (tmp_path / "bad.tsv").write_text(bad)
+        with pytest.raises(Exception, match=said):
+            read_judgments(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "twice.tsv").write_text("q2\t3\ta.txt\nq1\t1\ta.txt\nq2\t1\ta.txt\n")
+    twice = read_judgments(spark, str(tmp_path / "twice.tsv"))
+    assert {(r.query_id, r.grade) for r in twice.collect()} == {("q1", 1), ("q2", 1)} and [r.query_id for r in query_ids(twice).collect()] == ["q1", "q2"]
+
+
+def test_markdown_marks(spark):
+    text = "## A **bold** head\n  - **item** `one`\n> said\n```\ncode\n```\n#\n"
+    got = spark.createDataFrame([(text,)], "t string").select(markdown_title(F.col("t")).alias("title"), markdown_body(F.col("t")).alias("body")).first()
+    assert got.title == "A **bold** head" and got.body.split("\n") == ["A **bold** head", "item one", "said", "code", "", ""]
+
+
+def test_pages_as_documents(spark):
+    pages = spark.createDataFrame(
+        [("http://a/", "", ["h"], "text", [("http://b/", "to b"), ("http://c/", " ")], ["alt"], "said", ["http://a/1.png", "http://a/2.png"], "link:x", 5)],
+        "url string, title string, headings array<string>, body string, links array<struct<url:string,anchor:string>>, image_alts array<string>, description string, image_srcs array<string>, crawl_source string, timestamp long",
+    )
+    r = documents_from_pages(pages).first()
+    assert r.doc_id % (1 << 64) == hashing.fnv1a(b"http://a/") == int(r.id_hex, 16) and r.title == "http://a/" and r.anchor_text == ["to b"] and r.timestamp == 5
+    assert r.metadata == {"crawl_source": "link:x", "outlinks": "http://b/\nhttp://c/", "image_refs": "http://a/1.png,http://a/2.png", "image_count": "2", "description": "said"}
+    assert text_document(1, "f.txt", "t", "b")["url"] == "" and text_document(1, "f.txt", "t", "b")["source"]["value"] == "f.txt"
 
 
 def test_robots(spark):
@@ -182,6 +263,60 @@ def test_crawl(spark):
     assert starts == {"http://a/2": 0, "http://a/1": 3000, "http://b/1": 0}
 
 
+def test_crawl_retries_and_duplicates(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    pages = spark.createDataFrame(
+        [("http://s/", "text/html", ["http://s/a", "http://s/b", "http://s/c", "http://s/d"], "start", 0), ("http://s/a", "text/html", [], text, 2), ("http://s/b", "text/html", ["http://s/only"], text.upper() + " ", 0),
+         ("http://s/c", "text/html", [], text + " more", 0), ("http://s/d", "text/html", [], "never", 9), ("http://s/only", "text/html", [], "from a duplicate", 0)],
+        "url string, content_type string, links array<string>, body string, failures int",
+    )
+    got, log = crawl.crawl(spark.createDataFrame([("http://s/",)], "url string"), pages, None, Crawler(backoff_ms=1000, delay_ms=100))
+    at = {r.url: r.at_ms for r in got.collect()}
+    # a comes back after 1 and 2 seconds, when b, fetched before it, holds its text
+    assert set(at) == {"http://s/", "http://s/b", "http://s/only"} and at["http://s/only"] >= 0
+    assert {r.outcome: r.n for r in log.collect()} == {"fetched": 3, "retried": 5, "failed": 1, "near_duplicate": 1, "exact_duplicate": 1}
+
+
+def test_frontier_is_kept(spark, tmp_path):
+    front = crawl.seeds(spark.createDataFrame([("http://a/1",), ("http://a/2",)], "url string"))
+    seen = front.select("url")
+    links = crawl.queue_links(spark.createDataFrame([("http://a/1", 0, ["http://a/2", "http://a/3", "http://b/"])], "url string, depth int, links array<string>"), front.select("host").distinct())
+    grown = crawl.push(front, links, seen)
+    assert {(r.url, r.priority, r.depth) for r in grown.collect()} == {("http://a/1", 100, 0), ("http://a/2", 100, 0), ("http://a/3", 40, 1)}
+    crawl.save_frontier(grown, seen, str(tmp_path / "f"))
+    again, known = crawl.load_frontier(spark, str(tmp_path / "f"))
+    assert crawl.sizes(again, known) == (3, 2) and crawl.next_wakeup(again) == 0 and crawl.next_wakeup(again.limit(0)) is None
+
+
+def test_cluster_copies(spark, tmp_path):
+    copies = cluster.layout(spark, 2, 2)
+    up, notes = cluster.failover(copies, copies.where("node = 'node-0'").select("shard", "node"))
+    assert {(r.shard, r.node) for r in up.collect()} == {(0, "node-1"), (1, "node-1")} and [(r.shard, r.node) for r in notes.collect()] == [(0, "node-0")]
+    down, notes = cluster.failover(copies.withColumn("health", F.when(F.col("shard") == 1, "offline").otherwise("healthy")), copies.where("shard = 0").select("shard", "node"))
+    assert down.count() == 0 and {(r.shard, r.note) for r in notes.collect() if r.node is None} == {(0, "all copies failed"), (1, "no healthy copy")}
+    path = str(tmp_path / "s")
+    cluster.write_sharded(docs_of(spark, {i: f"body {i}" for i in range(20)}).withColumn("seg", F.lit(1)), path, 3)
+    shard = cluster.delete_sharded(spark, path, 7, 3)
+    assert hashing.fnv1a((7).to_bytes(8, "little")) % 3 == shard and spark.read.parquet(path).count() == 19
+    moved = cluster.move(copies, 0, "node-0", "node-5").where("shard = 0 AND node = 'node-5'").first()
+    assert moved.generation == 1
+
+
+def test_corrections_equal_the_plain_way(spark):
+    rng = random.Random(5)
+    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))) for _ in range(60)})
+    v = spark.createDataFrame([(t, 1) for t in terms], "term string, df long")
+    for term in ("abc", "cabba", "x"):
+        assert sorted((r.term, r.dist) for r in spell.within(v, term, 2).collect()) == spell.naive_within(terms, term, 2)
+    assert spell.did_you_mean(v, f"{terms[0]}x AND zzzzzz", PLAIN) == f"{terms[0]} AND zzzzzz" or terms[0] + "x" in terms
+
+
+def test_canonical_urls_by_expressions(spark):
+    some = ["HTTP://Example.COM:80/a/./b/../c#frag", "https://x.y", "https://x.y:443/a?b=1", "http://x.y:443/", "http://u@x.y/", "ftp://x", "", None, "http://x.y/a//b", "http://x.y/a/..", "HTTPS://WWW.A-b.C/p.html?q#f", "http://x.y/ü", "http://x.y?q=1", " http://x.y/ ", "http://x.y/a/b.c/d/"]
+    rows = spark.createDataFrame([(u,) for u in some], "u string").select("u", urls.canonical_url("u").alias("c")).collect()
+    assert {r.u: r.c for r in rows} == {u: urls.canonical(u) for u in some}
+
+
 def test_pagerank(spark):
     edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 0), (2, 0), (3, 0), (1, 1), (1, 99)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in range(4)], "node long")

@@ -1,17 +1,20 @@
 import itertools
 import math
 import random
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from textharbor.config import PLAIN, UNSTEMMED, Analysis, Ranking
 from textharbor.functions.analysis import analyze
 from textharbor.operators import rank
 from textharbor.operators.cache import ResultCache
 from textharbor.operators.cluster import layout, set_health, sharded_top_k
-from textharbor.operators.index import IndexView
+from textharbor.operators.index import IndexView, block_of
 from textharbor.plans import search
 from textharbor.plans.query import And, Fuzzy, InvalidQuery, MatchAll, MatchNothing, Not, Or, Phrase, Prefix, Site, Term, parse
+from textharbor.sources import segments
 
 SCHEMA = "doc_id long, title string, headings array<string>, body string, anchor_text array<string>, url string, metadata map<string,string>, timestamp long, seg int"
 
@@ -159,13 +162,36 @@ def test_bm25_by_definition_and_pruning_changes_nothing(spark, random_docs):
         got = [(r.score, r.doc_id) for r in rank.top_k(view, query, k).collect()]
         assert [i for _, i in got] == [i for _, i in expected[:k]]
         assert [s for s, _ in got] == pytest.approx([s for s, _ in expected[:k]], abs=1e-4)
-        best, work = rank.pruned_top_k(view, query, k, block=4)
+        best, work = rank.pruned_top_k(replace(view, shift=2), query, k)
         assert [(r.score, r.doc_id) for r in best.collect()] == got
-        assert work.first().blocks >= work.first().blocks_skipped
+        w = work.first()
+        assert w.blocks == w.blocks_scored + w.blocks_skipped and w.postings >= w.postings_scored
     blends = Ranking(authority_weight=2, freshness_weight=3)
     for text in ("alpha OR zeta", "alpha OR NOT beta", "NOT alpha"):
         q = parse(text, PLAIN)
-        assert rank.pruned_top_k(view, q, 5, blends, block=4)[0].collect() == rank.top_k(view, q, 5, blends).collect()
+        for shift in (0, 2, None):
+            assert rank.pruned_top_k(replace(view, shift=shift), q, 5, blends)[0].collect() == rank.top_k(view, q, 5, blends).collect()
+
+
+def test_selective_queries_read_few_postings(spark, tmp_path, monkeypatch):
+    rows = [(i, "", [], "common filler text", [], "", {}, 0) for i in range(200)] + [(1000, "", [], "zephyrquux common", [], "", {}, 0), (1001, "", [], "zephyrquux common again", [], "", {}, 0)]
+    view = replace(IndexView.of(make(spark, rows), PLAIN), shift=1)
+    segments.write_index(view, str(tmp_path / "i"))
+    kept = segments.read_index(spark, str(tmp_path / "i"), analysis=PLAIN)
+    query = parse("common OR zephyrquux", PLAIN)
+    for most in (rank.MOST_RANGES, 0):  # ranges that reach the scan, and the join
+        monkeypatch.setattr(rank, "MOST_RANGES", most)
+        best, work = rank.pruned_top_k(kept, query, 2)
+        assert [r.doc_id for r in best.collect()] == [1000, 1001] == [r.doc_id for r in rank.top_k(kept, query, 2).collect()]
+        w = work.first()
+        assert w.postings == 204 and w.postings_scored <= 5 and w.blocks_scored <= 2
+
+
+def test_blocks_of_sparse_ids_hold_as_many_documents(spark):
+    docs = make(spark, [(i * 10**15 - 5 * 10**17, "", [], "a", [], "", {}, 0) for i in range(1000)])
+    shift = IndexView.of(docs, PLAIN).id_shift()
+    blocks = docs.select(block_of(F.col("doc_id"), shift).alias("b")).groupBy("b").count().agg(F.max("count").alias("m"), F.count("*").alias("n")).first()
+    assert 32 <= blocks.m <= 130 and blocks.n < 40
 
 
 def test_shards_change_nothing_and_partial_is_told(spark, random_docs):

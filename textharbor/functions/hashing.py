@@ -47,20 +47,29 @@ def _mix(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def simhash_of(text: str) -> int:
-    """SimHash-64 over runs of five words; one run where there are fewer words, 0 where there are none."""
-    words = text.split()
-    if not words:
-        return 0
-    runs = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-    h = _mix(fnv1a_many([r.encode() for r in runs]))
-    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    votes = 2 * bits.sum(0).astype(np.int64) - len(runs)
-    return int(sum(1 << int(i) for i in np.flatnonzero(votes > 0)))
+def simhash_many(texts: list[str]) -> np.ndarray:
+    """SimHash-64 over runs of five words, of many texts at once; one run where there are fewer words, 0 where there are none."""
+    out = np.zeros(len(texts), dtype=np.uint64)
+    for low in range(0, len(texts), 256):  # bits of all runs of a slice stay small
+        runs, size = [], []
+        for t in texts[low : low + 256]:
+            words = t.split()
+            own = [" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass") for i in range(max(1, len(words) - 4))] if words else []
+            runs += own
+            size.append(len(own))
+        size = np.array(size, dtype=np.int64)
+        use = np.flatnonzero(size)
+        if not len(use):
+            continue
+        h = _mix(fnv1a_many(runs))
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = np.add.reduceat(bits, (np.cumsum(size) - size)[use], axis=0, dtype=np.int64) * 2 - size[use, None]
+        out[low + use] = np.packbits(votes > 0, axis=1, bitorder="little").view("<u8").ravel()
+    return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def simhash_of(text: str) -> int:
+    return int(simhash_many([text])[0])
 
 
 @F.pandas_udf(StringType())
@@ -78,7 +87,10 @@ def fnv1a_hex(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def simhash(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SimHash-64 of normalized text, as a signed number."""
     for s in text:
-        yield s.map(lambda t: None if t is None else _signed(simhash_of(t))).astype("Int64")
+        known = s.notna()
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        out[known] = simhash_many(s[known].tolist()).view(np.int64)
+        yield out
 
 
 @F.pandas_udf(LongType())
@@ -100,10 +112,30 @@ def shard_of(doc_id: Column, shards: int) -> Column:
     return wrapped.cast("int")
 
 
+@F.pandas_udf(LongType())
+def splitmix(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """SplitMix64's finalizer of a number, as a signed number."""
+    for s in values:
+        yield pd.Series(_mix(s.to_numpy(dtype=np.int64).view(np.uint64)).view(np.int64))
+
+
+def shingles(words: Column, size: int = 5) -> Column:
+    """All runs of so many words, joined by blanks; none where there are fewer words."""
+    # bound as a lambda's variable, so that the words are made once and not for every run
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+    none = F.array().cast("array<string>")
+    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= size, runs(w)).otherwise(none)), F.lit(0))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def crc32(text: Column) -> Column:
+    """CRC32 of the UTF-8 bytes."""
+    return F.crc32(text.cast("binary"))
+
+
 def encode_varint(value: int) -> bytes:
     out = bytearray()
     while value >= 128:

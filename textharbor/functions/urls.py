@@ -9,7 +9,7 @@ from urllib.parse import urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 PORTS = {"http": 80, "https": 443}
 REFUSED = ("#", "javascript:", "mailto:", "data:")
@@ -56,9 +56,23 @@ def resolve(base: str, href: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def canonical_url(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _canonical(urls: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in urls:
-        yield s.map(canonical)
+        yield s.map(canonical, na_action="ignore")
+
+
+#: Addresses without user, dot segments or odd characters, whose canonical form takes no parser.
+_PLAIN = r"^([Hh][Tt][Tt][Pp][Ss]?)://([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)(?::(80|443))?(/[A-Za-z0-9_~%+=&;,!$'()*:-]*(?:[./]+[A-Za-z0-9_~%+=&;,!$'()*:-]+)*/?)?(\?[^#\s\\\x00-\x1f]+)?$"
+
+
+def canonical_url(url: Column | str) -> Column:
+    """``canonical`` of a column: by expressions where the address is plain, by the parser elsewhere."""
+    url = F.col(url) if isinstance(url, str) else url
+    part = lambda i: F.regexp_extract(url, _PLAIN, i)
+    scheme, port, path = F.lower(part(1)), part(3), part(4)
+    simple = url.rlike(_PLAIN) & ~url.rlike(r"/\.|//.*//|\.\./") & ~((scheme == "http") & (port == "443") | (scheme == "https") & (port == "80"))
+    plain = F.concat(scheme, F.lit("://"), F.lower(part(2)), F.when(path == "", "/").otherwise(path), part(5))
+    return F.when(simple, plain).otherwise(_canonical(F.when(simple, F.lit(None)).otherwise(url)))
 
 
 @F.pandas_udf(StringType())
@@ -82,3 +96,10 @@ def address_allowed(address: str) -> bool:
     if getattr(ip, "ipv4_mapped", None):
         ip = ip.ipv4_mapped
     return ip.is_global and not ip.is_multicast
+
+
+@F.pandas_udf(BooleanType())
+def addresses_allowed(addresses: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """``address_allowed`` of a column: each distinct address of a batch is judged once."""
+    for s in addresses:
+        yield s.map({a: address_allowed(a) for a in s.dropna().unique()}).astype("boolean")

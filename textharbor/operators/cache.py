@@ -12,7 +12,7 @@ class ResultCache:
     """Least recently used results; the key holds everything that decides a result, so a new generation misses."""
 
     def __init__(self, size: int = 256) -> None:
-        self.size, self.hits, self.misses = size, 0, 0
+        self.size, self.hits, self.misses, self.evictions = size, 0, 0, 0
         self.kept: OrderedDict[tuple, Any] = OrderedDict()
 
     def get(self, query: str, k: int, ranking: Ranking, generation: int) -> Any | None:
@@ -29,6 +29,7 @@ class ResultCache:
         self.kept.move_to_end((query, k, ranking, generation))
         while len(self.kept) > self.size:
             self.kept.popitem(last=False)
+            self.evictions += 1
 
     @property
     def hit_rate(self) -> float:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textharbor.functions.analysis import normalize_text
@@ -11,7 +13,6 @@ from textharbor.operators.lineage import cut
 
 DISTANCE = 7
 MIN_WORDS = 25
-BANDS = 8
 
 
 def fingerprints(docs: DataFrame, text: str = "body") -> DataFrame:
@@ -27,25 +28,54 @@ def exact(prints: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return first if known is None else first.join(known.select("hash"), "hash", "left_anti")
 
 
-def near_pairs(prints: DataFrame, distance: int = DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(a, b, dist), a < b, of hashes within a distance: they agree in at least one of 8 bytes if distance is 7 or less."""
-    if distance >= BANDS:
-        raise ValueError(f"{BANDS} bands find distances under {BANDS} only")
-    rows = prints.where(F.col("words") >= min_words).select("doc_id", "sim")
-    band = F.posexplode(F.array(*[F.shiftrightunsigned("sim", 8 * i).bitwiseAND(255) for i in range(BANDS)])).alias("band", "value")
-    # documents of one hash stand for each other, so that groups of equal ones are linked once
-    group = rows.groupBy("sim").agg(F.min("doc_id").alias("doc_id"))
-    banded = group.select("doc_id", "sim", band)
-    x, y = banded.alias("x"), banded.alias("y")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.doc_id") < F.col("y.doc_id"))
+def block_count(hashes: int) -> int:
+    """Into how many blocks of bits hashes are cut: more blocks make more keys, but longer ones, which meet less often by chance."""
+    return 8 if hashes < 20_000 else 9 if hashes < 2_000_000 else 10 if hashes < 200_000_000 else 11
+
+
+def block_keys(sim: Column, blocks: int, distance: int = DISTANCE) -> Column:
+    """Keys of a hash, one per choice of ``blocks - distance`` blocks: hashes within the distance agree in all blocks but ``distance`` at most, so in one key at least."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(ends, ends[1:])]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    choices = list(combinations(range(blocks), blocks - distance))
+    keys = [F.struct(F.lit(i).alias("key"), sim.bitwiseAND(signed(sum(masks[j] for j in c))).alias("value")) for i, c in enumerate(choices)]
+    return F.array(*keys)
+
+
+def near_pairs(prints: DataFrame, distance: int = DISTANCE, min_words: int = MIN_WORDS, blocks: int | None = None) -> DataFrame:
+    """(a, b, dist), a < b, of hashes within a distance. Documents of one hash are represented by the smallest id; the others are linked to it.
+
+    Hashes meet by keys of whole blocks of bits. blocks: chosen by the number of distinct hashes if not given.
+    """
+    rows = cut(prints.where((F.col("words") >= min_words) & F.col("sim").isNotNull()).select("doc_id", "sim"))
+    group = cut(rows.groupBy("sim").agg(F.min("doc_id").alias("doc_id")))
+    blocks = max(block_count(group.count()), distance + 1) if blocks is None else blocks
+    if blocks <= distance:
+        raise ValueError(f"{blocks} blocks find distances under {blocks} only")
+    keyed = group.select("doc_id", "sim", F.explode(block_keys(F.col("sim"), blocks, distance)).alias("k")).select("doc_id", "sim", "k.key", "k.value")
+    x, y = keyed.alias("x"), keyed.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.doc_id") < F.col("y.doc_id"))
     dist = hamming(F.col("x.sim"), F.col("y.sim"))
-    # a pair is reported by the first band that it shares
-    shared = F.least(*[F.when(F.shiftrightunsigned(F.col("x.sim").bitwiseXOR(F.col("y.sim")), 8 * i).bitwiseAND(255) == 0, i).otherwise(BANDS) for i in range(BANDS)])
-    different = x.join(y, same & (dist <= distance) & (F.col("x.band") == shared)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), dist.alias("dist"))
+    different = x.join(y, same & (dist <= distance)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), dist.alias("dist")).distinct()
     equal = rows.join(group.withColumnRenamed("doc_id", "a"), "sim").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("dist"))
     return different.unionByName(equal)
 
 
+def classes(prints: DataFrame, distance: int = DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, representative, links): each document with the smallest id of those with its hash, and how many other hashes lie within the distance."""
+    rows = prints.where((F.col("words") >= min_words) & F.col("sim").isNotNull()).select("doc_id", "sim")
+    own = rows.groupBy("sim").agg(F.min("doc_id").alias("representative"))
+    pairs = cut(near_pairs(prints, distance, min_words).where("dist > 0"))
+    links = pairs.select(F.col("a").alias("representative")).union(pairs.select("b")).groupBy("representative").agg(F.count("*").alias("links"))
+    return rows.join(own, "sim").join(links, "representative", "left").select("doc_id", "representative", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def counters(outcomes: DataFrame) -> DataFrame:
+    """(outcome, n) of ``near``."""
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def near(docs: DataFrame, text: str = "body", known: DataFrame | None = None, distance: int = DISTANCE, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, outcome): unique, exact_duplicate or near_duplicate, as if documents came in the order of their ids.
 

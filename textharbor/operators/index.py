@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textharbor.config import Analysis
@@ -37,6 +37,11 @@ class IndexView:
     doclen: DataFrame
     postings: DataFrame
     analysis: Analysis
+    #: What a written index keeps besides: (field, term, df, first_doc, last_doc); (field, term, block, n, max_tf, min_len, df); statistics per field. Its postings have df and block.
+    dictionary: DataFrame | None = None
+    block_bounds: DataFrame | None = None
+    fields: dict[int, tuple[int, int, float]] | None = None
+    shift: int | None = None
 
     @staticmethod
     def of(docs: DataFrame, analysis: Analysis = Analysis()) -> IndexView:
@@ -62,15 +67,20 @@ class IndexView:
 
     def termstats(self) -> DataFrame:
         """(field, term, df, first_doc, last_doc)."""
+        if self.dictionary is not None:
+            return self.dictionary
         return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
     def stats(self) -> DataFrame:
         """(field, total_tokens, n_docs, avg_len)."""
+        if self.fields is not None:
+            return self.docs.sparkSession.createDataFrame([(f, *x) for f, x in sorted(self.fields.items())], "field int, total_tokens long, n_docs long, avg_len double")
         by_field = self.doclen.groupBy("field").agg(F.sum("len").alias("total_tokens"), F.countDistinct("doc_id").alias("n_docs"))
         return by_field.withColumn("avg_len", F.col("total_tokens") / F.greatest(F.col("n_docs"), F.lit(1)))
 
     def vocabulary(self, field: int) -> DataFrame:
-        return self.postings.where(F.col("field") == field).select("term").distinct().orderBy("term")
+        terms = self.postings if self.dictionary is None else self.dictionary
+        return terms.where(F.col("field") == field).select("term").distinct().orderBy("term")
 
     def blocks(self, size: int = BLOCK) -> DataFrame:
         """postings with ``block``: every ``size`` consecutive documents of a term, as pruning and segment layout use them.
@@ -85,5 +95,34 @@ class IndexView:
         numbered = self.postings.withColumn("part", part).withColumn("rank", rank)
         return numbered.join(counts, ["field", "term", "part"]).withColumn("block", F.floor((F.col("rank") + F.col("before")) / size).cast("int")).drop("part", "rank", "before")
 
+    def bounds(self) -> DataFrame:
+        """(field, term, block, n, max_tf, min_len, df): what limits the contribution of a range of ids, whatever the ranking."""
+        if self.block_bounds is not None:
+            return self.block_bounds
+        rows = self.postings.join(self.termstats().select("field", "term", "df"), ["field", "term"])
+        return bounds_of(rows.withColumn("block", block_of(F.col("doc_id"), self.id_shift())))
+
+    def id_shift(self) -> int:
+        """How many low bits of ids make up a range, so that it holds about ``BLOCK`` documents however sparse ids are."""
+        if self.shift is not None:
+            return self.shift
+        r = self.docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
+        return max(0, ((r.high - r.low + 1) * BLOCK // r.n - 1).bit_length()) if r.n else 6
+
     def cached(self) -> IndexView:
-        return IndexView(self.docs.persist(), self.doclen.persist(), self.postings.persist(), self.analysis)
+        return replace(self, docs=self.docs.persist(), doclen=self.doclen.persist(), postings=self.postings.persist())
+
+    def released(self) -> IndexView:
+        """Lets go of what ``cached`` keeps."""
+        return replace(self, docs=self.docs.unpersist(), doclen=self.doclen.unpersist(), postings=self.postings.unpersist())
+
+
+def block_of(doc_id: Column, shift: int) -> Column:
+    """The range of ids that a document lies in. Ranges are the same for all terms, so bounds of terms add up."""
+    return F.shiftright(doc_id.cast("bigint"), shift)
+
+
+def bounds_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("field", "term", "block").agg(
+        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.first("df").alias("df")
+    )

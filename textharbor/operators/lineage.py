@@ -1,15 +1,43 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans; the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` kept by checkpoint() in the shared folder that the session names, in a temporary one only where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textharbor-"))
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. A temporary one serves only local sessions that name none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = f"file://{tempfile.mkdtemp(prefix='textharbor-')}"
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a path when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def cut(df: DataFrame, seen: Observation | None = None, **aggregates) -> DataFrame:
+    """``df`` written once to the shared folder and read back: short lineage that survives lost executors.
+
+    seen: takes the aggregates of the rows as they are written, so that a round needs no job of its own for them.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "cut")
+    out = df if seen is None else df.observe(seen, *[c.alias(n) for n, c in aggregates.items()])
+    out.write.parquet(path)
+    remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textharbor.config import Ranking
-from textharbor.operators.index import BLOCK, IndexView
+from textharbor.operators.index import IndexView, block_of
 from textharbor.operators.lineage import cut
 from textharbor.plans.query import Query
-from textharbor.plans.search import contribution, flagged, leaf_condition, matches, scoring_condition
+from textharbor.plans.search import contribution, flagged, holds_without_flags, leaf_condition, matches, scoring_condition
 
 EPSILON = 1e-6
 
 
 def scored_postings(view: IndexView, query: Query, ranking: Ranking) -> DataFrame:
-    """The postings that the query looks at, with df, avg_len, scoring (whether they add to the score) and contrib.
+    """The postings that the query looks at, with df, avg_len, n_docs, scoring (whether they add to the score) and contrib.
 
-    df comes from the same rows; with the field averages, a handful of rows, it is joined by the planner's choice.
+    A written index has df in its postings and the fields' statistics as constants: one pruned scan gives all. Otherwise df is
+    counted in the same rows, and joined with the field averages, a handful of rows.
     """
-    looked = [q for q, _ in query.leaves()]
     wanted = F.lit(False)
-    for leaf in dict.fromkeys(looked):
+    for leaf in dict.fromkeys(q for q, _ in query.leaves()):
         wanted = wanted | leaf_condition(leaf)
     rows = view.postings.where(wanted)
-    df = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(view.stats().select("field", "n_docs", "avg_len"))  # one row per field
-    rows = rows.join(df, ["field", "term"]).join(stats, "field").withColumn("scoring", scoring_condition(query))
+    if "df" not in rows.columns:
+        rows = rows.join(rows.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+    rows = _with_field_stats(view, rows).withColumn("scoring", scoring_condition(query))
     return rows.withColumn("contrib", F.when(F.col("scoring"), contribution(ranking, F.col("n_docs"))).otherwise(0.0))
 
 
+def _with_field_stats(view: IndexView, rows: DataFrame) -> DataFrame:
+    """Rows with n_docs and avg_len of their field."""
+    if view.fields is None:
+        return rows.join(F.broadcast(view.stats().select("field", "n_docs", "avg_len")), "field")  # one row per field
+    kept = [view.fields.get(f, (0, 0, 0.0)) for f in range(max(view.fields, default=0) + 1)]
+    of = lambda i, kind: F.element_at(F.array(*[F.lit(x[i]).cast(kind) for x in kept]), F.col("field") + 1)
+    return rows.withColumn("n_docs", of(1, "bigint")).withColumn("avg_len", of(2, "double"))
+
+
 def authority(docs: DataFrame) -> Column:
     """metadata['authority'] as a number; anything but a finite number of 0 or more is 0."""
     value = F.try_element_at(F.col("metadata"), F.lit("authority")).try_cast("float")
@@ -50,9 +61,8 @@ def _blended(found: DataFrame, view: IndexView, ranking: Ranking) -> DataFrame:
     parts = F.coalesce("score", F.lit(0.0))
     if ranking.authority_weight or ranking.freshness_weight:
         docs = view.docs.select("doc_id", authority(view.docs).alias("authority"), F.col("timestamp").alias("__ts"))
-        latest = F.broadcast(view.docs.agg(F.max("timestamp").alias("__newest")))  # one row
-        found = found.join(docs, "doc_id").join(latest)
-        found = found.withColumn("freshness", recency(F.col("__ts"), F.col("__newest"), ranking.freshness_halflife_days))
+        latest = (view.docs.agg(F.max("timestamp").alias("t")).first().t or 0) if ranking.freshness_weight else 0
+        found = found.join(docs, "doc_id").withColumn("freshness", recency(F.col("__ts"), latest, ranking.freshness_halflife_days))
         parts = parts + ranking.authority_weight * F.col("authority") + ranking.freshness_weight * F.col("freshness")
     return found.withColumn("score", parts)
 
@@ -78,31 +88,92 @@ def explained(view: IndexView, query: Query, k: int, ranking: Ranking = Ranking(
     return rows.join(best, "doc_id").select("doc_id", "score", "field", "term", "tf", "df", idf.alias("idf"), "len", "avg_len", "contrib")
 
 
-def pruned_top_k(view: IndexView, query: Query, k: int, ranking: Ranking = Ranking(), digits: int = 4, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The same documents as ``top_k``, and (scored, skipped, blocks, blocks_skipped).
+#: So many ranges of blocks at most are pushed into a scan; more are joined.
+MOST_RANGES = 500
+
+
+def _ranges(blocks: list[int]) -> list[tuple[int, int]]:
+    """Runs of neighbouring numbers."""
+    found: list[tuple[int, int]] = []
+    for b in sorted(blocks):
+        if found and found[-1][1] == b - 1:
+            found[-1] = found[-1][0], b
+        else:
+            found.append((b, b))
+    return found
+
+
+def _in_blocks(postings: DataFrame, blocks: DataFrame, most: int = MOST_RANGES) -> DataFrame:
+    """Postings of some blocks: as ranges that reach the scan, or by a join where they are too many."""
+    few = [r.block for r in blocks.limit(20 * most + 1).collect()]
+    ranges = _ranges(few) if len(few) <= 20 * most else []
+    if not few or ranges and len(ranges) <= most:
+        inside = F.lit(False)
+        for low, high in ranges:
+            inside = inside | F.col("block").between(low, high)
+        return postings.where(inside)
+    return postings.join(blocks.hint("merge"), "block", "left_semi")
 
-    Block maxima bound what a block of a term can add. The best k sums of a sample of whole documents give a threshold; documents
-    whose blocks' bounds stay under it are left out before scores are summed.
+
+def pruned_top_k(view: IndexView, query: Query, k: int, ranking: Ranking = Ranking(), digits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The same documents as ``top_k``, and (blocks, blocks_scored, blocks_skipped, postings, postings_scored).
+
+    What a block of ids can score at most is known from the dictionary's block bounds, without a posting read. The k blocks with the highest
+    bounds are scored first; their k-th score is a threshold. Blocks that cannot reach it are never read. Documents that match
+    without any scoring posting have a score of their blends only, and are looked at only if the threshold does not exceed that.
     """
-    rows = scored_postings(view, query, ranking)
-    part = F.floor(F.col("doc_id") / block)  # blocks of neighbouring ids, aligned over all terms
-    rows = cut(rows.withColumn("block", part))  # the postings of the query's terms only; bounds, threshold and scores read them
-    bounds = rows.groupBy("field", "term", "block").agg(F.max("contrib").alias("top"), F.count("*").alias("postings"))
-    by_block = bounds.groupBy("block").agg(F.sum("top").alias("bound"), F.count("*").alias("parts"))
-    found, flag = flagged(view, query, [F.sum("contrib").alias("score"), F.first("block").alias("block")], rows)
-    matching = _blended(found.where(matches(query, flag)).withColumn("block", F.coalesce("block", part)), view, ranking).select("doc_id", "score", "block")
-    # what the blends add to a block's bound: at most their weights, as authority may exceed 1 its maximum is taken
-    add = ranking.freshness_weight
-    extra = view.docs.agg((F.max(authority(view.docs)) * ranking.authority_weight + F.lit(add)).alias("add")) if ranking.authority_weight else view.docs.sparkSession.createDataFrame([(float(add),)], "add double")
-    first = matching.join(F.broadcast(by_block.orderBy(F.desc("bound")).limit(max(1, k)).select("block")), "block", "left_semi")
-    threshold = first.orderBy(F.desc("score")).limit(k).agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    limit = threshold.select(F.when(F.col("n") >= k, F.col("low")).otherwise(float("-inf")).alias("low")).join(extra)
-    kept = matching.join(by_block.select("block", "bound"), "block", "left").join(F.broadcast(limit)).where(F.coalesce("bound", F.lit(0.0)) + F.col("add") + EPSILON >= F.col("low"))
-    best = kept.select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
-    work = by_block.join(F.broadcast(limit)).agg(
-        F.sum(F.when(F.col("bound") + F.col("add") + EPSILON >= F.col("low"), 0).otherwise(F.col("parts"))).alias("blocks_skipped"), F.sum("parts").alias("blocks")
-    )
-    return best, work
+    leaves = list(dict.fromkeys(q for q, negated in query.leaves() if not negated))
+    wanted = F.lit(False)
+    for leaf in leaves:
+        wanted = wanted | leaf_condition(leaf)
+    tops = _with_field_stats(view, view.bounds().where(wanted)).withColumnsRenamed({"max_tf": "tf", "min_len": "len"})
+    by_block = tops.groupBy("block").agg(F.sum(contribution(ranking, F.col("n_docs"))).alias("bound"), F.sum("n").alias("postings"))
+    by_block = cut(by_block)
+    shift = view.id_shift()
+    rows = view.postings if "block" in view.postings.columns else view.postings.withColumn("block", block_of(F.col("doc_id"), shift))
+    if "df" not in rows.columns:  # counted over all blocks, before some are left out
+        rows = rows.join(view.termstats().select("field", "term", "df"), ["field", "term"])
+    extra = 0.0
+    if ranking.authority_weight:
+        extra += ranking.authority_weight * (view.docs.agg(F.max(authority(view.docs)).alias("a")).first().a or 0.0)
+    extra += ranking.freshness_weight
+
+    def scored(part: DataFrame) -> DataFrame:
+        """Scores of the documents of some blocks."""
+        inside = replace(view, postings=_in_blocks(rows, part.select("block")))
+        found = scores(inside, query, ranking)
+        return found if not holds_without_flags(query) else found.join(part.select("block").hint("merge"), block_of(F.col("doc_id"), shift) == F.col("block"), "left_semi")
+
+    first = by_block.orderBy(F.desc("bound"), "block").limit(k)
+    best = [r.score for r in scored(first).orderBy(F.desc("score")).limit(k).collect()]
+    low = best[-1] if len(best) == k else float("-inf")
+    reach = F.col("bound") + extra + EPSILON >= low
+    if holds_without_flags(query) and extra + EPSILON >= low:
+        found = scores(replace(view, postings=rows), query, ranking)  # documents outside of all blocks may be among the best
+        reach = F.lit(True)
+    else:
+        found = scored(by_block.where(reach))
+    work = by_block.agg(
+        F.count("*").alias("blocks"), F.sum(reach.cast("int")).alias("blocks_scored"), F.sum((~reach).cast("int")).alias("blocks_skipped"),
+        F.sum("postings").alias("postings"), F.sum(F.when(reach, F.col("postings")).otherwise(0)).alias("postings_scored"),
+    )
+    return found.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), "doc_id").limit(k), work.fillna(0)
+
+
+def term_maxima(view: IndexView, query: Query, ranking: Ranking = Ranking()) -> DataFrame:
+    """(field, term, blocks, postings, top): what each scoring term can add at most, over all its blocks."""
+    wanted = scoring_condition(query)
+    tops = _with_field_stats(view, view.bounds().where(wanted)).withColumnsRenamed({"max_tf": "tf", "min_len": "len"})
+    return tops.groupBy("field", "term").agg(F.count("*").alias("blocks"), F.sum("n").alias("postings"), F.max(contribution(ranking, F.col("n_docs"))).alias("top"))
+
+
+def field_scores(view: IndexView, query: Query, k: int, ranking: Ranking = Ranking()) -> DataFrame:
+    """(doc_id, score, field, field_score, authority, freshness) of the k best documents: what each field and each blend added."""
+    best = F.broadcast(top_k(view, query, k, ranking))  # at most k rows
+    parts = scored_postings(view, query, ranking).where("scoring").join(best, "doc_id").groupBy("doc_id", "score", "field").agg(F.sum("contrib").alias("field_score"))
+    latest = view.docs.agg(F.max("timestamp").alias("t")).first().t or 0
+    blends = view.docs.select("doc_id", (authority(view.docs) * ranking.authority_weight).alias("authority"), (recency(F.col("timestamp"), latest, ranking.freshness_halflife_days) * ranking.freshness_weight).alias("freshness"))
+    return parts.join(blends, "doc_id")
 
 
 def many_top_k(view: IndexView, queries: dict[str, list[str]], k: int, field: int = 2, ranking: Ranking = Ranking(), digits: int = 4) -> DataFrame:
@@ -110,9 +181,9 @@ def many_top_k(view: IndexView, queries: dict[str, list[str]], k: int, field: in
     spark = view.docs.sparkSession
     asked = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in dict.fromkeys(ts)], "query_id string, term string")
     rows = view.postings.where((F.col("field") == field) & F.col("term").isin(sorted({t for ts in queries.values() for t in ts})))
-    df = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
-    rows = rows.join(df, ["field", "term"]).join(F.broadcast(view.stats().select("field", "n_docs", "avg_len")), "field")
-    rows = rows.withColumn("contrib", contribution(ranking, F.col("n_docs"))).join(F.broadcast(asked), "term")  # as many rows as the queries have terms
+    if "df" not in rows.columns:
+        rows = rows.join(rows.groupBy("field", "term").agg(F.count("*").alias("df")), ["field", "term"])
+    rows = _with_field_stats(view, rows).withColumn("contrib", contribution(ranking, F.col("n_docs"))).join(F.broadcast(asked), "term")  # as many rows as the queries have terms
     found = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum("contrib"), digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -29,10 +29,11 @@ def markdown_title(text: Column) -> Column:
 
 
 def markdown_body(text: Column) -> Column:
-    """Text without fences, heading marks, emphasis and list marks."""
-    lines = F.filter(F.split(text, "\n"), lambda x: ~F.trim(x).startswith("```"))
-    plain = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s*#+\s*", ""), r"\*\*|__|`", ""), r"^[*\-> ]+", ""))
-    return F.array_join(plain, "\n")
+    """Lines, trimmed, without fences; heading lines without their marks, others without emphasis and list marks."""
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: ~x.startswith("```"))
+    heading = lambda x: F.trim(F.regexp_replace(x, "^#+", ""))
+    other = lambda x: F.regexp_replace(F.regexp_replace(x, r"\*\*|__|`", ""), r"^[*\-> ]+", "")
+    return F.array_join(F.transform(lines, lambda x: F.when(x.startswith("#"), heading(x)).otherwise(other(x))), "\n")
 
 
 def documents_from(files: DataFrame) -> DataFrame:
@@ -71,4 +72,19 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
-    return read_tsv(spark, path, "query_id string, grade int, doc string").where(F.col("grade").between(0, 3))
+    """Judged documents; grades other than 0 to 3 and empty ids or documents are errors. Of a document judged twice, the last grade stands."""
+    rows = read_tsv(spark, path, "query_id string, grade int, doc string").select(F.trim("query_id").alias("query_id"), "grade", F.trim("doc").alias("doc"), F.monotonically_increasing_id().alias("at"))
+    good = F.coalesce(F.col("grade").between(0, 3) & (F.col("query_id") != "") & (F.col("doc") != ""), F.lit(False))
+    told = F.concat(F.lit("judgments: bad grade, id or document: "), F.to_json(F.struct("query_id", "grade", "doc")))
+    checked = rows.withColumn("grade", F.when(good, F.col("grade")).otherwise(F.raise_error(told).cast("int")))
+    return checked.groupBy("query_id", "doc").agg(F.max_by("grade", "at").alias("grade")).select("query_id", "grade", "doc")
+
+
+def query_ids(judged: DataFrame) -> DataFrame:
+    """The judged queries, in order."""
+    return judged.select("query_id").distinct().orderBy("query_id")
+
+
+def text_document(doc_id: int, address: str, title: str, body: str) -> dict:
+    """A document of text alone. The address is its source; its url stays empty."""
+    return {"doc_id": doc_id, "source": {"kind": "file", "value": address}, "url": "", "title": title, "headings": [], "body": body, "anchor_text": [], "metadata": {}, "timestamp": 0, "language": "en", "content_hash": ""}

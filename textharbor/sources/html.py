@@ -53,7 +53,7 @@ class _Page(HTMLParser):
                 self.srcs.append(src)
         elif tag == "link" and "canonical" in a.get("rel", "").lower().split() and self.canonical is None:
             self.canonical = resolve(self.url, a.get("href", ""))
-        elif tag == "meta" and a.get("name", "").lower() == "description" and self.description is None:
+        elif tag == "meta" and "description" in (a.get("name", "").lower(), a.get("property", "").lower().removeprefix("og:")) and self.description is None:
             self.description = a.get("content", "").strip() or None
         if tag in VOID:
             return

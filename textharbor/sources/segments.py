@@ -7,62 +7,82 @@ a whole: readers see a segment or they do not.
 from __future__ import annotations
 
 import json
-import os
+import zlib
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textharbor.config import Analysis
-from textharbor.operators.index import IndexView, live
+from textharbor.operators.index import IndexView, block_of, bounds_of, live
+from textharbor.operators.lineage import cut
+from textharbor.sources.store import read_text, write_text
 
 
 class CorruptManifest(ValueError):
     """The manifest cannot be read."""
 
 
+class CorruptIndex(ValueError):
+    """A written index does not hold what was written."""
+
+
 @dataclass
 class Manifest:
     generation: int = 0
     segments: list[int] = field(default_factory=list)
     deleted: list[int] = field(default_factory=list)
+    #: Segment of each batch of a stream: a batch that comes again is not written again.
+    batches: dict[str, int] = field(default_factory=dict)
 
     @staticmethod
     def load(path: str) -> Manifest:
         """The manifest of a directory; a missing one is empty, an unreadable one an error."""
-        file = Path(path, "manifest.json")
-        if not file.exists():
+        text = read_text(f"{path}/manifest.json")
+        if text is None:
             return Manifest()
         try:
-            data = json.loads(file.read_text())
-            found = Manifest(int(data["generation"]), [int(x) for x in data["segments"]], [int(x) for x in data.get("deleted", [])])
-        except (ValueError, KeyError, TypeError) as e:
-            raise CorruptManifest(f"{file}: {e}") from e
+            data = json.loads(text)
+            batches = {str(k): int(v) for k, v in data.get("batches", {}).items()}
+            found = Manifest(int(data["generation"]), [int(x) for x in data["segments"]], [int(x) for x in data.get("deleted", [])], batches)
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise CorruptManifest(f"{path}/manifest.json: {e}") from e
         return found
 
     def store(self, path: str) -> None:
-        Path(path).mkdir(parents=True, exist_ok=True)
-        new = Path(path, "manifest.json.new")
-        with new.open("w") as f:
-            json.dump(asdict(self), f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(new, Path(path, "manifest.json"))
+        write_text(f"{path}/manifest.json", json.dumps(asdict(self)))
 
     def next_id(self) -> int:
         return max([self.generation, *self.segments], default=0) + 1
 
+    def remove_segment(self, seg: int) -> bool:
+        """Take a segment out; whether it was in."""
+        if seg not in self.segments:
+            return False
+        self.segments.remove(seg)
+        self.generation += 1
+        return True
+
+    def clear_tombstones(self) -> int:
+        """Forget all tombstones; their number."""
+        n, self.deleted = len(self.deleted), []
+        self.generation += n > 0
+        return n
+
 
-def write_segment(docs: DataFrame, path: str) -> int:
-    """Write documents as a new generation, check its row count, then enter it in the manifest."""
+def write_segment(docs: DataFrame, path: str, batch: str | None = None) -> int:
+    """Write documents as a new generation, check its row count, then enter it in the manifest. batch: the name under which a stream's batch is known."""
     manifest = Manifest.load(path)
+    if batch is not None and batch in manifest.batches:
+        return manifest.batches[batch]
     seg = manifest.next_id()
     where = f"{path}/docs/seg={seg}"
     docs.drop("seg").write.mode("overwrite").parquet(where)
     docs.sparkSession.read.parquet(where).count()  # readable as a whole
     manifest.segments.append(seg)
     manifest.generation = seg
+    if batch is not None:
+        manifest.batches[batch] = seg
     manifest.store(path)
     return seg
 
@@ -106,20 +126,82 @@ def merge(spark: SparkSession, path: str) -> int | None:
         return None
     seg = manifest.next_id()
     docs.drop("seg").write.mode("overwrite").parquet(f"{path}/docs/seg={seg}")
-    Manifest(seg, [seg], []).store(path)
+    Manifest(seg, [seg], [], dict.fromkeys(manifest.batches, seg)).store(path)
     return seg
 
 
 def write_index(view: IndexView, path: str, files: int | None = None) -> None:
-    """Keep an index: postings range-partitioned and sorted by field and term, so that lookups read few row groups."""
-    parts = view.postings if files is None else view.postings.repartitionByRange(files, "field", "term")
-    parts = parts if files is not None else parts.repartitionByRange("field", "term")
-    parts.sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Keep an index. Postings carry df and block, and are range-partitioned and sorted by field, term and document, so that lookups read few row groups.
+
+    Beside them: documents, dictionary, block bounds, field lengths and, written last, a file of statistics with the tables' row counts and check sums.
+    An index without that file is not complete.
+    """
+    spark = view.docs.sparkSession
+    spread = lambda df, *by: (df.repartitionByRange(*by) if files is None else df.repartitionByRange(files, *by)).sortWithinPartitions(*by)
+    shift = view.id_shift()
+    postings = cut(view.postings.select("field", "term", "doc_id", "positions", "tf", "len"))
+    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    spread(terms, "field", "term").write.mode("overwrite").parquet(f"{path}/dictionary")
+    df = spark.read.parquet(f"{path}/dictionary").select("field", "term", "df")
+    rows = postings.join(df, ["field", "term"]).withColumn("block", block_of(F.col("doc_id"), shift))
+    spread(rows, "field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    spread(bounds_of(spark.read.parquet(f"{path}/postings")), "field", "term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
     view.doclen.write.mode("overwrite").parquet(f"{path}/doclen")
+    spread(view.docs, "doc_id").write.mode("overwrite").parquet(f"{path}/docs")
+    fields = {r.field: (r.total_tokens, r.n_docs, r.avg_len) for r in IndexView(view.docs, spark.read.parquet(f"{path}/doclen"), postings, view.analysis).stats().collect()}
+    sums = {name: _check_sum(spark.read.parquet(f"{path}/{name}")) for name in TABLES}
+    write_text(f"{path}/statistics.json", json.dumps({"fields": fields, "shift": shift, "tables": sums}))
+
+
+TABLES = ("postings", "dictionary", "blocks", "doclen")
+
 
+def _check_sum(df: DataFrame) -> list[int]:
+    """[rows, sum of the rows' CRC32]."""
+    row = F.concat_ws("\x00", *[F.array_join(F.col(c).cast("array<string>"), ",") if t.startswith("array") else F.col(c).cast("string") for c, t in df.dtypes])
+    return list(df.agg(F.count("*"), F.coalesce(F.sum(F.crc32(row)), F.lit(0))).first())
 
-def read_index(spark: SparkSession, path: str, docs: DataFrame, analysis: Analysis = Analysis()) -> IndexView:
-    return IndexView(docs, spark.read.parquet(f"{path}/doclen"), spark.read.parquet(f"{path}/postings"), analysis)
+
+def read_index(spark: SparkSession, path: str, docs: DataFrame | None = None, analysis: Analysis = Analysis()) -> IndexView:
+    """A written index; docs: live documents, where not all that were written are live any more."""
+    text = read_text(f"{path}/statistics.json")
+    if text is None:
+        raise CorruptIndex(f"{path} holds no complete index")
+    kept = json.loads(text)
+    fields = {int(f): (int(x[0]), int(x[1]), float(x[2])) for f, x in kept["fields"].items()}
+    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    return IndexView(table("docs") if docs is None else docs, table("doclen"), table("postings"), analysis, table("dictionary"), table("blocks"), fields, kept["shift"])
+
+
+def verify_index(spark: SparkSession, path: str) -> DataFrame:
+    """(table, rows, expected, sound) of a written index: every table read as a whole and compared with what was written."""
+    text = read_text(f"{path}/statistics.json")
+    if text is None:
+        raise CorruptIndex(f"{path} holds no complete index")
+    rows = []
+    for name, expected in json.loads(text)["tables"].items():
+        got = _check_sum(spark.read.parquet(f"{path}/{name}"))
+        rows.append((name, got[0], expected[0], got == list(expected)))
+    return spark.createDataFrame(rows, "table string, rows long, expected long, sound boolean")
+
+
+def verify_segments(spark: SparkSession, path: str) -> DataFrame:
+    """(seg, rows, readable) of every segment in the manifest, each read as a whole."""
+    rows = []
+    for seg in Manifest.load(path).segments:
+        try:
+            rows.append((seg, _check_sum(spark.read.parquet(f"{path}/docs/seg={seg}").select("doc_id", "body"))[0], True))
+        except Exception:  # whatever a broken file raises
+            rows.append((seg, 0, False))
+    return spark.createDataFrame(rows, "seg int, rows long, readable boolean")
+
+
+def current_index(spark: SparkSession, path: str, analysis: Analysis) -> IndexView:
+    """The written index of the live documents; written anew where segments, tombstones or the analysis changed since."""
+    where = f"{path}/index/{zlib.crc32(repr(analysis).encode()):08x}-{Manifest.load(path).generation}"
+    if read_text(f"{where}/statistics.json") is None:
+        write_index(IndexView.of(read_live(spark, path), analysis), where)
+    return read_index(spark, where, analysis=analysis)
 
 
 def segment_report(docs: DataFrame) -> DataFrame:

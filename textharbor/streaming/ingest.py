@@ -16,11 +16,15 @@ def newest_in_batch(batch: DataFrame, order: str) -> DataFrame:
 
 
 def append_generations(stream: DataFrame, index: str, checkpoint: str, order: str = "arrived_at") -> StreamingQuery:
-    """Every micro-batch becomes a segment; later segments shadow earlier versions of their documents."""
+    """Every micro-batch becomes a segment; later segments shadow earlier versions of their documents.
 
-    def write(batch: DataFrame, _: int) -> None:
+    The manifest remembers the batch, so one that is sent again after a failure is not written twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         if batch.limit(1).count():
-            write_segment(newest_in_batch(batch, order), index)
+            write_segment(newest_in_batch(batch, order), index, batch=f"{query}/{number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
