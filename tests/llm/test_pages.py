@@ -36,6 +36,15 @@ def test_keyword_pages(spark, samples, monkeypatch, most):
     assert spam.keyword_pages(df.limit(0), function).count() == 0
 
 
+def test_evidence_of_flagged_pages(spark):
+    docs = spark.createDataFrame([(1, "cheap sofa\n Best  lamp\n\nA real sentence.", ["best lamp", None]), (2, "x", None), (3, None, None), (1, "cheap sofa\n Best  lamp\n\nA real sentence.", ["best lamp", None])], "doc_id long, body string, anchor_text array<string>")
+    pages = spark.createDataFrame([(1, "home\nshop", [("u", "Home"), ("v", "Shop")]), (2, "a", None)], "page_id long, body string, links array<struct<url:string,anchor:string>>")
+    found = spark.createDataFrame([("docs", 1, 5), ("extracted", 1, 2)], "tab string, rec_id long, words int")
+    got = {(r.tab, r.rec_id): (r.words, r.lines, r.listed, r.linked) for r in spam.evidence(found, docs, pages).collect()}
+    assert got == {("docs", 1): (5, 3, 2, 1), ("extracted", 1): (2, 2, 2, 2)}
+    assert spam.evidence(found.limit(0), docs, pages).count() == 0
+
+
 def test_unigrams_sum_over_all_segmentations():
     pieces = {"▁", "▁a", "ab", "b", "▁ab", "a"}
     model = language.train([("x", "ab ab aa"), ("y", "bb ba b")], pieces)

@@ -97,6 +97,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "docs"), table(spark, d, "extracted"), table(spark, d, "lang_samples")).select("tab", "rec_id")
 
 
+def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged records with their phrases, list lines and link lines."""
+    docs, extracted = table(spark, d, "docs"), table(spark, d, "extracted")
+    return spam.evidence(spam.spam_pages(docs, extracted, table(spark, d, "lang_samples")), docs, extracted)
+
+
 def p7_method(spark: SparkSession, d: str) -> DataFrame:
     found = history.pivot_pairs(table(spark, d, "docs"), "doc_id", "body", "seg")
     return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "distance")

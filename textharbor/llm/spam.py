@@ -162,3 +162,24 @@ def spam_pages(docs: DataFrame | None, extracted: DataFrame | None, samples: Dat
         parts.append(extracted.select(F.lit("extracted").alias("tab"), F.col("page_id").alias("rec_id"), host_of(F.col("url")).alias("host"), "body"))
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return keyword_pages(both, function_words(samples), **how)
+
+
+def evidence(found: DataFrame, docs: DataFrame, extracted: DataFrame) -> DataFrame:
+    """``found`` with lines, listed and linked: of the body's lines, those that end no sentence, and those that are a link's or an inbound anchor's text.
+
+    It tells links from keywords on flagged pages; whether a page is flagged does not depend on its links and anchors.
+    """
+    from textharbor.llm.common import sized
+
+    none = F.array().cast("array<string>")
+    parts = [
+        docs.select(F.lit("docs").alias("tab"), F.col("doc_id").alias("rec_id"), "body", F.coalesce("anchor_text", none).alias("anchors")),
+        extracted.select(F.lit("extracted").alias("tab"), F.col("page_id").alias("rec_id"), "body", F.coalesce(F.transform("links", lambda x: x["anchor"]), none).alias("anchors")),
+    ]
+    form = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " ")))
+    rows = parts[0].unionByName(parts[1]).where("body IS NOT NULL").join(sized(cut(found)), ["tab", "rec_id"])
+    rows = rows.withColumn("anchors", F.transform("anchors", form)).withColumn("forms", F.filter(F.transform(F.split("body", "\n"), form), lambda x: x != ""))
+    listed = F.size(F.filter("forms", lambda x: ~x.rlike(r"[.!?…]$")))
+    linked = F.size(F.filter("forms", lambda x: F.array_contains("anchors", x)))
+    counts = F.max(F.struct(F.size("forms").alias("lines"), listed.alias("listed"), linked.alias("linked"))).alias("x")  # of rows of one key that differ, the longest
+    return rows.groupBy(*found.columns).agg(counts).select(*found.columns, "x.lines", "x.listed", "x.linked")
