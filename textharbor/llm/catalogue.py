@@ -84,8 +84,7 @@ def p4_main_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_method(spark: SparkSession, d: str) -> DataFrame:
     """The graph-of-words weight of every term of every record."""
-    found = distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body")
-    return found.withColumns({c: F.round(c, 6) for c in ("idf", "weight")})
+    return distinctive.term_weights(table(spark, d, "docs"), "doc_id", "body", digits=6)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +197,7 @@ SQL = {
 SELECT doc_id, CASE WHEN lost IS NULL THEN body ELSE array_to_string(list_filter(string_split(body, chr(10)), lambda x, i: NOT list_contains(lost, i - 1)), chr(10)) END AS clean_body, coalesce(len(lost), 0)::INT AS removed FROM docs LEFT JOIN lost USING (doc_id)""",
     "p1_hosts": f"WITH {_LINES} SELECT host, count(*) AS lines, count(DISTINCT form) AS distinct_lines, count(DISTINCT CASE WHEN g.form IS NOT NULL THEN f.form END) AS repeated FROM f LEFT JOIN g USING (host, form) WHERE f.form <> '' GROUP BY host",
     "p5_method": f"""WITH {_ONE}, {_WORDS}, n AS (SELECT a.doc_id, a.term, count(DISTINCT b.term) AS degree FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 3 AND a.i + 3 AND a.term <> b.term GROUP BY ALL),
-x AS (SELECT doc_id, term, tf, coalesce(degree, 0)::INT AS degree, df, ln(1 + (total.n - df + 0.5) / (df + 0.5)) AS idf FROM c JOIN df USING (term) LEFT JOIN n USING (doc_id, term), total) SELECT doc_id, term, tf, degree, df, round(idf, 6) AS idf, round(degree * idf, 6) AS weight FROM x""",
+x AS (SELECT doc_id, term, tf, coalesce(degree, 0)::INT AS degree, df, round(ln(1 + (total.n - df + 0.5) / (df + 0.5)), 6) AS idf FROM c JOIN df USING (term) LEFT JOIN n USING (doc_id, term), total) SELECT doc_id, term, tf, degree, df, idf, degree * idf AS weight FROM x""",
     "p5_found": f"WITH {_ONE}, {_WORDS}" + r" SELECT doc_id, term FROM c JOIN df USING (term) WHERE tf >= 3 AND df <= 4 AND regexp_matches(term, '\p{L}')",
     "p7_exact": "WITH s AS (SELECT lower(exact) AS h, min(doc_id) AS accepted FROM dedup_state WHERE exact IS NOT NULL GROUP BY 1) SELECT doc_id, min(accepted) AS accepted FROM docs JOIN s ON lower(content_hash) = h WHERE accepted < doc_id GROUP BY doc_id",
     "p8_found": f"WITH {_PASSAGES} SELECT DISTINCT doc_id, item_id FROM tr JOIN pr USING (run)",

@@ -32,34 +32,33 @@ def _batch(keys: np.ndarray, texts: list[str], window: int, min_tf: int) -> tupl
     """Terms of every text with frequency and degree, and each term's number of texts."""
     lists = [WORD.findall(t.lower()) for t in texts]
     code: dict[str, int] = {}
-    flat = np.array([code.setdefault(w, len(code)) for x in lists for w in x], dtype=np.int64)
+    flat = np.fromiter((code.setdefault(w, len(code)) for x in lists for w in x), dtype=np.int64)
     words = list(code)
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     n = max(1, len(words))
-    term, tf = np.unique(of * n + flat, return_counts=True)
+    term, at, tf = np.unique(of * n + flat, return_inverse=True, return_counts=True)
     df = np.bincount(term % n, minlength=len(words))
-    wanted = term[tf >= min_tf]
-    degree = np.zeros(len(wanted), np.int64)
-    if len(wanted):
-        is_wanted = np.isin(of * n + flat, wanted) if min_tf > 1 else np.ones(len(flat), bool)
-        found = []
-        for k in range(1, window):
-            same = of[k:] == of[:-k]
-            for a, b in ((slice(None, -k), slice(k, None)), (slice(k, None), slice(None, -k))):
-                use = same & is_wanted[a] & (flat[a] != flat[b])
-                found.append(((of[a] * n + flat[a]) * n + flat[b])[use])
-        pair = np.unique(np.concatenate(found)) // n if found else np.zeros(0, np.int64)
-        node, count = np.unique(pair, return_counts=True)
-        at = np.searchsorted(wanted, node)
-        degree[at] = count
-    frequency = tf[tf >= min_tf]
-    return {"key": keys[wanted // n], "term": pa.array(words, pa.string()).take(pa.array(wanted % n)), "tf": frequency, "degree": degree}, words, df
-
-
-def term_weights(records: DataFrame, key: str, text: str, window: int = WINDOW, min_tf: int = 1, max_df: int | None = None) -> DataFrame:
+    wanted = tf >= min_tf
+    # undirected edges between places of ``term``, each once; only those at a wanted term
+    found = []
+    for k in range(1, window):
+        a, b = at[:-k], at[k:]
+        use = (of[k:] == of[:-k]) & (a != b)
+        if min_tf > 1:
+            use &= wanted[a] | wanted[b]
+        a, b = a[use], b[use]
+        found.append(np.minimum(a, b) * len(term) + np.maximum(a, b))
+    edges = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    edges = edges[np.concatenate([[True], edges[1:] != edges[:-1]])] if len(edges) else edges
+    degree = np.bincount(edges // max(1, len(term)), minlength=len(term)) + np.bincount(edges % max(1, len(term)), minlength=len(term))
+    term, tf, degree = term[wanted], tf[wanted], degree[wanted]
+    return {"key": keys[term // n], "term": pa.array(words, pa.string()).take(pa.array(term % n)), "tf": tf, "degree": degree}, words, df
+
+
+def term_weights(records: DataFrame, key: str, text: str, window: int = WINDOW, min_tf: int = 1, max_df: int | None = None, digits: int | None = None) -> DataFrame:
     """(key, term, tf, degree, df, idf, weight) of the terms that occur min_tf times or more in their record.
 
-    max_df keeps terms of at most so many records. df and N are those of all records in any case.
+    max_df keeps terms of at most so many records. df and N are those of all records in any case. digits: idf is rounded to so many.
     """
     total = records.agg(F.countDistinct(key).alias("n")).first().n
     rows = one_per_key(records.select(key, text), key).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text <> ''")
@@ -82,7 +81,8 @@ def term_weights(records: DataFrame, key: str, text: str, window: int = WINDOW,
         df = df.where(F.col("df") <= max_df)
     terms = both.where("key IS NOT NULL").select("key", "term", "tf", "degree")
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return terms.join(sized(cut(df)), "term").select(F.col("key").alias(key), "term", "tf", "degree", "df", idf.alias("idf"), (F.col("degree") * idf).alias("weight"))
+    df = df.withColumn("idf", idf if digits is None else F.round(idf, digits))
+    return terms.join(sized(cut(df)), "term").select(F.col("key").alias(key), "term", "tf", "degree", "df", "idf", (F.col("degree") * F.col("idf")).alias("weight"))
 
 
 def rarity(n: int, df: int) -> float:
