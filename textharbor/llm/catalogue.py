@@ -62,7 +62,7 @@ def p3_languages(spark: SparkSession, d: str) -> DataFrame:
 def p4_method(spark: SparkSession, d: str) -> DataFrame:
     """Furniture lines by consensus host paths alone, paths being those of the lines' shape: (page_id, line_no)."""
     lines = paths.containers_of_lines(table(spark, d, "extracted").select("page_id", "url", "title", "body", "links"), "page_id")
-    return paths.furniture(cut(lines)).select(F.col("key").alias("page_id"), F.col("no").alias("line_no"))
+    return paths.furniture(cut(lines.drop("text"))).select(F.col("key").alias("page_id"), F.col("no").alias("line_no"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
