@@ -179,8 +179,9 @@ def test_selective_queries_read_few_postings(spark, tmp_path, monkeypatch):
     segments.write_index(view, str(tmp_path / "i"))
     kept = segments.read_index(spark, str(tmp_path / "i"), analysis=PLAIN)
     query = parse("common OR zephyrquux", PLAIN)
-    for most in (rank.MOST_RANGES, 0):  # ranges that reach the scan, and the join
-        monkeypatch.setattr(rank, "MOST_RANGES", most)
+    for ranges, blocks in ((rank.MOST_RANGES, rank.MOST_BLOCKS), (0, rank.MOST_BLOCKS), (0, 0)):  # ranges that reach the scan, joins with blocks of the driver and of a table
+        monkeypatch.setattr(rank, "MOST_RANGES", ranges)
+        monkeypatch.setattr(rank, "MOST_BLOCKS", blocks)
         best, work = rank.pruned_top_k(kept, query, 2)
         assert [r.doc_id for r in best.collect()] == [1000, 1001] == [r.doc_id for r in rank.top_k(kept, query, 2).collect()]
         w = work.first()

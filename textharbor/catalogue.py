@@ -462,6 +462,22 @@ def stream_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(query.name)
 
 
+_MOD = "18446744073709551616::UHUGEINT"
+
+
+def _bytes_sql(x: str) -> str:
+    return f"list_transform(range(octet_length(encode({x}))::BIGINT), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::UHUGEINT)"
+
+
+def _fnv_sql(x: str) -> str:
+    """FNV-1a 64 of a text as 16 hex digits."""
+    return f"lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, {_bytes_sql(x)}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0'))"
+
+
+def _normal_sql(x: str) -> str:
+    return rf"trim(regexp_replace(lower(coalesce({x}, '')), '\s+', ' ', 'g'))"
+
+
 # --- web documents and duplicates
 @_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) GROUP BY t")
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -474,22 +490,19 @@ def near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near(_texts(spark, d))
 
 
-@_query()
-def simhash_near_dups(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.near_pairs(dedup.fingerprints(_docs(spark, d)))
-
+_SIMHASH = f"""{_LIVE}, t AS (SELECT doc_id, string_split({_normal_sql('body')}, ' ') AS w FROM d),
+runs AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM t WHERE w <> ['']),
+m0 AS (SELECT doc_id, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, {_bytes_sql('s')}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_MOD}) + 11400714819323198485::UHUGEINT) % {_MOD} AS z FROM runs),
+m1 AS (SELECT doc_id, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % {_MOD} AS z FROM m0), m2 AS (SELECT doc_id, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {_MOD} AS z FROM m1),
+m3 AS (SELECT doc_id, xor(z, z >> 31)::UBIGINT AS z FROM m2), bits AS (SELECT doc_id, b, sum(CASE WHEN (z >> b) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS up FROM m3, range(64) r(b) GROUP BY ALL),
+sims AS (SELECT doc_id, sum(CASE WHEN up THEN CASE WHEN b = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << b::INT) END ELSE 0 END)::BIGINT AS sim FROM bits GROUP BY doc_id)"""
 
-def _bytes_sql(x: str) -> str:
-    return f"list_transform(range(octet_length(encode({x}))::BIGINT), lambda i: ('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::UHUGEINT)"
 
-
-def _fnv_sql(x: str) -> str:
-    """FNV-1a 64 of a text as 16 hex digits."""
-    return f"lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, {_bytes_sql(x)}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0'))"
-
-
-def _normal_sql(x: str) -> str:
-    return rf"trim(regexp_replace(lower(coalesce({x}, '')), '\s+', ' ', 'g'))"
+@_query(
+    f"WITH {_SIMHASH}, s AS (SELECT doc_id, sim FROM sims JOIN t USING (doc_id) WHERE len(w) >= 25), g AS (SELECT sim, min(doc_id) AS doc_id FROM s GROUP BY sim) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.sim, y.sim))::INT AS dist FROM g x JOIN g y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.sim, y.sim)) <= 7 UNION ALL SELECT g.doc_id, s.doc_id, 0 FROM s JOIN g USING (sim) WHERE s.doc_id <> g.doc_id"
+)
+def simhash_near_dups(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.near_pairs(dedup.fingerprints(_docs(spark, d)))
 
 
 @_query(f"WITH {_LIVE}, t AS (SELECT doc_id, content_hash, {_normal_sql('body')} AS t FROM d), h AS (SELECT doc_id, content_hash, {_fnv_sql('t')} AS hash FROM t) SELECT doc_id, hash, hash = lower(content_hash) AS current FROM h")
@@ -500,7 +513,7 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", own.alias("hash"), (own == F.lower("content_hash")).alias("current"))
 
 
-@_query()
+@_query(f"WITH {_SIMHASH}, s AS (SELECT DISTINCT doc_id, simhash FROM dedup_state WHERE simhash IS NOT NULL) SELECT doc_id, bit_count(xor(simhash, coalesce(sim, 0)))::INT AS dist FROM s JOIN d USING (doc_id) LEFT JOIN sims USING (doc_id)")
 def accepted_simhashes(spark: SparkSession, d: str) -> DataFrame:
     """Distance of each accepted signature from the one computed of the text."""
     docs = _docs(spark, d).select("doc_id", simhash(normalize_text(F.coalesce("body", F.lit("")))).alias("own"))
@@ -552,7 +565,12 @@ def url_canonicalize(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "docs").select(canonical_url("url").alias("url")).groupBy("url").agg(F.count("*").alias("n"))
 
 
-@_query()
+_PAGE_BODY = "coalesce(body, '') || CASE WHEN len(coalesce(image_alts, [])) > 0 THEN chr(10) || chr(10) || array_to_string(image_alts, chr(10)) ELSE '' END"
+
+
+@_query(
+    f"WITH p AS (SELECT page_id, any_value(url) AS url, any_value(title) AS title, any_value(headings) AS headings, any_value(body) AS body, any_value(links) AS links, any_value(image_alts) AS image_alts FROM extracted GROUP BY page_id), x AS (SELECT *, {_normal_sql(f'concat(title, chr(10), array_to_string(headings, chr(10)), chr(10), {_PAGE_BODY})')} AS t, coalesce(url, '') AS u FROM p) SELECT {_fnv_sql('u')} AS id_hex, url, coalesce(nullif(trim(title), ''), url) AS title, least(len(list_filter(coalesce(links, []), lambda x: trim(x.anchor) <> '')), 16)::INT AS anchors, {_fnv_sql('t')} AS content_hash FROM x"
+)
 def pages_to_docs(spark: SparkSession, d: str) -> DataFrame:
     pages = _table(spark, d, "extracted").dropDuplicates(["page_id"])
     docs = documents_from_pages(pages)
@@ -668,9 +686,6 @@ def crc32_terms(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "dict_entries").where("term IS NOT NULL").select("term").distinct().select("term", crc32(F.col("term")).alias("crc"))
 
 
-_MOD = "18446744073709551616::UHUGEINT"
-
-
 @_query(
     f"WITH a AS (SELECT DISTINCT doc_id, (doc_id::UHUGEINT + 11400714819323198485::UHUGEINT) % {_MOD} AS z FROM docs), b AS (SELECT doc_id, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % {_MOD} AS z FROM a), c AS (SELECT doc_id, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {_MOD} AS z FROM b) SELECT doc_id, lpad(hex(xor(z, z >> 31)::UBIGINT), 16, '0') AS mixed FROM c"
 )

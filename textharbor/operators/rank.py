@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +91,8 @@ def explained(view: IndexView, query: Query, k: int, ranking: Ranking = Ranking(
 
 #: So many ranges of blocks at most are pushed into a scan; more are joined.
 MOST_RANGES = 500
+#: So many blocks at most are taken to the driver.
+MOST_BLOCKS = 50_000
 
 
 def _ranges(blocks: list[int]) -> list[tuple[int, int]]:
@@ -103,18 +106,6 @@ def _ranges(blocks: list[int]) -> list[tuple[int, int]]:
     return found
 
 
-def _in_blocks(postings: DataFrame, blocks: DataFrame, most: int = MOST_RANGES) -> DataFrame:
-    """Postings of some blocks: as ranges that reach the scan, or by a join where they are too many."""
-    few = [r.block for r in blocks.limit(20 * most + 1).collect()]
-    ranges = _ranges(few) if len(few) <= 20 * most else []
-    if not few or ranges and len(ranges) <= most:
-        inside = F.lit(False)
-        for low, high in ranges:
-            inside = inside | F.col("block").between(low, high)
-        return postings.where(inside)
-    return postings.join(blocks.hint("merge"), "block", "left_semi")
-
-
 def pruned_top_k(view: IndexView, query: Query, k: int, ranking: Ranking = Ranking(), digits: int = 4) -> tuple[DataFrame, DataFrame]:
     """The same documents as ``top_k``, and (blocks, blocks_scored, blocks_skipped, postings, postings_scored).
 
@@ -128,36 +119,72 @@ def pruned_top_k(view: IndexView, query: Query, k: int, ranking: Ranking = Ranki
         wanted = wanted | leaf_condition(leaf)
     tops = _with_field_stats(view, view.bounds().where(wanted)).withColumnsRenamed({"max_tf": "tf", "min_len": "len"})
     by_block = tops.groupBy("block").agg(F.sum(contribution(ranking, F.col("n_docs"))).alias("bound"), F.sum("n").alias("postings"))
-    by_block = cut(by_block)
     shift = view.id_shift()
     rows = view.postings if "block" in view.postings.columns else view.postings.withColumn("block", block_of(F.col("doc_id"), shift))
     if "df" not in rows.columns:  # counted over all blocks, before some are left out
         rows = rows.join(view.termstats().select("field", "term", "df"), ["field", "term"])
-    extra = 0.0
+    extra = ranking.freshness_weight
     if ranking.authority_weight:
         extra += ranking.authority_weight * (view.docs.agg(F.max(authority(view.docs)).alias("a")).first().a or 0.0)
-    extra += ranking.freshness_weight
+    outside = holds_without_flags(query)
 
-    def scored(part: DataFrame) -> DataFrame:
+    def scored(blocks: _Blocks) -> DataFrame:
         """Scores of the documents of some blocks."""
-        inside = replace(view, postings=_in_blocks(rows, part.select("block")))
-        found = scores(inside, query, ranking)
-        return found if not holds_without_flags(query) else found.join(part.select("block").hint("merge"), block_of(F.col("doc_id"), shift) == F.col("block"), "left_semi")
+        found = scores(replace(view, postings=blocks.of(rows)), query, ranking)
+        return blocks.of(found.withColumn("block", block_of(F.col("doc_id"), shift))).drop("block") if outside else found
 
-    first = by_block.orderBy(F.desc("bound"), "block").limit(k)
-    best = [r.score for r in scored(first).orderBy(F.desc("score")).limit(k).collect()]
+    blocks = _Blocks.of_bounds(by_block)
+    best = [r.score for r in scored(blocks.highest(k)).orderBy(F.desc("score")).limit(k).collect()]
     low = best[-1] if len(best) == k else float("-inf")
-    reach = F.col("bound") + extra + EPSILON >= low
-    if holds_without_flags(query) and extra + EPSILON >= low:
-        found = scores(replace(view, postings=rows), query, ranking)  # documents outside of all blocks may be among the best
-        reach = F.lit(True)
-    else:
-        found = scored(by_block.where(reach))
-    work = by_block.agg(
-        F.count("*").alias("blocks"), F.sum(reach.cast("int")).alias("blocks_scored"), F.sum((~reach).cast("int")).alias("blocks_skipped"),
-        F.sum("postings").alias("postings"), F.sum(F.when(reach, F.col("postings")).otherwise(0)).alias("postings_scored"),
-    )
-    return found.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), "doc_id").limit(k), work.fillna(0)
+    everything = outside and extra + EPSILON >= low  # documents outside of all blocks may be among the best
+    least = float("-inf") if everything else low - extra - EPSILON
+    found = scores(replace(view, postings=rows), query, ranking) if everything else scored(blocks.reaching(least))
+    work = view.docs.sparkSession.createDataFrame([blocks.work(least)], "blocks long, blocks_scored long, blocks_skipped long, postings long, postings_scored long")
+    return found.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), "doc_id").limit(k), work
+
+
+@dataclass
+class _Blocks:
+    """Blocks with their bounds: on the driver where they are few, in a table of the shared folder where they are many."""
+
+    few: list[tuple[int, float, int]] | None
+    many: DataFrame | None
+
+    @staticmethod
+    def of_bounds(by_block: DataFrame) -> _Blocks:
+        """by_block(block, bound, postings)."""
+        rows = by_block.select("block", "bound", "postings").limit(MOST_BLOCKS + 1).collect()
+        return _Blocks([tuple(r) for r in rows], None) if len(rows) <= MOST_BLOCKS else _Blocks(None, cut(by_block))
+
+    def highest(self, k: int) -> _Blocks:
+        """The k blocks with the highest bounds."""
+        if self.few is not None:
+            return _Blocks(sorted(self.few, key=lambda x: (-x[1], x[0]))[:k], None)
+        return _Blocks([tuple(r) for r in self.many.orderBy(F.desc("bound"), "block").limit(k).select("block", "bound", "postings").collect()], None)
+
+    def reaching(self, least: float) -> _Blocks:
+        if self.few is not None:
+            return _Blocks([x for x in self.few if x[1] >= least], None)
+        return _Blocks(None, self.many.where(F.col("bound") >= least))
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Rows of these blocks: by ranges that reach the scan, or by a join where there are too many ranges."""
+        if self.few is None:
+            return rows.join(self.many.select("block").hint("merge"), "block", "left_semi")
+        ranges = _ranges([x[0] for x in self.few])
+        if len(ranges) > MOST_RANGES:
+            kept = rows.sparkSession.createDataFrame([(x[0],) for x in self.few], "block long")
+            return rows.join(F.broadcast(kept), "block", "left_semi")  # at most MOST_BLOCKS numbers
+        return rows.where(reduce(lambda a, b: a | b, [F.col("block").between(*r) for r in ranges], F.lit(False)))
+
+    def work(self, least: float) -> tuple[int, int, int, int, int]:
+        """(blocks, blocks_scored, blocks_skipped, postings, postings_scored) where blocks under a bound are skipped."""
+        if self.few is not None:
+            kept = [x for x in self.few if x[1] >= least]
+            return len(self.few), len(kept), len(self.few) - len(kept), sum(x[2] for x in self.few), sum(x[2] for x in kept)
+        reach = F.col("bound") >= least
+        r = self.many.agg(F.count("*"), F.sum(reach.cast("int")), F.sum("postings"), F.sum(F.when(reach, F.col("postings")).otherwise(0))).first()
+        return r[0], r[1], r[0] - r[1], r[2], r[3]
 
 
 def term_maxima(view: IndexView, query: Query, ranking: Ranking = Ranking()) -> DataFrame:

@@ -138,18 +138,22 @@ def write_index(view: IndexView, path: str, files: int | None = None) -> None:
     """
     spark = view.docs.sparkSession
     spread = lambda df, *by: (df.repartitionByRange(*by) if files is None else df.repartitionByRange(files, *by)).sortWithinPartitions(*by)
+    table = lambda name: spark.read.parquet(f"{path}/{name}")
+    view.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    view = IndexView.of(table("docs"), view.analysis)  # documents may be costly to make: from here on they are read
     shift = view.id_shift()
-    postings = cut(view.postings.select("field", "term", "doc_id", "positions", "tf", "len"))
+    postings = cut(view.postings.select("field", "term", "doc_id", "positions", "tf", "len"))  # texts are analyzed once
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     spread(terms, "field", "term").write.mode("overwrite").parquet(f"{path}/dictionary")
-    df = spark.read.parquet(f"{path}/dictionary").select("field", "term", "df")
-    rows = postings.join(df, ["field", "term"]).withColumn("block", block_of(F.col("doc_id"), shift))
+    rows = postings.join(table("dictionary").select("field", "term", "df"), ["field", "term"]).withColumn("block", block_of(F.col("doc_id"), shift))
     spread(rows, "field", "term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    spread(bounds_of(spark.read.parquet(f"{path}/postings")), "field", "term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
-    view.doclen.write.mode("overwrite").parquet(f"{path}/doclen")
-    spread(view.docs, "doc_id").write.mode("overwrite").parquet(f"{path}/docs")
-    fields = {r.field: (r.total_tokens, r.n_docs, r.avg_len) for r in IndexView(view.docs, spark.read.parquet(f"{path}/doclen"), postings, view.analysis).stats().collect()}
-    sums = {name: _check_sum(spark.read.parquet(f"{path}/{name}")) for name in TABLES}
+    spread(bounds_of(table("postings")), "field", "term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    known = postings.groupBy("doc_id", "field").agg(F.max("len").alias("len"))
+    every = view.docs.select("doc_id", F.explode(F.array(*[F.lit(f) for f in range(4)])).alias("field"))
+    every.join(known, ["doc_id", "field"], "left").fillna(0, ["len"]).write.mode("overwrite").parquet(f"{path}/doclen")
+    kept = IndexView(view.docs, table("doclen"), postings, view.analysis)
+    fields = {r.field: (r.total_tokens, r.n_docs, r.avg_len) for r in kept.stats().collect()}
+    sums = {name: _check_sum(table(name)) for name in TABLES}
     write_text(f"{path}/statistics.json", json.dumps({"fields": fields, "shift": shift, "tables": sums}))
 
 
