@@ -138,6 +138,16 @@ def test_duplicates(spark):
     assert got == {1: "unique", 2: "exact_duplicate", 3: "near_duplicate", 4: "unique", 5: "unique", 6: "unique"}
 
 
+def test_texts_of_one_hash_follow_their_first(spark, monkeypatch):
+    """The second of two texts of one hash is no original when the first repeats an earlier text."""
+    sims = {1: 0b1111111, 2: 0, 3: 0, 4: -1 << 40, 5: -1 << 40}
+    prints = spark.createDataFrame([(i, f"h{i}", s, 30) for i, s in sims.items()], "doc_id long, hash string, sim long, words int")
+    monkeypatch.setattr(dedup, "fingerprints", lambda docs, text: prints)
+    got = {r.doc_id: r.outcome for r in dedup.near(prints).collect()}
+    assert got == {1: "unique", 2: "near_duplicate", 3: "near_duplicate", 4: "unique", 5: "near_duplicate"}
+    assert {r.outcome: r.n for r in dedup.counters(dedup.near(prints)).collect()} == {"unique": 2, "near_duplicate": 3}
+
+
 def test_near_pairs_equal_brute_force(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(6)]

@@ -12,7 +12,7 @@ from textharbor.config import UNSTEMMED, Analysis, FieldAnalysis, Ranking
 from textharbor.functions.analysis import STOP_WORDS, analyzed, normalize_text
 from textharbor.functions.hashing import crc32, decode_deltas, encode_deltas, fnv1a_hex, hamming, shard_of, shingles, simhash, splitmix, varint_len
 from textharbor.functions.text import escape_html, snippet
-from textharbor.functions.urls import addresses_allowed, canonical_url, host_of
+from textharbor.functions.urls import addresses_allowed, canonical_url, host_of, resolve_url
 from textharbor.operators import authority, cluster, crawl, dedup, evaluate, rank, robots, spell
 from textharbor.operators.index import IndexView, live, newest
 from textharbor.operators.lineage import new_path, remove_at_end, shared_dir
@@ -23,7 +23,7 @@ from textharbor.sources.files import query_ids
 from textharbor.sources.html import extract_html
 from textharbor.sources.pages import documents_from_pages
 from textharbor.sources.store import stamp
-from textharbor.streaming.ingest import arrivals
+from textharbor.streaming.ingest import append_generations, arrivals
 
 DEFAULT = Analysis()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,25 +479,35 @@ def _normal_sql(x: str) -> str:
 
 
 # --- web documents and duplicates
+def _simhash_sql() -> str:
+    """CTEs up to sims(doc_id, sim): SimHash-64 of the texts of t(doc_id, w), w being their words."""
+    return f"""runs AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM t WHERE w <> ['']),
+m0 AS (SELECT doc_id, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, {_bytes_sql('s')}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_MOD}) + 11400714819323198485::UHUGEINT) % {_MOD} AS z FROM runs),
+m1 AS (SELECT doc_id, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % {_MOD} AS z FROM m0), m2 AS (SELECT doc_id, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {_MOD} AS z FROM m1),
+m3 AS (SELECT doc_id, xor(z, z >> 31)::UBIGINT AS z FROM m2), bits AS (SELECT doc_id, b, sum(CASE WHEN (z >> b) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS up FROM m3, range(64) r(b) GROUP BY ALL),
+sims AS (SELECT doc_id, sum(CASE WHEN up THEN CASE WHEN b = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << b::INT) END ELSE 0 END)::BIGINT AS sim FROM bits GROUP BY doc_id)"""
+
+
+_SIMHASH = f"{_LIVE}, t AS (SELECT doc_id, string_split({_normal_sql('body')}, ' ') AS w FROM d), {_simhash_sql()}"
+
+
 @_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL) GROUP BY t")
 def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     t = _table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(normalize_text(F.col("text"))).alias("hash"))
     return t.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("hash")
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE x AS (SELECT doc_id, {_normal_sql('text')} AS n FROM documents), k AS (SELECT n, min(doc_id) AS first FROM x GROUP BY n), t AS (SELECT first AS doc_id, string_split(n, ' ') AS w FROM k), {_simhash_sql()},
+s AS MATERIALIZED (SELECT doc_id, sim FROM sims JOIN t USING (doc_id) WHERE len(w) >= 25), p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.sim, b.sim)) <= 7),
+n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce(list_distinct(e), []) AS e FROM (SELECT a AS id FROM p UNION SELECT b FROM p) LEFT JOIN (SELECT b AS id, list(a) AS e FROM p GROUP BY b) USING (id)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT n.i, CASE WHEN list_has_any(kept, n.e) THEN kept ELSE list_append(kept, id) END FROM r JOIN n ON n.i = r.i + 1), f AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1)
+SELECT x.doc_id, CASE WHEN x.doc_id <> first THEN 'exact_duplicate' WHEN x.doc_id IN (SELECT id FROM n) AND NOT list_contains(kept, x.doc_id) THEN 'near_duplicate' ELSE 'unique' END AS outcome FROM x JOIN k USING (n), f"""
+)
 def near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.near(_texts(spark, d))
 
 
-_SIMHASH = f"""{_LIVE}, t AS (SELECT doc_id, string_split({_normal_sql('body')}, ' ') AS w FROM d),
-runs AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM t WHERE w <> ['']),
-m0 AS (SELECT doc_id, (list_reduce(list_prepend(14695981039346656037::UHUGEINT, {_bytes_sql('s')}), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % {_MOD}) + 11400714819323198485::UHUGEINT) % {_MOD} AS z FROM runs),
-m1 AS (SELECT doc_id, (xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % {_MOD} AS z FROM m0), m2 AS (SELECT doc_id, (xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % {_MOD} AS z FROM m1),
-m3 AS (SELECT doc_id, xor(z, z >> 31)::UBIGINT AS z FROM m2), bits AS (SELECT doc_id, b, sum(CASE WHEN (z >> b) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS up FROM m3, range(64) r(b) GROUP BY ALL),
-sims AS (SELECT doc_id, sum(CASE WHEN up THEN CASE WHEN b = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << b::INT) END ELSE 0 END)::BIGINT AS sim FROM bits GROUP BY doc_id)"""
-
-
 @_query(
     f"WITH {_SIMHASH}, s AS (SELECT doc_id, sim FROM sims JOIN t USING (doc_id) WHERE len(w) >= 25), g AS (SELECT sim, min(doc_id) AS doc_id FROM s GROUP BY sim) SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.sim, y.sim))::INT AS dist FROM g x JOIN g y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.sim, y.sim)) <= 7 UNION ALL SELECT g.doc_id, s.doc_id, 0 FROM s JOIN g USING (sim) WHERE s.doc_id <> g.doc_id"
 )
@@ -770,6 +780,57 @@ def retry_times(spark: SparkSession, d: str) -> DataFrame:
     return crawl.retry_later(failed, 100).select("url", "next_eligible_ms", "retries")
 
 
+# --- settings, limits, streams
+@_query(
+    f"WITH {_LIVE}, f AS (SELECT doc_id, 0 AS field, coalesce(title, '') AS t FROM d UNION ALL SELECT doc_id, 2, coalesce(body, '') FROM d), r AS (SELECT doc_id, field, lower(unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+'))) AS term FROM f), k AS (SELECT * FROM r WHERE (field = 0 AND length(term) >= 4) OR (field = 2 AND term NOT IN ({_STOP}))) SELECT field, count(DISTINCT term) AS terms, count(*) AS tokens FROM k GROUP BY field"
+)
+def per_field_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Titles keep stop words but no words under four letters, bodies the reverse."""
+    analysis = Analysis(UNSTEMMED.base, {0: {"stop_words": False, "min_token_len": 4}})
+    p = IndexView.of(_docs(spark, d), analysis).postings.where("field IN (0, 2)")
+    return p.groupBy("field").agg(F.countDistinct("term").alias("terms"), F.sum("tf").alias("tokens"))
+
+
+@_query("SELECT * FROM (VALUES ('Term', 'compiler', false), ('Phrase', 'nightly merge', false), ('Prefix', 'comp', true), ('Fuzzy', 'index', true), ('Site', '.test', false)) t(kind, words, negated)")
+def query_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of a query's tree and whether a NOT stands above them."""
+    query = parse('body:compiler OR body:"nightly merge" NOT (body:comp* body:index~1) site:.test', UNSTEMMED)
+    word = lambda q: " ".join(getattr(q, "terms", ())) or next(getattr(q, n) for n in ("term", "prefix", "needle") if hasattr(q, n))
+    return spark.createDataFrame([(type(q).__name__, word(q), negated) for q, negated in query.leaves()], "kind string, words string, negated boolean").distinct()
+
+
+@_query("SELECT i::INT AS asked, least(greatest(i, 1), 100)::INT AS hits, least(greatest(i, 1), 50)::INT AS completions FROM range(-5, 300) r(i)")
+def limit_clamps(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(i, spell.clamp(i, 100), spell.clamp(i, 50)) for i in range(-5, 300)], "asked int, hits int, completions int")
+
+
+@_query("SELECT doc_id, title FROM docs WHERE arrived_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY arrived_at DESC) = 1")
+def stream_generations(spark: SparkSession, d: str) -> DataFrame:
+    """The stream of deliveries as generations of an index, read to its end; what is live then."""
+    base = new_path(spark, "generations")
+    stream = spark.readStream.schema(_table(spark, d, "docs").schema).parquet(f"{d}/docs.parque[t]")
+    append_generations(stream.where("arrived_at IS NOT NULL"), f"{base}/index", f"{base}/checkpoint").awaitTermination()
+    remove_at_end(spark, base)
+    return segments.read_live(spark, f"{base}/index").select("doc_id", "title")
+
+
+@_query(f"WITH {_LIVE}, t AS (SELECT doc_id, {_normal_sql('body')} AS t FROM d), h AS (SELECT doc_id, {_fnv_sql('t')} AS hash FROM t) SELECT min(doc_id) AS doc_id, hash FROM h WHERE hash NOT IN (SELECT lower(exact) FROM dedup_state WHERE exact IS NOT NULL) GROUP BY hash")
+def fresh_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The first document of each text that was not accepted before."""
+    known = _table(spark, d, "dedup_state").where("exact IS NOT NULL").select(F.lower("exact").alias("hash")).distinct()
+    return dedup.exact(dedup.fingerprints(_docs(spark, d)), known).select("doc_id", "hash")
+
+
+@_query(
+    f"WITH {_WEB}, b AS (SELECT url, regexp_replace(url, '[?].*$', '') AS page FROM w), r AS (SELECT url, '/about' AS href, regexp_extract(page, '^([a-z]+://[^/]+)', 1) || '/about' AS target FROM b UNION ALL SELECT url, 'next?p=2', regexp_replace(page, '[^/]*$', '') || 'next?p=2' FROM b UNION ALL SELECT url, '#top', NULL FROM b UNION ALL SELECT url, 'HTTP://Far.TEST:80#x', 'http://far.test/' FROM b) SELECT * FROM r"
+)
+def resolved_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of several forms on every page, resolved."""
+    pages = _web(spark, d).select(canonical_url("url").alias("url")).where("url IS NOT NULL").distinct()
+    each = pages.select("url", F.explode(F.array(*[F.lit(h) for h in ("/about", "next?p=2", "#top", "HTTP://Far.TEST:80#x")])).alias("href"))
+    return each.select("url", "href", resolve_url("url", "href").alias("target"))
+
+
 # --- shards
 def _shard_sql(shards: int) -> str:
     h = "14695981039346656037::UHUGEINT"

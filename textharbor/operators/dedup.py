@@ -84,16 +84,18 @@ def near(docs: DataFrame, text: str = "body", known: DataFrame | None = None, di
     """
     prints = cut(fingerprints(docs, text))
     kept = cut(exact(prints, known))
-    pairs = cut(near_pairs(kept, distance, min_words).select("a", "b"))
+    found = cut(near_pairs(kept, distance, min_words))
+    # of documents of one hash only the first can be kept: it is, or what it repeats, the others repeat too
+    pairs = found.where("dist > 0").select("a", "b")
     open_ = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"))
-    dropped = None
+    dropped = found.where("dist = 0").select(F.col("b").alias("doc_id"))
     while open_.limit(1).count():
         waiting = pairs.join(open_.withColumnRenamed("doc_id", "a"), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct()
         free = cut(open_.join(waiting, "doc_id", "left_anti"))
         gone = cut(pairs.join(free.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(open_.withColumnRenamed("doc_id", "b"), "b", "left_semi").select(F.col("b").alias("doc_id")).distinct())
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+        dropped = dropped.unionByName(gone)
         open_ = cut(open_.join(free.unionByName(gone).distinct(), "doc_id", "left_anti"))
-    near_ids = dropped.distinct().withColumn("near", F.lit(True)) if dropped is not None else kept.select("doc_id").limit(0).withColumn("near", F.lit(True))
+    near_ids = dropped.distinct().withColumn("near", F.lit(True))
     first = kept.select("doc_id", F.lit(True).alias("kept"))
     rows = prints.select("doc_id").distinct().join(first, "doc_id", "left").join(near_ids, "doc_id", "left")
     outcome = F.when(F.col("kept").isNull(), "exact_duplicate").when(F.col("near"), "near_duplicate").otherwise("unique")
