@@ -15,26 +15,26 @@ from textharbor.operators.index import IndexView
 def test_command_line(spark, tmp_path, capsys):
     corpus, data = tmp_path / "corpus", str(tmp_path / "index")
     corpus.mkdir()
-    (corpus / "compiler.txt").write_text("A compiler applies loop optimization")
-    (corpus / "bread.txt").write_text("Baking bread needs a starter")
+    (corpus / "gardener.txt").write_text("A gardener plants early potatoes")
+    (corpus / "fences.txt").write_text("Painting fences takes patience")
     (corpus / "x.bin").write_bytes(b"1")
     run = lambda *a: cli.run(["--data", data, *a], spark)
     assert run("index", str(corpus)) == 0 and "1 files skipped" in capsys.readouterr().out
-    assert run("search", "compilers", "--explain") == 0
+    assert run("search", "gardeners", "--explain") == 0
     out = capsys.readouterr().out
-    assert "compiler.txt" in out and "bread.txt" not in out
-    assert run("search", "compilar") == 0 and "did you mean: compil" in capsys.readouterr().out
+    assert "gardener.txt" in out and "fences.txt" not in out
+    assert run("search", "gardenar") == 0 and "did you mean: garden" in capsys.readouterr().out
     assert run("search", "(a") == 2
-    assert run("complete", "bak") == 0 and capsys.readouterr().out.split()[-2:] == ["bake", "1"]
-    (tmp_path / "q.tsv").write_text("q1\tcompiler optimization\nq2\tbread\n")
-    (tmp_path / "j.tsv").write_text("q1\t3\tcompiler.txt\nq2\t2\tbread.txt\n")
+    assert run("complete", "pai") == 0 and capsys.readouterr().out.split()[-2:] == ["paint", "1"]
+    (tmp_path / "q.tsv").write_text("q1\tgardener potatoes\nq2\tfences\n")
+    (tmp_path / "j.tsv").write_text("q1\t3\tgardener.txt\nq2\t2\tfences.txt\n")
     assert run("eval", str(tmp_path / "q.tsv"), str(tmp_path / "j.tsv")) == 0
     assert json.loads(capsys.readouterr().out)["ndcg"] == 1
     assert run("eval", str(tmp_path / "q.tsv"), str(tmp_path / "j.tsv"), "--save", str(tmp_path / "r.json")) == 0
     assert run("eval", str(tmp_path / "q.tsv"), str(tmp_path / "j.tsv"), "--baseline", str(tmp_path / "r.json")) == 0 and "same" in capsys.readouterr().out
     assert run("authority") == 0 and run("merge") == 0 and run("stats") == 0 and run("verify") == 0 and run("delete", "5") == 0
-    assert run("search", "--all", "loop compiler") == 0 and "compiler.txt" in capsys.readouterr().out
-    assert run("bench", "--rounds", "1", "compiler", "bread") == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["queries"] == 2
+    assert run("search", "--all", "early gardener") == 0 and "gardener.txt" in capsys.readouterr().out
+    assert run("bench", "--rounds", "1", "gardener", "fences") == 0 and json.loads(capsys.readouterr().out.splitlines()[-1])["queries"] == 2
 
 
 def test_cluster_and_crawl_commands(spark, tmp_path, capsys):
@@ -60,7 +60,7 @@ def test_cluster_and_crawl_commands(spark, tmp_path, capsys):
 
 
 def test_http(spark):
-    docs = spark.createDataFrame([(1, "Compiler", [], "a <compiler> guide", [], "u", {}, 0)], "doc_id long, title string, headings array<string>, body string, anchor_text array<string>, url string, metadata map<string,string>, timestamp long")
+    docs = spark.createDataFrame([(1, "Gardener", [], "a <gardener> manual", [], "u", {}, 0)], "doc_id long, title string, headings array<string>, body string, anchor_text array<string>, url string, metadata map<string,string>, timestamp long")
     server = serve(Service(IndexView.of(docs, Analysis()), token="secret"), 0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
@@ -72,18 +72,18 @@ def test_http(spark):
         except urllib.error.HTTPError as e:
             return e.code, json.load(e)
 
-    code, answer = get("/api/search?q=compiler")
-    assert code == 200 and answer["hits"][0]["doc_id"] == 1 and "&lt;<mark>compiler</mark>&gt;" in answer["hits"][0]["snippet"]
-    assert get("/api/search?q=compiler")[1]["hits"] == answer["hits"]
-    assert get("/api/search?q=compilr")[1]["suggestion"] == "compil"
+    code, answer = get("/api/search?q=gardener")
+    assert code == 200 and answer["hits"][0]["doc_id"] == 1 and "&lt;<mark>gardener</mark>&gt;" in answer["hits"][0]["snippet"]
+    assert get("/api/search?q=gardener")[1]["hits"] == answer["hits"]
+    assert get("/api/search?q=gardnr")[1]["suggestion"] == "garden"
     assert get("/api/search")[0] == 400 and get("/api/search?q=(")[0] == 400 and get("/api/search?q=a&limit=x")[0] == 400 and get("/x")[0] == 404
-    assert get("/api/complete?q=comp")[1]["completions"] == [{"field": f, "term": "compil", "df": 1} for f in ("title", "body")]
+    assert get("/api/complete?q=gard")[1]["completions"] == [{"field": f, "term": "garden", "df": 1} for f in ("title", "body")]
     assert get("/api/complete?q=the")[1]["completions"] == []
     assert get("/api/admin/status")[0] == 401 and get("/api/admin/status", "secret")[1]["docs"] == 1
     seen = get("/api/admin/metrics", "secret")[1]
     assert get("/api/admin/metrics")[0] == 401 and seen["searches"] >= 3 and seen["completes"] == 2 and seen["cache"]["entries"] >= 1
-    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/search?q=compiler") as r:
-        assert "<mark>compiler</mark>" in r.read().decode() and r.headers["Content-Type"].startswith("text/html")
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/search?q=gardener") as r:
+        assert "<mark>gardener</mark>" in r.read().decode() and r.headers["Content-Type"].startswith("text/html")
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/") as r:
         assert "<form" in r.read().decode()
     server.shutdown()

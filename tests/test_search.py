@@ -28,8 +28,8 @@ def small(spark, rows):
 
 
 @pytest.fixture(scope="module")
-def compilers(spark):
-    docs = small(spark, [(1, "compiler design", "compiler optimization passes"), (2, "interpreter guide", "bytecode interpreter loops"), (3, "compiler backend", "javascript code generation")])
+def harvesters(spark):
+    docs = small(spark, [(1, "harvester drawing", "harvester calibration routes"), (2, "translator manual", "phrasebook translator circles"), (3, "harvester engine", "diesel fuel mixture")])
     return IndexView.of(docs, PLAIN).cached()
 
 
@@ -40,20 +40,20 @@ def ids(df):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("compiler optimization", [1]), ("compiler OR interpreter", [1, 2, 3]), ("compiler NOT javascript", [1]), ("body:compiler", [1]), ("title:compiler", [1, 3]),
-        ("NOT compiler", [2]), ("comp*", [1, 3]), ("compilar~1", [1, 3]), ("compilxr~", [1, 3]), ("cmpilar~2", [1, 3]), ("site:t://1", [1]), ("site:T://1 OR bytecode", [1, 2]), ('"interpreter loops"', [2]), ('"loops interpreter"', []),
-        ("nonexistent", []), ("", []), ("title:", []), ('title:"compiler design"', [1]), ("(compiler OR bytecode) NOT (optimization OR backend)", [2]), ("compiler OR NOT bytecode", [1, 3]), ("a~3", []),
+        ("harvester calibration", [1]), ("harvester OR translator", [1, 2, 3]), ("harvester NOT diesel", [1]), ("body:harvester", [1]), ("title:harvester", [1, 3]),
+        ("NOT harvester", [2]), ("harv*", [1, 3]), ("harvestar~1", [1, 3]), ("harvestxr~", [1, 3]), ("hrvestar~2", [1, 3]), ("site:t://1", [1]), ("site:T://1 OR phrasebook", [1, 2]), ('"translator circles"', [2]), ('"circles translator"', []),
+        ("nonexistent", []), ("", []), ("title:", []), ('title:"harvester drawing"', [1]), ("(harvester OR phrasebook) NOT (calibration OR engine)", [2]), ("harvester OR NOT phrasebook", [1, 3]), ("a~3", []),
     ],
 )
-def test_boolean(compilers, text, expected):
-    assert ids(search.boolean(compilers, parse(text, PLAIN))) == expected
+def test_boolean(harvesters, text, expected):
+    assert ids(search.boolean(harvesters, parse(text, PLAIN))) == expected
 
 
-def test_identities(compilers):
-    assert ids(search.boolean(compilers, MatchAll())) == [1, 2, 3]
+def test_identities(harvesters):
+    assert ids(search.boolean(harvesters, MatchAll())) == [1, 2, 3]
     for nothing in (MatchNothing(), And(()), Or(())):
-        assert ids(search.boolean(compilers, nothing)) == []
-    assert ids(search.boolean(compilers, Not(And(())))) == [1, 2, 3]
+        assert ids(search.boolean(harvesters, nothing)) == []
+    assert ids(search.boolean(harvesters, Not(And(())))) == [1, 2, 3]
 
 
 def test_stop_words_match_nothing_and_break_phrases(spark):
@@ -70,7 +70,7 @@ def test_parser():
     assert parse('title:"a b"', PLAIN, scoped_phrases=False) == And((MatchNothing(), Phrase(2, ("a", "b"))))
     assert parse("the", UNSTEMMED) == MatchNothing() and parse("  ", PLAIN) == MatchNothing()
     assert parse("databases*", Analysis()) == Prefix(None, "databas")
-    for bad in ("(a", "a)", "compiler and", "OR", "NOT"):
+    for bad in ("(a", "a)", "harvester and", "OR", "NOT"):
         with pytest.raises(InvalidQuery):
             parse(bad, PLAIN)
     with pytest.raises(InvalidQuery):
@@ -174,11 +174,11 @@ def test_bm25_by_definition_and_pruning_changes_nothing(spark, random_docs):
 
 
 def test_selective_queries_read_few_postings(spark, tmp_path, monkeypatch):
-    rows = [(i, "", [], "common filler text", [], "", {}, 0) for i in range(200)] + [(1000, "", [], "zephyrquux common", [], "", {}, 0), (1001, "", [], "zephyrquux common again", [], "", {}, 0)]
+    rows = [(i, "", [], "common filler text", [], "", {}, 0) for i in range(200)] + [(1000, "", [], "vellumquist common", [], "", {}, 0), (1001, "", [], "vellumquist common again", [], "", {}, 0)]
     view = replace(IndexView.of(make(spark, rows), PLAIN), shift=1)
     segments.write_index(view, str(tmp_path / "i"))
     kept = segments.read_index(spark, str(tmp_path / "i"), analysis=PLAIN)
-    query = parse("common OR zephyrquux", PLAIN)
+    query = parse("common OR vellumquist", PLAIN)
     for ranges, blocks in ((rank.MOST_RANGES, rank.MOST_BLOCKS), (0, rank.MOST_BLOCKS), (0, 0)):  # ranges that reach the scan, joins with blocks of the driver and of a table
         monkeypatch.setattr(rank, "MOST_RANGES", ranges)
         monkeypatch.setattr(rank, "MOST_BLOCKS", blocks)
@@ -211,9 +211,9 @@ def test_shards_change_nothing_and_partial_is_told(spark, random_docs):
 
 
 def test_blends(spark):
-    docs = make(spark, [(1, "", [], "compiler", [], "", {"authority": "0.2"}, 86400 * 30), (2, "", [], "compiler", [], "", {"authority": "0.9"}, 86400 * 60), (3, "", [], "compiler", [], "", {"authority": "nan"}, 0)])
+    docs = make(spark, [(1, "", [], "harvester", [], "", {"authority": "0.2"}, 86400 * 30), (2, "", [], "harvester", [], "", {"authority": "0.9"}, 86400 * 60), (3, "", [], "harvester", [], "", {"authority": "nan"}, 0)])
     view = IndexView.of(docs, PLAIN)
-    q = parse("compiler", PLAIN)
+    q = parse("harvester", PLAIN)
     base = rank.top_k(view, q, 3).first().score
     got = {r.doc_id: r.score for r in rank.top_k(view, q, 3, Ranking(authority_weight=5)).collect()}
     assert got[2] - base == pytest.approx(4.5, abs=1e-3) and got[1] - base == pytest.approx(1, abs=1e-3) and got[3] == base
@@ -221,10 +221,10 @@ def test_blends(spark):
     assert got[2] - base == pytest.approx(5, abs=1e-3) and got[1] - base == pytest.approx(2.5, abs=1e-3) and got[3] == base
 
 
-def test_limit_zero_and_missing_documents(compilers, spark):
-    assert rank.top_k(compilers, parse("compiler", PLAIN), 0).count() == 0
+def test_limit_zero_and_missing_documents(harvesters, spark):
+    assert rank.top_k(harvesters, parse("harvester", PLAIN), 0).count() == 0
     empty = IndexView.of(small(spark, [(1, None, None)]).limit(0), PLAIN)
-    assert rank.top_k(empty, parse("compiler", PLAIN), 5).count() == 0
+    assert rank.top_k(empty, parse("harvester", PLAIN), 5).count() == 0
     nulls = IndexView.of(small(spark, [(1, None, None)]), PLAIN)
     assert ids(search.boolean(nulls, parse("NOT x", PLAIN))) == [1]
 
@@ -244,15 +244,15 @@ def test_relevance_of_the_seed_set(spark):
     from textharbor.operators.evaluate import evaluate, means
 
     bodies = {
-        "compiler-history": "A Short History of Compilers\n\nBackus and his team shipped Fortran, the first optimizing compiler, in\n1957. Later work on parsing theory and register allocation shaped every\nmodern compiler backend in use today.\n",
-        "sourdough": "Baking Sourdough Bread\n\nBaking sourdough bread needs a lively starter, strong flour, and patience.\n",
-        "tokyo": "Tokyo Travel Guide\n\nTokyo travel blends neon districts with quiet shrines.\n",
+        "gear-lathe": "Turning Gears on a Lathe\n\nA sharp tool and slow feeds leave smooth teeth. Balancing the lathe\nbefore each cut keeps harvesters and mills\nrunning with less noise.\n",
+        "pickles": "Keeping Pickled Beets\n\nPickled beets need clean jars, vinegar and a cool shelf.\n",
+        "tides": "Reading Tide Tables\n\nTide tables list high and low water for each port.\n",
     }
     names = sorted(bodies)
     view = IndexView.of(small(spark, [(i, n, bodies[n]) for i, n in enumerate(names)]), Analysis())
-    run = [("q1", r.doc_id, i + 1) for i, r in enumerate(rank.top_k(view, parse("optimizing compilers", Analysis()), 10).collect())]
-    run += [("q2", r.doc_id, i + 1) for i, r in enumerate(rank.top_k(view, parse("baking bread", Analysis()), 10).collect())]
-    assert [r[1] for r in run] == [names.index("compiler-history"), names.index("sourdough")]
+    run = [("q1", r.doc_id, i + 1) for i, r in enumerate(rank.top_k(view, parse("balancing lathes", Analysis()), 10).collect())]
+    run += [("q2", r.doc_id, i + 1) for i, r in enumerate(rank.top_k(view, parse("pickling beets", Analysis()), 10).collect())]
+    assert [r[1] for r in run] == [names.index("gear-lathe"), names.index("pickles")]
     run = spark.createDataFrame(run, "query_id string, doc_id long, rank int")
     judged = spark.createDataFrame([("q1", 0, 1), ("q1", 1, 0), ("q2", 1, 3), ("q2", 2, 1)], "query_id string, doc_id long, grade int")
     got = {r.query_id: r for r in evaluate(run, run, judged).collect()}
