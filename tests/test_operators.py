@@ -93,6 +93,26 @@ def test_index_follows_the_segments(spark, tmp_path):
     assert m.remove_segment(1) and not m.remove_segment(1) and m.clear_tombstones() == 1 and m.deleted == []
 
 
+def test_segments_are_copied_once(spark, tmp_path):
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    segments.write_segment(docs_of(spark, {1: "alpha", 2: "beta"}), a)
+    assert segments.copy_segments(spark, a, b) == 1 and segments.copy_segments(spark, a, b) == 0
+    segments.write_segment(docs_of(spark, {2: "alpha"}), a)
+    segments.delete(a, 1)
+    assert segments.copy_segments(spark, a, b) == 1 and found(spark, b, "alpha") == [2] and segments.Manifest.load(b) == segments.Manifest.load(a)
+
+
+def test_a_cluster_must_name_its_folder():
+    from types import SimpleNamespace
+
+    from textharbor.operators.lineage import shared_dir
+
+    session = lambda name: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: name), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    assert shared_dir(session("hdfs://name/shared/")) == "hdfs://name/shared"
+    with pytest.raises(RuntimeError):
+        shared_dir(session(None))
+
+
 def test_manifest_on_a_named_file_system(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     assert segments.Manifest.load(path).segments == []

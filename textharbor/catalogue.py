@@ -902,6 +902,18 @@ def sharded_table(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
+@_query(f"WITH {_LIVE} SELECT doc_id, title FROM d WHERE doc_id <> 4")
+def copied_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Two generations with a deletion, copied to another place with check sums compared, and read there."""
+    path, docs = new_path(spark, "segments"), _docs(spark, d)
+    segments.write_segment(docs.where("doc_id % 2 = 0"), f"{path}/a")
+    segments.write_segment(docs.where("doc_id % 2 = 1"), f"{path}/a")
+    remove_at_end(spark, path)
+    segments.delete(f"{path}/a", 4)
+    segments.copy_segments(spark, f"{path}/a", f"{path}/b")
+    return segments.read_live(spark, f"{path}/b").select("doc_id", "title")
+
+
 @_query(f"WITH {_LIVE} SELECT doc_id, title FROM d WHERE doc_id NOT IN (5, 6)")
 def merge_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every batch written as a segment, two documents deleted, all merged into one segment and read again."""

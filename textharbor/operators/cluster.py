@@ -17,7 +17,7 @@ SERVABLE = ("healthy", "degraded")
 
 def layout(spark: SparkSession, shards: int, replicas: int) -> DataFrame:
     """(shard, copy, node, generation, health): copy j of shard s lies on node (s + j) mod replicas."""
-    grid = spark.range(shards).select(F.col("id").cast("int").alias("shard")).crossJoin(spark.range(replicas).select(F.col("id").cast("int").alias("copy")))  # as many rows as copies
+    grid = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("copy"))
     node = F.concat(F.lit("node-"), ((F.col("shard") + F.col("copy")) % replicas).cast("string"))
     return grid.select("shard", "copy", node.alias("node"), F.lit(0).cast("bigint").alias("generation"), F.lit("healthy").alias("health"))
 

@@ -200,6 +200,22 @@ def verify_segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "seg int, rows long, readable boolean")
 
 
+def copy_segments(spark: SparkSession, source: str, target: str) -> int:
+    """Copy the segments that the target lacks, compare rows and check sums, then take over the manifest. Returns the number of segments copied."""
+    manifest, n = Manifest.load(source), 0
+    for seg in manifest.segments:
+        if seg in Manifest.load(target).segments:
+            continue
+        rows = spark.read.parquet(f"{source}/docs/seg={seg}")
+        rows.write.mode("overwrite").parquet(f"{target}/docs/seg={seg}")
+        plain = [c for c, t in rows.dtypes if not t.startswith(("map", "struct"))]
+        if _check_sum(rows.select(*plain)) != _check_sum(spark.read.parquet(f"{target}/docs/seg={seg}").select(*plain)):
+            raise CorruptIndex(f"segment {seg} differs after the copy")
+        n += 1
+    manifest.store(target)
+    return n
+
+
 def current_index(spark: SparkSession, path: str, analysis: Analysis) -> IndexView:
     """The written index of the live documents; written anew where segments, tombstones or the analysis changed since."""
     where = f"{path}/index/{zlib.crc32(repr(analysis).encode()):08x}-{Manifest.load(path).generation}"
