@@ -89,6 +89,23 @@ def test_http(spark):
     server.shutdown()
 
 
+def test_a_cleared_index_is_written_again(spark, tmp_path):
+    import shutil
+
+    from textharbor import catalogue
+
+    row = (1, "Gardener", [], "plants potatoes", [], "u", {}, 0, 1)
+    schema = "doc_id long, title string, headings array<string>, body string, anchor_text array<string>, url string, metadata map<string,string>, timestamp long, seg int"
+    spark.createDataFrame([row], schema).write.parquet(str(tmp_path / "docs.parquet"))
+    first = catalogue._index_path(spark, str(tmp_path))
+    assert catalogue._index_path(spark, str(tmp_path)) == first
+    shutil.rmtree(first.removeprefix("file://") + "/postings")
+    again = catalogue._index_path(spark, str(tmp_path))
+    assert again != first and catalogue._stored(spark, str(tmp_path)).postings.count() == 3
+    spark.createDataFrame([row, (2, *row[1:])], schema).write.mode("overwrite").parquet(str(tmp_path / "docs.parquet"))
+    assert catalogue._stored(spark, str(tmp_path)).docs.count() == 2
+
+
 def test_entry_points():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert "bm25_topk" in queries and set(sql) <= set(queries)

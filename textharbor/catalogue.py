@@ -64,9 +64,9 @@ _WRITTEN: dict[tuple, str] = {}
 
 
 def _index_path(spark: SparkSession, d: str, analysis: Analysis = UNSTEMMED) -> str:
-    """Folder of the written index of the live documents, written by the first query of a session that needs it, and again if the table changed."""
+    """Folder of the written index of the live documents, written by the first query of a session that needs it, and again if the table changed or the folder was cleared."""
     key = spark.sparkContext.applicationId, repr(analysis), stamp(_table(spark, d, "docs").inputFiles())
-    if key not in _WRITTEN:
+    if key not in _WRITTEN or not segments.is_complete(_WRITTEN[key]):
         path = new_path(spark, "index")
         segments.write_index(_view(spark, d, analysis), path)
         remove_at_end(spark, path)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textharbor.config import Analysis
 from textharbor.operators.index import IndexView, block_of, bounds_of, live
 from textharbor.operators.lineage import cut
-from textharbor.sources.store import read_text, write_text
+from textharbor.sources.store import exists, read_text, write_text
 
 
 class CorruptManifest(ValueError):
@@ -166,6 +166,11 @@ def _check_sum(df: DataFrame) -> list[int]:
     return list(df.agg(F.count("*"), F.coalesce(F.sum(F.crc32(row)), F.lit(0))).first())
 
 
+def is_complete(path: str) -> bool:
+    """Whether a folder holds a written index with all its tables."""
+    return read_text(f"{path}/statistics.json") is not None and all(exists(f"{path}/{name}/_SUCCESS") for name in (*TABLES, "docs"))
+
+
 def read_index(spark: SparkSession, path: str, docs: DataFrame | None = None, analysis: Analysis = Analysis()) -> IndexView:
     """A written index; docs: live documents, where not all that were written are live any more."""
     text = read_text(f"{path}/statistics.json")

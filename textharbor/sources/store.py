@@ -19,6 +19,13 @@ def _remote(path: str):
     return kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind, jvm
 
 
+def exists(path: str) -> bool:
+    if "://" not in path:
+        return Path(path).exists()
+    fs, kind, _ = _remote(path)
+    return fs.exists(kind(path))
+
+
 def read_text(path: str) -> str | None:
     """The text of a file, None where there is none."""
     if "://" not in path:
