@@ -235,6 +235,91 @@ def test_no_frame_over_the_limit_is_broadcast(spark):
         assert "BroadcastHashJoin" not in plan(left.join(sized(rows, **small), "id")) and "SortMergeJoin" in plan(left.join(sized(rows, **small), "id"))
 
 
+def changed_texts(rng):
+    """Rows of originals and of later texts with up to a fifth of the longer one's words changed, or one more: scattered, cut off, swapped, in one place, or of few different words."""
+    rows = []
+    for size in (40, 45, 50, 100, 130):
+        base = words(rng, size)
+        fifth = size // 5
+        texts = []
+        for lost in (fifth, fifth + 1):
+            every = list(base)
+            for at in range(lost):  # no five consecutive words in common
+                every[(5 * at + 2) % size if at < fifth else 0] = f"new{at}"
+            block = list(base)
+            block[3 : 3 + lost] = [f"other{i}" for i in range(lost)]
+            texts += [every, block, base + words(rng, lost + size // 20), base[lost:], base[lost:] + base[:lost]]
+        rows += [(base, 0), *((w, 1 + i % 2) for i, w in enumerate(texts)), (list(map(str.upper, texts[0])), 2)]
+    same = ["word"] * 60
+    rows += [(same, 0), (same[:48], 1), (same[:47], 1), (["word", "more"] * 30, 1), (same + ["end"] * 15, 2), (same + ["end"] * 16, 2)]
+    rows = [(i, " ".join(w), s) for i, (w, s) in enumerate(sorted(rows, key=lambda r: r[1]))]
+    return rows + [(900, None, 1), (901, "", 1), (902, "short text", 2)]
+
+
+def test_p7_method_takes_the_whole_rule(spark, tmp_path, monkeypatch):
+    from textharbor.llm import catalogue
+
+    rows = changed_texts(random.Random(41))
+    df = spark.createDataFrame(rows + rows[:4], "doc_id long, body string, seg int")
+    df.write.parquet(str(tmp_path / "docs.parquet"))
+    left = rows[3][0]
+    for without in ((), (left,)):
+        listed = spark.createDataFrame([(i,) for i in without], "doc_id long")
+        monkeypatch.setattr(catalogue, "_spam", lambda *_, listed=listed: listed)
+        exp = brute_repeats(rows, without)
+        text = {i: b.split() for i, b, _ in [(i, (b or "").lower(), s) for i, b, s in rows]}
+        far = {(a, b): max(len(text[a]), len(text[b])) - history.lcs(text[a], text[b]) for a, b in exp}
+        got = [tuple(r) for r in catalogue.p7_method(spark, str(tmp_path)).select("doc_id_a", "doc_id_b", "distance").collect()]
+        assert sorted(got) == sorted((a, b, d) for (a, b), d in far.items())
+        assert max(far.values()) > 20 and sum(d > 2 for d in far.values()) > 15
+        newest = {(r.doc_id_a, r.doc_id_b, r.distance) for r in catalogue.p7_pivots(spark, str(tmp_path)).collect()}
+        seg = {i: s for i, _, s in rows}
+        assert newest == {(a, b, d) for (a, b), d in far.items() if seg[b] == 2} and newest
+
+
+@pytest.mark.parametrize("block", [1 << 22, 1500])
+def test_repeats_by_pivots_equal_brute_force(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(history, "BLOCK", block)
+    rng = random.Random(42)
+    rows = [(i, b, s) for i, (_, b, s) in enumerate(batches_of(rng))]
+    base = words(rng, 60)
+    for i in range(30):  # one crowd of changed texts
+        w = list(base)
+        for at in rng.sample(range(60), rng.choice([2, 6, 12, 13])):
+            w[at] = words(rng, 1)[0]
+        rows.append((500 + i, " ".join(w), i // 8))
+    df = spark.createDataFrame(rows + rows[-4:] + [(900, None, 2), (None, rows[0][1], 1)], "doc_id long, body string, seg int").cache()
+    whole = {(r.a, r.b, r.distance) for r in history.repeats(df, "doc_id", "body", "seg", pivots=True).collect()}
+    assert {(a, b) for a, b, _ in whole} == brute_repeats(rows) and max(d for *_, d in whole) > 10
+    path, got = str(tmp_path / "p"), set()
+    for seg in range(4):
+        for again in range(2):
+            found, fresh = history.repeats_of_history(df.where(f"seg = {seg}"), path if seg or again else None, df, "doc_id", "body", "seg", pivots=True)
+            pairs = {(r.a, r.b, r.distance) for r in found.collect()}
+            assert not again or pairs == last
+            last = pairs
+            history.append(fresh, path)
+        got |= pairs
+    assert got == whole
+    assert history.repeats(df.limit(0), "doc_id", "body", "seg", pivots=True).count() == 0
+
+
+def test_bits_differ_no_more_than_word_bags():
+    from collections import Counter
+
+    rng = random.Random(43)
+    texts = [[f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.choice([40, 60, 200, 700]))] for _ in range(40)]
+    count = np.array([len(t) for t in texts])
+    h = history.hash_words([w for t in texts for w in t], history.Hashes())
+    bits = [np.frombuffer(b, dtype=np.uint8)[None] for b in history._bits(h, np.repeat(np.arange(40), count), count)]
+    for i in range(40):
+        for j in range(i):
+            width = 8 * min(bits[i].shape[1], bits[j].shape[1])
+            a, b = Counter(texts[i]), Counter(texts[j])
+            for w in (width, 256):
+                assert np.bitwise_count(history._folded(bits[i], w) ^ history._folded(bits[j], w)).sum() <= ((a - b) + (b - a)).total()
+
+
 def test_lcs():
     rng = random.Random(1)
     for _ in range(50):

@@ -103,7 +103,8 @@ def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_method(spark: SparkSession, d: str) -> DataFrame:
-    found = history.pivot_pairs(table(spark, d, "docs"), "doc_id", "body", "seg")
+    """Repeats of originals of earlier batches, as p7_found asks for them, by the pivot-distance table, with their word distance."""
+    found = history.repeats(table(spark, d, "docs"), "doc_id", "body", "seg", without=_spam(spark, d, "docs", "doc_id"), pivots=True)
     return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "distance")
 
 
@@ -116,27 +117,26 @@ def _kept(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
 
 
-def p7_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of p7_found whose later document is of the newest batch, found from that batch and the stored signatures of earlier originals."""
+def _newest(spark: SparkSession, d: str, pivots: bool) -> DataFrame:
+    """(a, b, distance): repeats in the newest batch, found from that batch and the stored signatures of earlier originals."""
     docs = table(spark, d, "docs")
     last = docs.agg(F.max("seg").alias("s")).first().s
     left_out, before = _spam(spark, d, "docs", "doc_id"), docs.where(F.col("seg") < last)
-    earlier = history.repeats(before, "doc_id", "body", "seg", without=left_out).select(F.col("b").alias("key")).distinct()
-    signs = history.signatures(before, "doc_id", "body", "seg").join(sized(left_out.select(F.col("doc_id").alias("key"))), "key", "left_anti")
+    earlier = history.repeats(before, "doc_id", "body", "seg", without=left_out, pivots=pivots).select(F.col("b").alias("key")).distinct()
+    signs = history.signatures(before, "doc_id", "body", "seg", pivots=pivots).join(sized(left_out.select(F.col("doc_id").alias("key"))), "key", "left_anti")
     path = _kept(spark)
     history.append(signs.dropDuplicates(["key"]).join(sized(cut(earlier)), "key", "left_anti"), path)
-    found, _ = history.repeats_of_history(docs.where(F.col("seg") == last), path, docs, "doc_id", "body", "seg", without=left_out)
-    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    return history.repeats_of_history(docs.where(F.col("seg") == last), path, docs, "doc_id", "body", "seg", without=left_out, pivots=pivots)[0]
+
+
+def p7_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p7_found whose later document is of the newest batch, found from that batch and the stored signatures of earlier originals."""
+    return _newest(spark, d, False).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p7_pivots(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of p7_method with a document of the newest batch, found from that batch and the stored pivot distances of all earlier ones."""
-    docs = table(spark, d, "docs")
-    last = docs.agg(F.max("seg").alias("s")).first().s
-    path = _kept(spark)
-    history.append(history.pivot_rows(docs.where(F.col("seg") < last), "doc_id", "body", "seg"), path)
-    found = history.pivot_pairs(docs, "doc_id", "body", "seg", history=path, new=docs.where(F.col("seg") == last))
-    return found.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "distance")
+    """The rows of p7_method whose later document is of the newest batch, found from that batch and the stored pivot distances of earlier originals."""
+    return _newest(spark, d, True).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"), "distance")
 
 
 def p7_exact(spark: SparkSession, d: str) -> DataFrame:
