@@ -188,6 +188,30 @@ def test_near_pairs_equal_brute_force(spark):
     assert dedup.near_pairs(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("large", [0, dedup.LARGE_BUCKET])
+def test_every_bucket_gives_its_pairs_once(monkeypatch, large):
+    monkeypatch.setattr(dedup, "LARGE_BUCKET", large)
+    rng = random.Random(4)
+    for blocks, distance in ((8, 7), (9, 7), (12, 11), (8, 0)):
+        base = [rng.getrandbits(64) for _ in range(5)]
+        sims = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(distance + 3))) for b in base for _ in range(20)})
+        got, ends = [], [64 * i // blocks for i in range(blocks + 1)]
+        for key, (low, high) in enumerate(zip(ends, ends[1:])):
+            buckets = {}
+            for i, s in enumerate(sims):
+                buckets.setdefault(s >> low & (1 << high - low) - 1, []).append(i)
+            for own in buckets.values():
+                for x, y, dist in dedup.bucket_pairs(np.array([sims[i] for i in own], dtype=np.uint64), key, blocks, distance):
+                    got += [(*sorted((own[a], own[b])), int(d)) for a, b, d in zip(x, y, dist)]
+        assert sorted(got) == [(i, j, (a ^ b).bit_count()) for i, a in enumerate(sims) for j, b in enumerate(sims) if i < j and (a ^ b).bit_count() <= distance]
+
+
+def test_keys_of_hashes_are_never_broadcast(spark):
+    """The keys of a table of hashes are many times its size, which Spark's estimate does not count."""
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("sim"), F.lit(30).alias("words"))
+    assert "Broadcast" not in dedup.near_pairs(rows)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_of_many_texts():
     texts = ["", "one", "a b c d e f g", "wörter " * 40, *[" ".join(f"w{i * j % 17}" for j in range(i)) for i in range(2, 300, 7)]]
 

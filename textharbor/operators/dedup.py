@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from textharbor.functions.analysis import normalize_text
 from textharbor.functions.hashing import fnv1a_hex, hamming, simhash
@@ -28,37 +33,106 @@ def exact(prints: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return first if known is None else first.join(known.select("hash"), "hash", "left_anti")
 
 
-def block_count(hashes: int) -> int:
-    """Into how many blocks of bits hashes are cut: more blocks make more keys, but longer ones, which meet less often by chance."""
-    return 8 if hashes < 20_000 else 9 if hashes < 2_000_000 else 10 if hashes < 200_000_000 else 11
+def _ends(blocks: int) -> list[int]:
+    return [64 * i // blocks for i in range(blocks + 1)]
 
 
-def block_keys(sim: Column, blocks: int, distance: int = DISTANCE) -> Column:
-    """Keys of a hash, one per choice of ``blocks - distance`` blocks: hashes within the distance agree in all blocks but ``distance`` at most, so in one key at least."""
-    ends = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << high) - 1) ^ ((1 << low) - 1) for low, high in zip(ends, ends[1:])]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    choices = list(combinations(range(blocks), blocks - distance))
-    keys = [F.struct(F.lit(i).alias("key"), sim.bitwiseAND(signed(sum(masks[j] for j in c))).alias("value")) for i, c in enumerate(choices)]
-    return F.array(*keys)
+def block_keys(sim: Column, blocks: int) -> Column:
+    """The bits of each block of a hash, with the block's number: key, value."""
+    ends = _ends(blocks)
+    of = lambda low, high: F.shiftrightunsigned(sim, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint")).cast("int")
+    return F.array(*[F.struct(F.lit(i).alias("key"), of(low, high).alias("value")) for i, (low, high) in enumerate(zip(ends, ends[1:]))])
+
+
+#: From so many hashes on with a common block, two further blocks are looked up instead of one.
+LARGE_BUCKET = 4096
+#: So many comparisons at most are held at once.
+CHUNK = 1 << 18
+
+
+def _allowed(blocks: int, distance: int) -> list[int]:
+    """By how many bits hashes may differ in their first 1, 2, ... blocks, starting from a suitable one and going on in a ring.
+
+    If all blocks together differ by the distance at most, there is a block from which no run of blocks exceeds its share of it.
+    """
+    return [distance * n // blocks for n in range(1, blocks + 1)]
+
+
+def _patterns(first: int, second: int, allowed: list[int]) -> list[int]:
+    """The differences, as bits, that are allowed in the two blocks after the common one; the first of them has the high bits."""
+    few = lambda width, most: [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(width), n)]
+    return [x << second | y for x in few(first, allowed[1]) for y in (few(second, allowed[2] - x.bit_count()) if second else [0])]
+
+
+def bucket_pairs(sims: np.ndarray, key: int, blocks: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, dist) of the hashes with a common block whose pairs this block is the first to find: positions in ``sims`` and their distance."""
+    ends, allowed, n = _ends(blocks), _allowed(blocks, distance), len(sims)
+    cut_of = lambda v, i: v >> np.uint64(ends[i]) & np.uint64((1 << (ends[i + 1] - ends[i])) - 1)
+    after = [(key + j) % blocks for j in (1, 2)]
+    first, second = (ends[i + 1] - ends[i] for i in after)
+    sub = cut_of(sims, after[0]).astype(np.int64)
+    if n >= LARGE_BUCKET:
+        sub = sub << second | cut_of(sims, after[1]).astype(np.int64)
+    else:
+        second = 0
+    order = np.argsort(sub, kind="stable")
+    sub, sims = sub[order], sims[order]
+    start = np.searchsorted(sub, np.arange((1 << first + second) + 1))
+    for pattern in _patterns(first, second, allowed):
+        other = sub ^ pattern
+        low, high = start[other], start[other + 1]
+        low = np.maximum(low, np.arange(n) + 1)  # each pair once, from its first place
+        size = np.maximum(high - low, 0)
+        total = np.cumsum(size)
+        at = 0
+        while at < n:
+            done = total[at - 1] if at else 0
+            if total[-1] == done:
+                break
+            end = max(at + 1, int(np.searchsorted(total, done + CHUNK, side="right")))
+            some = size[at:end]
+            x = np.repeat(np.arange(at, end), some)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(some) - some, some) + np.repeat(low[at:end], some)
+            at = end
+            diff = sims[x] ^ sims[y]
+            near = np.flatnonzero(np.bitwise_count(diff) <= distance)
+            if not len(near):
+                continue
+            x, y, diff = x[near], y[near], diff[near]
+            bits = np.stack([np.bitwise_count(cut_of(diff, i)) for i in range(blocks)])
+            ring = np.concatenate([bits, bits])
+            # a pair is met in all blocks that it has in common, and taken from the first one that the rule of _allowed must find
+            good = np.stack([(np.cumsum(ring[i : i + blocks], axis=0, dtype=np.uint8) <= np.array(allowed, dtype=np.uint8)[:, None]).all(axis=0) for i in range(blocks)])
+            mine = good.argmax(axis=0) == key
+            if mine.any():
+                yield order[x[mine]], order[y[mine]], bits.sum(axis=0, dtype=np.int32)[mine]
 
 
 def near_pairs(prints: DataFrame, distance: int = DISTANCE, min_words: int = MIN_WORDS, blocks: int | None = None) -> DataFrame:
     """(a, b, dist), a < b, of hashes within a distance. Documents of one hash are represented by the smallest id; the others are linked to it.
 
-    Hashes meet by keys of whole blocks of bits. blocks: chosen by the number of distinct hashes if not given.
+    Hashes meet by a block of bits, and within it by lookups of the blocks after it, so each hash is shuffled once for each of the blocks.
+    blocks: more than the distance, and 8 at least.
     """
+    blocks = max(distance + 1, 8) if blocks is None else blocks
+    if not max(distance, 7) < blocks <= 64:
+        raise ValueError(f"{blocks} blocks cannot find distances up to {distance}: between {max(distance + 1, 8)} and 64 can")
     rows = cut(prints.where((F.col("words") >= min_words) & F.col("sim").isNotNull()).select("doc_id", "sim"))
     group = cut(rows.groupBy("sim").agg(F.min("doc_id").alias("doc_id")))
-    blocks = max(block_count(group.count()), distance + 1) if blocks is None else blocks
-    if blocks <= distance:
-        raise ValueError(f"{blocks} blocks find distances under {blocks} only")
-    keyed = group.select("doc_id", "sim", F.explode(block_keys(F.col("sim"), blocks, distance)).alias("k")).select("doc_id", "sim", "k.key", "k.value")
-    x, y = keyed.alias("x"), keyed.alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.doc_id") < F.col("y.doc_id"))
-    dist = hamming(F.col("x.sim"), F.col("y.sim"))
-    different = x.join(y, same & (dist <= distance)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), dist.alias("dist")).distinct()
-    equal = rows.join(group.withColumnRenamed("doc_id", "a"), "sim").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("dist"))
+    keyed = group.select("doc_id", "sim", F.explode(block_keys(F.col("sim"), blocks)).alias("k")).select("doc_id", "sim", "k.key", "k.value")
+    schema = StructType([StructField("x", group.schema["doc_id"].dataType), StructField("y", group.schema["doc_id"].dataType), StructField("dist", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def meet(bucket: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(bucket)
+        ids, sims = table["doc_id"].combine_chunks(), table["sim"].to_numpy().view(np.uint64)
+        for x, y, dist in bucket_pairs(sims, table["key"][0].as_py(), blocks, distance):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(dist)], schema=arrow)
+
+    met = keyed.groupBy("key", "value").applyInArrow(meet, schema)
+    different = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "dist")
+    # a sort-merge join: both sides grow with the table, and the size of a file says little about its rows
+    equal = rows.join(group.withColumnRenamed("doc_id", "a").hint("merge"), "sim").where("doc_id <> a").select("a", F.col("doc_id").alias("b"), F.lit(0).alias("dist"))
     return different.unionByName(equal)
 
 
