@@ -206,10 +206,19 @@ def test_every_bucket_gives_its_pairs_once(monkeypatch, large):
         assert sorted(got) == [(i, j, (a ^ b).bit_count()) for i, a in enumerate(sims) for j, b in enumerate(sims) if i < j and (a ^ b).bit_count() <= distance]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys_of_hashes_are_never_broadcast(spark):
     """The keys of a table of hashes are many times its size, which Spark's estimate does not count."""
     rows = spark.range(100).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("sim"), F.lit(30).alias("words"))
-    assert "Broadcast" not in dedup.near_pairs(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(dedup.near_pairs(rows))
+
+
+def test_classes_of_hashes_are_never_broadcast(spark):
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("sim"), F.lit(30).alias("words"))
+    assert "Broadcast" not in plan(dedup.classes(rows))
 
 
 def test_simhash_of_many_texts():

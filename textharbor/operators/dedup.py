@@ -142,7 +142,8 @@ def classes(prints: DataFrame, distance: int = DISTANCE, min_words: int = MIN_WO
     own = rows.groupBy("sim").agg(F.min("doc_id").alias("representative"))
     pairs = cut(near_pairs(prints, distance, min_words).where("dist > 0"))
     links = pairs.select(F.col("a").alias("representative")).union(pairs.select("b")).groupBy("representative").agg(F.count("*").alias("links"))
-    return rows.join(own, "sim").join(links, "representative", "left").select("doc_id", "representative", F.coalesce("links", F.lit(0)).alias("links"))
+    # sort-merge joins, as in near_pairs
+    return rows.join(own.hint("merge"), "sim").join(links.hint("merge"), "representative", "left").select("doc_id", "representative", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def counters(outcomes: DataFrame) -> DataFrame:
