@@ -188,6 +188,14 @@ def test_selective_queries_read_few_postings(spark, tmp_path, monkeypatch):
         assert w.postings == 204 and w.postings_scored <= 5 and w.blocks_scored <= 2
 
 
+def test_blocks_in_many_ranges_are_one_condition(spark):
+    """As many ranges as are pushed into a scan, none beside another."""
+    rows = spark.range(3 * rank.MOST_RANGES).select(F.col("id").alias("block"))
+    kept = rank._Blocks([(3 * i, 1.0, 1) for i in range(rank.MOST_RANGES)], None)
+    assert sorted(r.block for r in kept.of(rows).collect()) == [3 * i for i in range(rank.MOST_RANGES)]
+    assert rank._Blocks([], None).of(rows).count() == 0
+
+
 def test_blocks_of_sparse_ids_hold_as_many_documents(spark):
     docs = make(spark, [(i * 10**15 - 5 * 10**17, "", [], "a", [], "", {}, 0) for i in range(1000)])
     shift = IndexView.of(docs, PLAIN).id_shift()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +105,14 @@ def _ranges(blocks: list[int]) -> list[tuple[int, int]]:
     return found
 
 
+def _any_of(conditions: list[Column]) -> Column:
+    """OR of conditions as a tree of little depth: Spark follows an expression by recursion, and its stack ends at some hundred levels."""
+    if len(conditions) < 2:
+        return conditions[0] if conditions else F.lit(False)
+    half = len(conditions) // 2
+    return _any_of(conditions[:half]) | _any_of(conditions[half:])
+
+
 def pruned_top_k(view: IndexView, query: Query, k: int, ranking: Ranking = Ranking(), digits: int = 4) -> tuple[DataFrame, DataFrame]:
     """The same documents as ``top_k``, and (blocks, blocks_scored, blocks_skipped, postings, postings_scored).
 
@@ -175,7 +182,7 @@ class _Blocks:
         if len(ranges) > MOST_RANGES:
             kept = rows.sparkSession.createDataFrame([(x[0],) for x in self.few], "block long")
             return rows.join(F.broadcast(kept), "block", "left_semi")  # at most MOST_BLOCKS numbers
-        return rows.where(reduce(lambda a, b: a | b, [F.col("block").between(*r) for r in ranges], F.lit(False)))
+        return rows.where(_any_of([F.col("block").between(*r) for r in ranges]))
 
     def work(self, least: float) -> tuple[int, int, int, int, int]:
         """(blocks, blocks_scored, blocks_skipped, postings, postings_scored) where blocks under a bound are skipped."""
