@@ -221,6 +221,10 @@ def test_classes_of_hashes_are_never_broadcast(spark):
     assert "Broadcast" not in plan(dedup.classes(rows))
 
 
+def test_outcomes_of_texts_are_never_broadcast(spark):
+    assert "Broadcast" not in plan(dedup.near(docs_of(spark, {i: f"text {i}" for i in range(20)})))
+
+
 def test_simhash_of_many_texts():
     texts = ["", "one", "a b c d e f g", "wörter " * 40, *[" ".join(f"w{i * j % 17}" for j in range(i)) for i in range(2, 300, 7)]]
 

@@ -164,14 +164,15 @@ def near(docs: DataFrame, text: str = "body", known: DataFrame | None = None, di
     pairs = found.where("dist > 0").select("a", "b")
     open_ = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"))
     dropped = found.where("dist = 0").select(F.col("b").alias("doc_id"))
+    # sort-merge joins, as in near_pairs
     while open_.limit(1).count():
-        waiting = pairs.join(open_.withColumnRenamed("doc_id", "a"), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct()
-        free = cut(open_.join(waiting, "doc_id", "left_anti"))
-        gone = cut(pairs.join(free.withColumnRenamed("doc_id", "a"), "a", "left_semi").join(open_.withColumnRenamed("doc_id", "b"), "b", "left_semi").select(F.col("b").alias("doc_id")).distinct())
+        waiting = pairs.join(open_.withColumnRenamed("doc_id", "a").hint("merge"), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct()
+        free = cut(open_.join(waiting.hint("merge"), "doc_id", "left_anti"))
+        gone = cut(pairs.join(free.withColumnRenamed("doc_id", "a").hint("merge"), "a", "left_semi").join(open_.withColumnRenamed("doc_id", "b").hint("merge"), "b", "left_semi").select(F.col("b").alias("doc_id")).distinct())
         dropped = dropped.unionByName(gone)
-        open_ = cut(open_.join(free.unionByName(gone).distinct(), "doc_id", "left_anti"))
+        open_ = cut(open_.join(free.unionByName(gone).distinct().hint("merge"), "doc_id", "left_anti"))
     near_ids = dropped.distinct().withColumn("near", F.lit(True))
     first = kept.select("doc_id", F.lit(True).alias("kept"))
-    rows = prints.select("doc_id").distinct().join(first, "doc_id", "left").join(near_ids, "doc_id", "left")
+    rows = prints.select("doc_id").distinct().join(first.hint("merge"), "doc_id", "left").join(near_ids.hint("merge"), "doc_id", "left")
     outcome = F.when(F.col("kept").isNull(), "exact_duplicate").when(F.col("near"), "near_duplicate").otherwise("unique")
     return rows.select("doc_id", outcome.alias("outcome"))
