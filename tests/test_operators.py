@@ -216,6 +216,10 @@ def test_keys_of_hashes_are_never_broadcast(spark):
     assert "Broadcast" not in plan(dedup.near_pairs(rows))
 
 
+def test_keys_of_texts_are_never_broadcast(spark):
+    assert "Broadcast" not in plan(dedup.near_pairs(dedup.fingerprints(docs_of(spark, {i: f"text {i}" for i in range(20)}))))
+
+
 def test_classes_of_hashes_are_never_broadcast(spark):
     rows = spark.range(100).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("sim"), F.lit(30).alias("words"))
     assert "Broadcast" not in plan(dedup.classes(rows))
